@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from litmine.llm import quality_rules
+from litmine.llm import decontamination, near_dups, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_near_duplicates": near_dups.op2_near_duplicates,
+    "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
+    "op2_near_duplicates": near_dups.OP2_SQL,
+    "op6_benchmark_decontamination": decontamination.OP6_SQL,
 }
