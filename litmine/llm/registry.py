@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from litmine.llm import decontamination, near_dups, quality_rules
+import corpus_pipeline
+from litmine.llm import decontamination, mixing, near_dups, quality_rules, sharding
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_near_duplicates": near_dups.op2_near_duplicates,
+    "op4_sharding": sharding.op4_sharding,
     "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
+    "op7_source_mixing": mixing.op7_source_mixing,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op2_near_duplicates": near_dups.OP2_SQL,
+    "op4_sharding": sharding.OP4_SQL,
     "op6_benchmark_decontamination": decontamination.OP6_SQL,
 }
