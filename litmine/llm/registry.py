@@ -3,19 +3,34 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from litmine.llm import decontamination, mixing, near_dups, quality_rules, sharding
+from litmine.llm import (
+    decontamination,
+    license_scans,
+    mixing,
+    near_dups,
+    quality_rules,
+    secret_scans,
+    sharding,
+    token_counts,
+    url_filters,
+)
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_near_duplicates": near_dups.op2_near_duplicates,
+    "op3_url_filters": url_filters.op3_url_filters,
     "op4_sharding": sharding.op4_sharding,
+    "op5_secret_scans": secret_scans.op5_secret_scans,
     "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op8_license_scans": license_scans.op8_license_scans,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op2_near_duplicates": near_dups.OP2_SQL,
     "op4_sharding": sharding.OP4_SQL,
     "op6_benchmark_decontamination": decontamination.OP6_SQL,
+    "op8_license_scans": license_scans.OP8_SQL,
 }
