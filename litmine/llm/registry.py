@@ -6,6 +6,7 @@ import corpus_pipeline
 from litmine.llm import (
     decontamination,
     license_scans,
+    line_dedup,
     mixing,
     near_dups,
     quality_rules,
@@ -25,6 +26,7 @@ QUERIES = {
     "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_license_scans": license_scans.op8_license_scans,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES = {
