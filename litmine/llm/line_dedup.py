@@ -86,6 +86,12 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(shingles([x])[0]).view(np.int64) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "tokens"])
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, h1, h2, norm): the lines of documents (doc_id, text) that have a word."""
     space = r"[\x20\x09-\x0D]+"
@@ -108,20 +114,28 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     posted = classes.select(F.explode("bands").alias("token"), "id").withColumn("typical", F.lit(0))
     shared = posted.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
     posted = scratch.save(posted.join(shared, "token"), "posted")
-    turns = iter(range(9))
+    turns = iter("0123456789")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        turn = next(turns)
-        pairs = scratch.save(pairs, f"pairs-{turn}")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    def texts_of(ids: DataFrame, turn: str) -> DataFrame:
+        """(id, norm) of nodes."""
         at = scratch.save(ids.join(classes.select("id", "h1", "h2", "first.*"), "id"), f"at-{turn}")
         near = docs.join(small(at.select("doc_id").distinct()), "doc_id", "left_semi")
         texts = lines_of(near).join(small(at), ["doc_id", "line_no", "h1", "h2"]).select("id", "norm").dropDuplicates(["id"])
-        texts = scratch.save(texts, f"texts-{turn}")
+        return scratch.save(texts, f"texts-{turn}")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        turn = next(turns)
+        pairs = scratch.save(pairs, f"pairs-{turn}")
+        texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), turn)
         full = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
         return full.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
 
-    label = linked(posted, confirm, scratch)
+    def tokens_of(ids: DataFrame) -> DataFrame:
+        sets = texts_of(ids, "open").mapInArrow(_tokens, "id long, tokens array<long>")
+        need = F.ceil(F.size("tokens") * SIMILAR[0] / SIMILAR[1])
+        return sets.select("id", need.alias("need"), F.explode("tokens").alias("token"))
+
+    label = linked(posted, confirm, tokens_of, scratch)
     groups = classes.select("id", "h1", "h2", "first", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     active = groups.filter("n > 1").select("component").union(label.select("component")).distinct()
     groups = groups.join(active, "component")

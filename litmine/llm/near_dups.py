@@ -13,10 +13,12 @@ tokens are candidates.  Two steps keep the lists short:
 
 What remains long are lists of true groups of copies.  Equal shingle sets are one
 node from the start.  In a list of more than SMALL_LIST nodes, all are paired with
-the most typical node only; when the groups so found are known, nodes outside the
-list's largest group are paired with every node of another group.  No pair between
-different groups is left out, pairs within a group are not made.  Pairs with MATCHES
-equal coordinates are confirmed on full shingle sets.
+the most typical node only.  When the groups so found are known, the nodes of lists
+that still hold several groups are joined once more by the same prefix rule, now over
+their full shingle sets (of n shingles 3n/4 must be shared, so the n/4 + 1 rarest
+are posted), and there nodes outside a list's largest group are paired with nodes of
+other groups.  No pair between different groups is left out, pairs within a group are
+not made.  Pairs with MATCHES equal coordinates are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -105,6 +107,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = _Hashes()
+    for batch in batches:
+        sets = [shingle_set(t.as_py(), hashes).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "tokens"])
+
+
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs that are similar enough on their full sets."""
     for batch in batches:
@@ -118,32 +127,42 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def postings(nodes: DataFrame, matches: int) -> DataFrame:
-    """(token, id, typical): the prefix postings of nodes (id, sig array<int>).
+def postings(tokens: DataFrame) -> DataFrame:
+    """(token, id, typical): the prefix postings of sets given as rows (id, need, token).
 
-    ``typical`` is the sum of the node's token counts: high for a node that many
-    others resemble.
+    Sets that are to be found share at least ``need`` tokens with one another.
+    ``typical`` is the sum of a set's token counts: high for one that many others
+    resemble.
     """
-    tokens = nodes.select("id", F.posexplode("sig").alias("i", "v")).select(
-        "id", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token")
-    )
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     lists = (
         tokens.join(shared, "token")
-        .groupBy("id")
+        .groupBy("id", "need")
         .agg(F.sum("n").alias("typical"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("by_n"))
-        .filter(F.size("by_n") >= matches)
-    )
-    return lists.select("id", "typical", F.explode(F.slice("by_n", F.lit(1), F.size("by_n") - matches + 1)).alias("t")).select(
-        "id", "typical", F.col("t.token").alias("token")
+        .filter(F.size("by_n") >= F.col("need"))
     )
+    prefix = F.slice("by_n", F.lit(1), (F.size("by_n") - F.col("need") + 1).cast("int"))
+    return lists.select("id", "typical", F.explode(prefix).alias("t")).select("id", "typical", F.col("t.token").alias("token"))
 
 
-def linked(posted: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Of (token, id, component): the lists of more than one component, with their largest as ``main``."""
+    groups = placed.groupBy("token", "component").agg(F.count("*").alias("m"))
+    main = groups.groupBy("token").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
+    return placed.join(main.select("token", "main"), "token")
+
+
+def linked(
+    posted: DataFrame,
+    confirm: Callable[[DataFrame], DataFrame],
+    tokens_of: Callable[[DataFrame], DataFrame],
+    scratch: Scratch,
+) -> DataFrame:
     """Component (id, component) of every node with a confirmed link.
 
     ``posted``: (token, id, typical), written; ``confirm`` keeps the pairs (a, b)
-    that are links.  Exact over all pairs that share a token, as described above.
+    that are links; ``tokens_of`` gives the full sets (id, need, token) of ids.
+    Exact over all pairs that share a token, as described above.
     """
     lists = scratch.save(
         posted.groupBy("token").agg(F.count("*").alias("n"), F.max_by("id", F.struct("typical", -F.col("id"))).alias("hub")).filter("n > 1"), "lists"
@@ -155,10 +174,13 @@ def linked(posted: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch
     links = scratch.save(confirm(hubs.unionByName(every).distinct()), "links")
     label = scratch.save(components(links, scratch, "first"), "label")
 
-    placed = known.filter(F.col("n") > SMALL_LIST).join(label.select("id", "component"), "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
-    groups = placed.groupBy("token", "component").agg(F.count("*").alias("m"))
-    main = groups.groupBy("token").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
-    mixed = scratch.save(placed.join(main, "token"), "mixed")
+    def place(rows: DataFrame) -> DataFrame:
+        return rows.join(label, "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
+
+    open_ = scratch.save(_mixed(place(known.filter(F.col("n") > SMALL_LIST))).select("id").distinct(), "open")
+    if open_.isEmpty():
+        return label
+    mixed = scratch.save(_mixed(place(postings(tokens_of(open_)))), "mixed")
     rest = mixed.filter(F.col("component") != F.col("main")).select("token", F.col("id").alias("a"), F.col("component").alias("ca"))
     other = mixed.select("token", F.col("id").alias("b"), F.col("component").alias("cb"))
     across = rest.join(other, "token").filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -188,7 +210,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         signed.join(firsts, (signed.set_id == firsts.set_id) & (signed.doc_id == firsts.id)).select("id", "n_shingles", "sig").dropDuplicates(["id", "n_shingles", "sig"]),
         "nodes",
     )
-    posted = scratch.save(postings(nodes, MATCHES), "posted")
+    token = F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    tokens = nodes.select("id", F.posexplode("sig").alias("i", "v")).select("id", F.lit(MATCHES).alias("need"), token.alias("token"))
+    posted = scratch.save(postings(tokens), "posted")
     rounds = iter(range(9))
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -205,7 +229,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         full = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         return full.select("a", "b", "x", "y").mapInArrow(_overlap, "a long, b long").distinct()
 
-    label = linked(posted, confirm, scratch)
+    def tokens_of(ids: DataFrame) -> DataFrame:
+        rows = plain.join(small(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi").mapInArrow(_tokens, "id long, tokens array<long>")
+        need = F.ceil(F.size("tokens") * SIMILAR[0] / SIMILAR[1])
+        return rows.distinct().select("id", need.alias("need"), F.explode("tokens").alias("token"))
+
+    label = linked(posted, confirm, tokens_of, scratch)
     found = (
         signed.select("doc_id", "n_shingles", "set_id")
         .join(firsts, "set_id", "left")
