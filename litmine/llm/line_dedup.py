@@ -133,7 +133,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     def tokens_of(ids: DataFrame) -> DataFrame:
         sets = texts_of(ids, "open").mapInArrow(_tokens, "id long, tokens array<long>")
         need = F.ceil(F.size("tokens") * SIMILAR[0] / SIMILAR[1])
-        return sets.select("id", need.alias("need"), F.explode("tokens").alias("token"))
+        return sets.select("id", F.size("tokens").alias("size"), need.alias("need"), F.explode("tokens").alias("token"))
 
     label = linked(posted, confirm, tokens_of, scratch)
     groups = classes.select("id", "h1", "h2", "first", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -16,7 +16,7 @@ node from the start.  In a list of more than SMALL_LIST nodes, all are paired wi
 the most typical node only.  When the groups so found are known, the nodes of lists
 that still hold several groups are joined once more by the same prefix rule, now over
 their full shingle sets (of n shingles 3n/4 must be shared, so the n/4 + 1 rarest
-are posted), and there nodes outside a list's largest group are paired with nodes of
+are posted) and with a bound from a shared token's positions, and there nodes outside a list's largest group are paired with nodes of
 other groups.  No pair between different groups is left out, pairs within a group are
 not made.  Pairs with MATCHES equal coordinates are confirmed on full shingle sets.
 """
@@ -128,21 +128,23 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    """(token, id, typical): the prefix postings of sets given as rows (id, need, token).
+    """(token, id, typical, size, at): prefix postings of sets given as rows (id, size, need, token).
 
-    Sets that are to be found share at least ``need`` tokens with one another.
-    ``typical`` is the sum of a set's token counts: high for one that many others
-    resemble.
+    Sets that are to be found share at least ``need`` of their ``size`` tokens with one
+    another.  ``typical`` is the sum of a set's token counts: high for one that many
+    others resemble.  ``at`` is the token's position, from 0, in the set's order of
+    rising frequency, in which tokens of one set alone come first.
     """
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     lists = (
         tokens.join(shared, "token")
-        .groupBy("id", "need")
+        .groupBy("id", "size", "need")
         .agg(F.sum("n").alias("typical"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("by_n"))
         .filter(F.size("by_n") >= F.col("need"))
     )
     prefix = F.slice("by_n", F.lit(1), (F.size("by_n") - F.col("need") + 1).cast("int"))
-    return lists.select("id", "typical", F.explode(prefix).alias("t")).select("id", "typical", F.col("t.token").alias("token"))
+    each = lists.select("id", "typical", "size", (F.col("size") - F.size("by_n")).alias("alone"), F.posexplode(prefix).alias("k", "t"))
+    return each.select("id", "typical", "size", (F.col("alone") + F.col("k")).alias("at"), F.col("t.token").alias("token"))
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -161,7 +163,7 @@ def linked(
     """Component (id, component) of every node with a confirmed link.
 
     ``posted``: (token, id, typical), written; ``confirm`` keeps the pairs (a, b)
-    that are links; ``tokens_of`` gives the full sets (id, need, token) of ids.
+    that are links; ``tokens_of`` gives the full sets (id, size, need, token) of ids.
     Exact over all pairs that share a token, as described above.
     """
     lists = scratch.save(
@@ -175,15 +177,18 @@ def linked(
     label = scratch.save(components(links, scratch, "first"), "label")
 
     def place(rows: DataFrame) -> DataFrame:
-        return rows.join(label, "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
+        return rows.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     open_ = scratch.save(_mixed(place(known.filter(F.col("n") > SMALL_LIST))).select("id").distinct(), "open")
     if open_.isEmpty():
         return label
     mixed = scratch.save(_mixed(place(postings(tokens_of(open_)))), "mixed")
-    rest = mixed.filter(F.col("component") != F.col("main")).select("token", F.col("id").alias("a"), F.col("component").alias("ca"))
-    other = mixed.select("token", F.col("id").alias("b"), F.col("component").alias("cb"))
-    across = rest.join(other, "token").filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = mixed.filter(F.col("component") != F.col("main")).select("token", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"), F.col("at").alias("pa"))
+    other = mixed.select("token", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("at").alias("pb"))
+    # position: if this is the first token they share, what is left on both sides must suffice
+    # for an overlap of 75 / (100 + 75) of both sizes together
+    enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * sum(SIMILAR) >= (F.col("na") + F.col("nb")) * SIMILAR[0]
+    across = rest.join(other, "token").filter((F.col("ca") != F.col("cb")) & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = scratch.save(confirm(across.distinct()), "more")
     if more.isEmpty():
         return label
@@ -211,7 +216,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "nodes",
     )
     token = F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    tokens = nodes.select("id", F.posexplode("sig").alias("i", "v")).select("id", F.lit(MATCHES).alias("need"), token.alias("token"))
+    tokens = nodes.select("id", F.posexplode("sig").alias("i", "v")).select("id", F.lit(COORDINATES).alias("size"), F.lit(MATCHES).alias("need"), token.alias("token"))
     posted = scratch.save(postings(tokens), "posted")
     rounds = iter(range(9))
 
@@ -232,7 +237,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     def tokens_of(ids: DataFrame) -> DataFrame:
         rows = plain.join(small(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi").mapInArrow(_tokens, "id long, tokens array<long>")
         need = F.ceil(F.size("tokens") * SIMILAR[0] / SIMILAR[1])
-        return rows.distinct().select("id", need.alias("need"), F.explode("tokens").alias("token"))
+        return rows.distinct().select("id", F.size("tokens").alias("size"), need.alias("need"), F.explode("tokens").alias("token"))
 
     label = linked(posted, confirm, tokens_of, scratch)
     found = (
