@@ -1,8 +1,8 @@
 """Fuzzy line deduplication: MinHash over character shingles, banding, exact check, components.
 
 Lines are compared in normal form (A-Z lower-cased, runs of white space as one space,
-none at the ends).  A line's shingles are the windows of SHINGLE characters that start
-at each of its characters, filled up past the end.  Equal lines are one node.  Nodes
+none at the ends).  A line's shingles are its windows of SHINGLE characters; a shorter
+line is one shingle.  Equal lines are one node.  Nodes
 that agree in a band of ROWS min-hashes are candidates (a pair at 0.75 is missed by all
 BANDS bands with a chance of 1 %, one at 0.85 with less than 1 in 5,000); a pair is
 linked if the Jaccard similarity of its full shingle sets is 0.75 or more.  Of each
@@ -15,15 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmine.llm.common import Scratch, ascii_lower, small, table
-from litmine.llm.near_dups import linked, mix
+from litmine.llm.common import Scratch, small, table
+from litmine.llm.near_dups import SIMILAR, linked, mix, overlap
 
 SHINGLE = 8
 BANDS, ROWS = 12, 4
-SIMILAR = (75, 100)
 #: Characters that are hashed at a time.
 _CHUNK = 1 << 16
 
@@ -34,17 +34,17 @@ _ODD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 
 def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit shingle hashes of non-empty lines, one after the other, and where each line starts."""
-    ends = np.cumsum([len(x) for x in lines])
-    starts = ends - [len(x) for x in lines]
+    size = np.array([len(x) for x in lines])
     fill = "\x00" * (SHINGLE - 1)
     code = np.frombuffer((fill.join(lines) + fill).encode("utf-32-le"), np.uint32).astype(np.uint64)
     acc = np.zeros(len(code) - SHINGLE + 1, np.uint64)
     for k in range(SHINGLE):
         acc = acc * np.uint64(0x9E3779B97F4A7C15) + code[k : k + len(acc)] + np.uint64(1)
-    # windows that start inside the fill belong to no line
-    own = np.ones(len(acc), bool)
-    gaps = (ends[:-1] + np.arange(len(lines) - 1) * (SHINGLE - 1))[:, None] + np.arange(SHINGLE - 1)
-    own[gaps.ravel().astype(np.int64)] = False
+    # full windows only, and the first, filled up, of a line that is shorter
+    count = np.maximum(size - SHINGLE + 1, 1)
+    at = np.cumsum(size + SHINGLE - 1) - (size + SHINGLE - 1)
+    starts = np.cumsum(count) - count
+    own = np.arange(count.sum()) + np.repeat(at - starts, count)
     return mix(acc[own]), starts
 
 
@@ -68,22 +68,49 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return out
 
 
-def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = band_keys(batch.column(4).to_pylist())
-        offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
-        bands = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], bands], ["doc_id", "line_no", "h1", "h2", "bands"])
+def normal_lines(text: bytes) -> list[tuple[int, bytes]]:
+    """Number and normal form of the lines that have a word."""
+    return [(k, b" ".join(words)) for k, line in enumerate(text.lower().split(b"\n")) if (words := line.split())]  # bytes: A-Z, 0x20 and 0x09-0x0D only
+
+
+_LINE = "doc_id long, line_no int, h1 long, h2 long"
+
+
+def _lines(extra: str | None):
+    """Lines of documents with the 128-bit digest of their normal form, and their ``bands`` or ``norm`` if asked."""
 
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                docs, numbers, norms = [], [], []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary())):
+                    found = normal_lines(text.as_py())
+                    docs += [doc] * len(found)
+                    numbers += [k for k, _ in found]
+                    norms += [n for _, n in found]
+                if not docs:
+                    continue
+                digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, norms)), np.int64).reshape(-1, 2)
+                columns = [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())]
+                names = ["doc_id", "line_no", "h1", "h2"]
+                if extra == "norm":
+                    columns.append(pa.array(norms, pa.binary()).cast(pa.string()))
+                    names.append("norm")
+                elif extra == "bands":
+                    keys = band_keys([n.decode() for n in norms])
+                    offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
+                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64))))
+                    names.append("bands")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return lines
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.unique(shingles([x])[0]), np.unique(shingles([y])[0])
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(SIMILAR[1] * both >= SIMILAR[0] * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        sets = [np.unique(shingles([x])[0]).tobytes() for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,19 +119,9 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "tokens"])
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, h1, h2, norm): the lines of documents (doc_id, text) that have a word."""
-    space = r"[\x20\x09-\x0D]+"
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    norm = F.trim(F.regexp_replace(ascii_lower(F.col("line")), space, " "))
-    each = each.select("doc_id", "line_no", norm.alias("norm")).filter("norm <> ''")
-    return each.select("doc_id", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm")
-
-
 def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, line_no) of every line of documents (doc_id, text) that repeats an earlier one."""
-    lines = lines_of(docs)
-    banded = lines.mapInArrow(_band, "doc_id long, line_no int, h1 long, h2 long, bands array<long>")
+    banded = docs.mapInArrow(_lines("bands"), f"{_LINE}, bands array<long>")
     classes = (
         banded.groupBy("h1", "h2")
         .agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.max("bands").alias("bands"))
@@ -120,15 +137,18 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
         """(id, norm) of nodes."""
         at = scratch.save(ids.join(classes.select("id", "h1", "h2", "first.*"), "id"), f"at-{turn}")
         near = docs.join(small(at.select("doc_id").distinct()), "doc_id", "left_semi")
-        texts = lines_of(near).join(small(at), ["doc_id", "line_no", "h1", "h2"]).select("id", "norm").dropDuplicates(["id"])
-        return scratch.save(texts, f"texts-{turn}")
+        texts = near.mapInArrow(_lines("norm"), f"{_LINE}, norm string").join(small(at), ["doc_id", "line_no", "h1", "h2"])
+        return texts.select("id", "norm").dropDuplicates(["id"])
 
     def confirm(pairs: DataFrame) -> DataFrame:
         turn = next(turns)
         pairs = scratch.save(pairs, f"pairs-{turn}")
-        texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), turn)
-        full = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
-        return full.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        sets = scratch.save(texts_of(ids, turn).mapInArrow(_sets, "id long, shingles binary"), f"sets-{turn}")
+        full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        sizes = F.octet_length("x"), F.octet_length("y")
+        full = full.filter(F.least(*sizes) * SIMILAR[1] >= F.greatest(*sizes) * SIMILAR[0])
+        return full.select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long")
 
     def tokens_of(ids: DataFrame) -> DataFrame:
         sets = texts_of(ids, "open").mapInArrow(_tokens, "id long, tokens array<long>")
@@ -141,7 +161,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     groups = groups.join(active, "component")
     keep = groups.groupBy("component").agg(F.min("first").alias("keep"))
     groups = scratch.save(groups.join(keep, "component").select("h1", "h2", "keep"), "groups")
-    again = lines.drop("norm").join(groups, ["h1", "h2"])
+    again = docs.mapInArrow(_lines(None), _LINE).join(groups, ["h1", "h2"])
     return again.filter((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line_no") != F.col("keep.line_no"))).select("doc_id", "line_no")
 
 

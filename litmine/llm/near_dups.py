@@ -114,7 +114,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "tokens"])
 
 
-def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs that are similar enough on their full sets."""
     for batch in batches:
         left, right = batch.column(2), batch.column(3)
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         ids = scratch.save(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), f"ids-{turn}")
         sets = scratch.save(plain.join(small(ids), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles binary").distinct(), f"sets-{turn}")
         full = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        return full.select("a", "b", "x", "y").mapInArrow(_overlap, "a long, b long").distinct()
+        return full.select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long").distinct()
 
     def tokens_of(ids: DataFrame) -> DataFrame:
         rows = plain.join(small(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi").mapInArrow(_tokens, "id long, tokens array<long>")
