@@ -121,7 +121,7 @@ def coerce_year(c: Column) -> Column:
 
 def join_authors(names: Column) -> Column:
     """The first ten non-blank names, comma-joined; else "Unknown authors"."""
-    real = F.filter(F.transform(names, F.trim), lambda n: n.isNotNull() & (n != ""))
+    real = F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n.isNotNull() & (n != ""))
     return F.coalesce(F.nullif(F.array_join(F.slice(real, 1, 10), ", "), F.lit("")), F.lit("Unknown authors"))
 
 
