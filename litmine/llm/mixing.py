@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from litmine.llm.common import SPACE_WORD, Scratch, small, table
 
 #: Documents of a block, on average.
-BLOCK = 20_000
+BLOCK = 2_000
 SHARE, CAP = 1.5, 2.0
 WEIGHTS = (3, 1, 2)
 _OPEN = 1e-9
