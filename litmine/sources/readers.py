@@ -39,15 +39,25 @@ def read_term_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return out.filter(blank_to_null(F.col("term")).isNotNull() & ~F.col("term").startswith("#"))
 
 
+#: What windows-1252 has in place of the control characters 0x80 to 0x9F; five are not assigned.
+_CP1252 = "".join(bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0))
+_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+
+
 def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 if every file under the path is valid UTF-8, else windows-1252."""
+    """UTF-8 if every file under the path is valid UTF-8, else ISO-8859-1."""
     files = spark.read.format("binaryFile").load(path)
     bad = files.filter(~F.is_valid_utf8(F.col("content").cast("string")))
-    return "windows-1252" if bad.limit(1).count() else "UTF-8"
+    return "ISO-8859-1" if bad.limit(1).count() else "UTF-8"
 
 
 def read_with_encoding_fallback(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, encoding=encoding_of(spark, path))
+    """A CSV in UTF-8, else in windows-1252: read as ISO-8859-1, which Spark knows, and its control characters mapped."""
+    encoding = encoding_of(spark, path)
+    rows = read_csv(spark, path, encoding=encoding)
+    if encoding == "UTF-8":
+        return rows
+    return rows.select(*[F.translate(f"`{c}`", _CONTROLS, _CP1252).alias(c) for c in rows.columns])
 
 
 def read_species_dictionary(rows: DataFrame) -> DataFrame:
