@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from litmine.llm.common import table
 
 #: Rows that one slice of an order has on average.
-SLICE_ROWS = 50_000
+SLICE_ROWS = 10_000
 SEED = 17
 
 
