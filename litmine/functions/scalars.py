@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def blank_to_null(c: Column) -> Column:
@@ -168,6 +169,17 @@ def flatten_entity(meta: Column) -> Column:
     return F.struct(aliases.alias("aliases"), F.map_filter(fields, lambda k, v: k != "aliases").alias("rest"))
 
 
+def flatten_metadata_values(df: DataFrame, *columns: str) -> Column:
+    """MAP<string,string> of columns: nulls are empty, lists, maps and structs JSON, all else its text."""
+    pairs = []
+    for c in columns:
+        kind = df.schema[c].dataType
+        plain = not isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
+        value = F.col(f"`{c}`").cast("string") if plain else F.to_json(F.col(f"`{c}`"))
+        pairs += [F.lit(c), F.coalesce(value, F.lit(""))]
+    return F.create_map(*pairs)
+
+
 def embedding_version(model: Column, dim: Column) -> Column:
     return F.substring(F.md5(F.concat_ws(":", model, dim.cast("string"))), 1, 8)
 

@@ -416,6 +416,24 @@ def jats_article(raw: str) -> tuple[dict, list[tuple[str, str]]]:
     return meta, sections
 
 
+def clean_xml(raw: Column) -> Column:
+    """Text of an article's body, of all of it without a body, with the tags cut out if it is malformed; single spaces."""
+
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(_xml_text)
+
+    return F.pandas_udf(clean, "string")(raw)
+
+
+def _xml_text(raw: str | None) -> str:
+    root = _xml(raw or "")
+    if root is None:
+        return " ".join(re.sub(r"<[^>]*>", " ", raw or "").split())
+    body = next((e for e in root.iter() if _local(e) == "body"), root)
+    return " ".join(" ".join(body.itertext()).split())
+
+
 def part_of(e, name: str) -> str:
     """Text of the direct child of that name."""
     return next((("".join(x.itertext())).strip() for x in e if _local(x) == name), "")

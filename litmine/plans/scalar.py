@@ -208,3 +208,40 @@ def _(spark, d):
 def _(spark, d):
     S.register_functions(spark)
     return table(spark, d, "pages").selectExpr("page_id", "lit_normalize_pmid(url) AS x", "lit_recency_score(CAST(NULL AS INT), 2024) AS r", "lit_page_for_offset('<!-- Page 2 --> a <!-- Page 3 --> b', 34) AS page")
+
+
+@query("s34_clean_xml", r"SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(regexp_replace(text, '[<>&]', ' ', 'g'), '\s+'), lambda w: w <> ''), ' ')) AS h FROM documents WHERE lang = 'en'")
+def _(spark, d):
+    from litmine.operators.chunking import clean_xml
+
+    body = F.regexp_replace("text", "[<>&]", " ")
+    xml = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<a><front>x</front><body><p>"), body, F.lit("</p></body></a>"))).otherwise(F.concat(F.lit("<p>"), body))
+    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.md5(clean_xml(xml)).alias("h"))
+
+
+@query("s35_flatten_metadata_values", "SELECT vec_id, CAST(label AS VARCHAR) AS label, '' AS missing, len(embedding) AS n FROM embeddings")
+def _(spark, d):
+    e = table(spark, d, "embeddings").withColumn("missing", F.lit(None).cast("string"))
+    m = S.flatten_metadata_values(e, "label", "missing", "embedding")
+    return e.select("vec_id", m.alias("m")).select("vec_id", F.col("m")["label"].alias("label"), F.col("m")["missing"].alias("missing"), F.size(F.from_json(F.col("m")["embedding"], "array<float>")).cast("long").alias("n"))
+
+
+@query("s10_s24_flatten_work", "SELECT doc_id, '10.1/' || doc_id AS doi, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'Untitled' END AS title, lang AS authors, doc_id % 3 = 0 AS has_full_text, 'w1 w2' AS abstract FROM documents")
+def _(spark, d):
+    from litmine.sources import readers
+
+    k = F.col("doc_id")
+    raw = table(spark, d, "documents").select(
+        F.to_json(
+            F.struct(
+                k.cast("string").alias("id"), F.concat(F.lit("https://doi.org/10.1/"), k.cast("string")).alias("doi"), F.when(k % 2 == 0, F.col("source")).alias("display_name"),
+                F.array(F.struct(F.struct(F.col("lang").alias("display_name")).alias("author"))).alias("authorships"),
+                F.array(F.struct(F.when(k % 3 == 0, F.lit("u")).alias("pdf_url"))).alias("locations"),
+                F.create_map(F.lit("w2"), F.array(F.lit(1)), F.lit("w1"), F.array(F.lit(0))).alias("abstract_inverted_index"),
+            )
+        ).alias("j"),
+        "doc_id",
+    )
+    w = raw.select("doc_id", F.from_json("j", readers.WORK).alias("w")).select("doc_id", "w.*")
+    flat = readers.flatten_work(w.drop("doc_id").withColumn("id", F.col("id")))
+    return flat.select(F.substring_index("doi", "/", -1).cast("long").alias("doc_id"), "doi", "title", "authors", "has_full_text", "abstract")
