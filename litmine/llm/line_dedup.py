@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from litmine.llm.common import Scratch, small, table
 from litmine.llm.near_dups import SIMILAR, linked, mix, overlap
 
-SHINGLE = 8
+SHINGLE = 8  # a power of two
 BANDS, ROWS = 12, 4
 #: Characters that are hashed at a time.
 _CHUNK = 1 << 16
@@ -37,9 +37,11 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(x) for x in lines])
     fill = "\x00" * (SHINGLE - 1)
     code = np.frombuffer((fill.join(lines) + fill).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    acc = np.zeros(len(code) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        acc = acc * np.uint64(0x9E3779B97F4A7C15) + code[k : k + len(acc)] + np.uint64(1)
+    # windows of 1, 2, 4 and so on characters, each from two of half the size
+    acc, width, factor = code + np.uint64(1), 1, 0x9E3779B97F4A7C15
+    while width < SHINGLE:
+        acc = acc[:-width] * np.uint64(factor) + acc[width:]
+        width, factor = 2 * width, factor * factor % (1 << 64)
     # full windows only, and the first, filled up, of a line that is shorter
     count = np.maximum(size - SHINGLE + 1, 1)
     at = np.cumsum(size + SHINGLE - 1) - (size + SHINGLE - 1)
