@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import litmine.plans  # noqa: F401
@@ -24,7 +25,7 @@ def duck():
 
 def rows(frame):
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         v = v.item() if hasattr(v, "item") else v
         return round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
