@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litmine.llm.common import Scratch, small, table
-from litmine.llm.near_dups import SIMILAR, linked, mix, overlap
+from litmine.llm.near_dups import SIMILAR, linked, mix
 
 SHINGLE = 8  # a power of two
 BANDS, ROWS = 12, 4
@@ -109,10 +109,16 @@ def _lines(extra: str | None):
     return lines
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keeps the pairs of lines (a, b, x, y) whose full shingle sets are similar enough."""
     for batch in batches:
-        sets = [np.unique(shingles([x])[0]).tobytes() for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+        x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        sets = {t: np.unique(shingles([t])[0]) for t in {*x, *y}}
+        keep = []
+        for p, q in zip(map(sets.get, x), map(sets.get, y)):
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            keep.append(SIMILAR[1] * both >= SIMILAR[0] * (len(p) + len(q) - both))
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +152,9 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
         turn = next(turns)
         pairs = scratch.save(pairs, f"pairs-{turn}")
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = scratch.save(texts_of(ids, turn).mapInArrow(_sets, "id long, shingles binary"), f"sets-{turn}")
-        full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        sizes = F.octet_length("x"), F.octet_length("y")
-        full = full.filter(F.least(*sizes) * SIMILAR[1] >= F.greatest(*sizes) * SIMILAR[0])
-        return full.select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long")
+        texts = scratch.save(texts_of(ids, turn), f"texts-{turn}")
+        full = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
+        return full.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
 
     def tokens_of(ids: DataFrame) -> DataFrame:
         sets = texts_of(ids, "open").mapInArrow(_tokens, "id long, tokens array<long>")
