@@ -1,8 +1,10 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a document, a template the words of a license notice.  A block
-holds a template if it has at least THRESHOLD of the template's distinct words
-(containment).  The join is exact and filters in the usual order:
+A block is a line of a document, or any run of as many consecutive words, across line
+breaks, as the longest template has; so a notice is found however it is wrapped.  A
+template is the words of a license notice.  A block holds a template if it has at least
+THRESHOLD of the template's distinct words (containment).  The join is exact and filters
+in the usual order:
 
 * tokens are ordered by how many blocks of the corpus have them, rarest first;
 * prefix: a block that holds a template of t tokens shares one of the template's
@@ -10,6 +12,9 @@ holds a template if it has at least THRESHOLD of the template's distinct words
 * length: it has at least ``need`` template tokens;
 * position: what stands after the shared token, on either side, must suffice.
 
+Runs of words are looked at around such tokens only, as a run that holds a template has
+one of them; first all words that a run with the token could have, then each run.
+
 Only words that occur in templates count; others can't add to a containment.
 DataFrame functions only.
 """
@@ -66,8 +71,23 @@ def _lines(docs: DataFrame, any_of: list[str]) -> DataFrame:
     return lines.select("doc_id", "text_hash", F.array_distinct(plain_words(F.col("line"))).alias("words"))
 
 
+def _runs(docs: DataFrame, any_of: list[str], run: int) -> DataFrame:
+    """(row, token, around, at): each place of one of the words in a text of several lines.
+
+    ``around`` has the words from run - 1 before the token to run - 1 after it, the token
+    standing at ``at`` from 1.
+    """
+    some = "|".join(sorted(map(re.escape, any_of)))
+    near = docs.filter(F.col("text").rlike(f"(?i)(?<![a-z0-9])(?:{some})(?![a-z0-9])") & F.col("text").contains("\n")) if any_of else docs.limit(0)
+    words = near.select("doc_id", "text_hash", plain_words(F.col("text")).alias("w"))
+    spots = F.filter(F.transform("w", lambda w, i: F.when(w.isin(any_of), i + 1)), lambda i: i.isNotNull())
+    first = lambda i: F.greatest(i - run + 1, F.lit(1))
+    seen = F.transform(spots, lambda i: F.struct(F.element_at("w", i).alias("token"), F.slice("w", first(i), i - first(i) + run).alias("around"), (i - first(i) + 1).alias("at")))
+    return words.select("doc_id", "text_hash", F.explode(seen).alias("s")).select("doc_id", "text_hash", "s.*")
+
+
 def template_links(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """(doc_id, text_hash, label, score): templates that a line of the document holds.
+    """(doc_id, text_hash, label, score): templates that a line or a run of words holds.
 
     ``docs``: (doc_id, text_hash, text).  ``score`` is the best containment.
     """
@@ -104,7 +124,15 @@ def template_links(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
         & (F.least(F.size("block") - F.col("bpos"), F.col("tsize") - F.col("tpos")) + F.least("bpos", "tpos") >= F.col("need"))
     )
     both = F.size(F.array_intersect("block", "tokens"))
-    return near.filter(both >= F.col("need")).groupBy("doc_id", "text_hash", "label").agg(F.max(both / F.col("tsize")).alias("score"))
+    lines = near.filter(both >= F.col("need")).select("doc_id", "text_hash", "label", (both / F.col("tsize")).alias("score"))
+    run = max(len(_words(text)) for _, text in templates)
+    whole = docs.sparkSession.createDataFrame(
+        [(name, names[t], len(sets[name]), need, sorted(sets[name])) for name, t, _, _, need, _ in prefixes], "label string, token string, tsize int, need int, tokens array<string>"
+    )
+    around = _runs(docs, wanted, run).join(F.broadcast(whole), "token").filter(F.size(F.array_intersect("around", "tokens")) >= F.col("need"))
+    most = F.array_max(F.transform(F.sequence(F.lit(1), "at"), lambda i: F.size(F.array_intersect(F.slice("around", i, run), F.col("tokens")))))
+    runs = around.withColumn("most", most).filter(F.col("most") >= F.col("need")).select("doc_id", "text_hash", "label", (F.col("most") / F.col("tsize")).alias("score"))
+    return lines.unionByName(runs).groupBy("doc_id", "text_hash", "label").agg(F.max("score").alias("score"))
 
 
 def phrase_places(words: Column, phrase: str) -> Column:

@@ -1,6 +1,7 @@
 """The operators against plain versions of what they compute."""
 
 import random
+import textwrap
 from collections import defaultdict
 
 import numpy as np
@@ -137,6 +138,43 @@ def test_licenses(spark):
     assert got[3].base_labels == "apache-2,cc-by-nc" and got[4].labels == ""
 
 
+def test_licenses_wrapped(spark):
+    """Every template is found as well when it is wrapped, commented and inside other lines."""
+    rows, expected = [], {}
+    for k, (name, text) in enumerate(license_scans.TEMPLATES):
+        for width in (20, 40, 75):
+            rows.append((len(rows), "int main() {\n\n" + textwrap.fill(text, width, initial_indent=" * ", subsequent_indent=" * ") + "\n\nmore text\n"))
+            expected[rows[-1][0]] = name
+    text = license_scans.TEMPLATES[5][1].split()
+    rows += [(1000, "\n".join(text[:6])), (1001, "\n".join(text[:6] + ["word"] * 30 + text[6:]))]
+    got = {r.doc_id: r for r in license_scans.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, name in expected.items():
+        assert name in got[k].labels.split(",") and got[k].score == 1, (name, rows[k])
+    assert got[1000].labels == got[1001].labels == ""
+
+
+def test_license_runs_equal_brute_force(spark):
+    rng = random.Random(3)
+    run = max(len(license_scans._words(t)) for _, t in license_scans.TEMPLATES)
+    sets = {name: set(license_scans._words(t)) for name, t in license_scans.TEMPLATES}
+    rows = []
+    for k in range(60):
+        out = []
+        for _ in range(3):
+            part = license_scans._words(rng.choice(license_scans.TEMPLATES)[1])
+            out += [x for w in part for x in ([w] if rng.random() < 0.96 else [w, "odd"] if rng.random() < 0.5 else ["odd"])] + ["odd"] * rng.randint(0, 30)
+        rows.append((k, "".join(w + rng.choice(" \n   ") for w in out)))
+    got = {r.doc_id: r for r in license_scans.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        w = license_scans._words(text)
+        blocks = [set(license_scans._words(x)) for x in text.split("\n")] + [set(w[i : i + run]) for i in range(len(w))]
+        best = {name: max(len(b & s) for b in blocks) / len(s) for name, s in sets.items()}
+        held = {n: x for n, x in best.items() if 10 * round(x * len(sets[n])) >= 9 * len(sets[n])}
+        base = set(got[k].base_labels.split(",")) - {""}
+        assert set(got[k].labels.split(",")) - {""} == set(held) | base
+        assert base or got[k].score == pytest.approx(max(held.values(), default=0))
+
+
 def test_token_counts_equal_the_library(spark, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     import sentencepiece
