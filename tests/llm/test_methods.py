@@ -112,6 +112,31 @@ def test_field_on_held_out_lines():
     assert hit / (hit + wrong) > 0.95 and hit / (hit + missed) > 0.9
 
 
+@pytest.mark.parametrize("value", ["CorrectHorseBatteryStaple", "Xk93qLm2", "qWeRtYuIoPaSdFgH"])
+def test_field_on_letters_only_and_short_secrets(value):
+    text = f"the report\npwd: {value}\nof the server"
+    assert secret_scans.find_secrets(text, secret_scans.train()) == [(16, 16 + len(value), "crf")]
+
+
+def test_field_equals_viterbi_over_whole_lines():
+    """Of texts of many lines, with every token's features made by themselves and no token left out."""
+    field, lines = secret_scans.train(), [x for x, _ in secret_scans.training_lines(200, seed=9)]
+    for text in ["", "\n", "\n\nx", *["\n".join(lines[k : k + 7]) for k in range(0, 200, 7)]]:
+        file, at, expected = secret_scans.file_features(text), 0, []
+        for line in text.split("\n"):
+            found = list(secret_scans._TOKEN.finditer(line))
+            w = [m[0] for m in found]
+            feats = [secret_scans.token_features(w[i], w[:i][::-1][:4], w[i + 1 : i + 2], file) for i in range(len(w))]
+            tags = field.viterbi(np.array([field.weights[f].sum(axis=0) for f in feats])) if w else []
+            for m, tag in zip(found, tags):
+                if tag == secret_scans.B:
+                    expected.append((at + m.start(), at + m.end()))
+                elif tag == secret_scans.I:
+                    expected[-1] = (expected[-1][0], at + m.end())
+            at += len(line) + 1
+        assert field.spans(text) == expected
+
+
 def test_viterbi_equals_all_paths():
     rng = np.random.default_rng(4)
     for _ in range(20):
