@@ -14,8 +14,8 @@ from litmine.operators.chunking import strip_to_body
 
 RETRIEVE, RERANK, PARENTS, OVERLAP = 60, 40, 10, 0.60
 K1, B, RRF_K = 1.2, 0.75, 60
-#: Questions of one dense search; their vectors travel with the tasks.
-MAX_QUESTIONS = 5_000
+#: Questions and chunks that are multiplied at once in a dense search.
+QUESTION_BLOCK, CHUNK_BLOCK = 512, 4_096
 NO_CONTEXT = "No relevant passages were found for this question."
 
 
@@ -23,32 +23,54 @@ def truncate_dim(v: Column, d: int) -> Column:
     return F.slice(v, 1, d)
 
 
+def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """(ids, unit): rows (key, embedding) in blocks of at most ``size``, with their unit vectors as bytes."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, unit = [], []
+
+        def block() -> pd.DataFrame:
+            out = pd.DataFrame({"ids": [ids[:size]], "unit": [np.array(unit[:size]).tobytes()]})
+            del ids[:size], unit[:size]
+            return out
+
+        for part in batches:
+            for i, x in zip(part[key], part["embedding"]):
+                v = np.asarray(x, float)
+                ids.append(int(i))
+                unit.append(v / max(np.linalg.norm(v), 1e-30))
+                if len(ids) == size:
+                    yield block()
+        if ids:
+            yield block()
+
+    return rows.filter("embedding IS NOT NULL").select(key, "embedding").mapInPandas(pack, "ids array<long>, unit binary")
+
+
 def dense_topk(questions: DataFrame, chunks: DataFrame, k: int = RETRIEVE) -> DataFrame:
     """(question_id, chunk_id, score, rank): the k nearest chunks of each question by cosine, exactly.
 
-    ``questions``: (question_id, embedding), MAX_QUESTIONS at most; ``chunks``:
-    (chunk_id long, embedding).  Each batch of chunks is multiplied with all questions
-    and hands on its own k best, so what is shuffled doesn't grow with the pairs.
+    ``questions``: (question_id long, embedding), as many as there are; ``chunks``:
+    (chunk_id long, embedding).  Each block of questions meets each block of chunks in a
+    task, which hands on the k best of the pair of blocks; nothing is read to the driver.
     """
-    asked = questions.select("question_id", "embedding").limit(MAX_QUESTIONS + 1).toPandas()
-    if len(asked) > MAX_QUESTIONS:
-        raise ValueError(f"more than {MAX_QUESTIONS} questions; hand them in in blocks")
-    ids = asked["question_id"].to_numpy()
-    q = np.array([np.asarray(v, float) for v in asked["embedding"]]) if len(asked) else np.zeros((0, 1))
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if not len(rows) or not len(q):
-                continue
-            v = np.array([np.asarray(x, float) for x in rows["embedding"]])
-            score = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)).T
-            chunk = rows["chunk_id"].to_numpy()
-            for i in range(len(q)):
-                top = np.lexsort((chunk, -score[i].round(12)))[:k]
-                yield pd.DataFrame({"question_id": ids[i], "chunk_id": chunk[top], "score": score[i][top]})
-
-    found = chunks.filter("embedding IS NOT NULL").select("chunk_id", "embedding").mapInPandas(best, "question_id long, chunk_id long, score double")
+        for pairs in batches:
+            for asked, q, chunk, v in zip(pairs["q_ids"], pairs["q_unit"], pairs["ids"], pairs["unit"]):
+                chunk = np.asarray(chunk)
+                score = np.frombuffer(q).reshape(len(asked), -1) @ np.frombuffer(v).reshape(len(chunk), -1).T
+                tops = [np.lexsort((chunk, -row.round(12)))[:k] for row in score]
+                yield pd.DataFrame({
+                    "question_id": np.repeat(np.asarray(asked), [len(t) for t in tops]),
+                    "chunk_id": chunk[np.concatenate(tops)],
+                    "score": np.concatenate([row[t] for row, t in zip(score, tops)]),
+                })
+
+    # dealt out, so that the blocks are made once and not for each pair of partitions
+    asked = _blocks(questions, "question_id", QUESTION_BLOCK).select(F.col("ids").alias("q_ids"), F.col("unit").alias("q_unit")).repartition(F.col("q_ids")[0])
+    pairs = _blocks(chunks, "chunk_id", CHUNK_BLOCK).repartition(F.col("ids")[0]).crossJoin(asked)
+    found = pairs.mapInPandas(best, "question_id long, chunk_id long, score double")
     w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 12)), "chunk_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

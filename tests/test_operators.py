@@ -146,3 +146,18 @@ def test_stream_ingest(spark, tmp_path):
     (folder / "b.txt").write_text("more")
     ingest.stream_ingest(ingest.read_files(spark, str(folder)), lambda rows, n: seen.extend(r.filename for r in rows.collect()), str(tmp_path / "state")).awaitTermination()
     assert seen == ["a.txt", "b.txt"]
+
+
+def test_dense_search_of_many_questions(spark):
+    """More questions than one block, and than the 5,000 that were once the most."""
+    import numpy as np
+
+    from litmine.operators import retrieval
+
+    rng = np.random.default_rng(1)
+    q, v = rng.normal(size=(5_100, 8)), rng.normal(size=(300, 8))
+    rows = lambda m, name: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], f"{name} long, embedding array<double>")
+    got = retrieval.dense_topk(rows(q, "question_id"), rows(v, "chunk_id"), 5).toPandas().sort_values(["question_id", "rank"])
+    score = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+    assert got["chunk_id"].tolist() == np.argsort(-score, axis=1)[:, :5].ravel().tolist()
+    assert np.allclose(got["score"], -np.sort(-score, axis=1)[:, :5].ravel())
