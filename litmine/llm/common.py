@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of the quality, dedup and mixing operators: runs without ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -14,8 +15,8 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows of a table of ids up to which joins broadcast it (16 bytes a row, 8 MB); larger ones shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes of a table up to which joins broadcast it; larger ones shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -49,15 +50,35 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing lazy reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing lazy reads any more."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(ids: DataFrame) -> DataFrame:
-    """``ids`` with a broadcast hint if it has been counted to be small, else as it is."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes in a row, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(value) + 16
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+        return F.aggregate(value, F.lit(16).cast("long"), lambda sum_, x: sum_ + F.coalesce(_bytes(x, kind.elementType), F.lit(8)).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        return F.size(value) * 8 + 16
+    if isinstance(kind, T.StructType):
+        return sum((F.coalesce(_bytes(value[f.name], f.dataType), F.lit(8)).cast("long") for f in kind.fields), F.lit(16).cast("long"))
+    return F.lit(8)
+
+
+def within(rows: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the bytes of all rows, added up, are within the limit."""
+    each = sum((F.coalesce(_bytes(F.col(f"`{f.name}`"), f.dataType), F.lit(8)).cast("long") for f in rows.schema.fields), F.lit(16).cast("long"))
+    return (rows.agg(F.sum(each)).first()[0] or 0) <= limit
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """``rows`` with a broadcast hint if their bytes have been added up to be few, else as they are."""
+    return F.broadcast(rows) if within(rows) else rows
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 Lines are compared in normal form (A-Z lower-cased, runs of white space as one space,
 none at the ends).  A line's shingles are its windows of SHINGLE characters; a shorter
-line is one shingle.  Equal lines are one node.  Nodes
+line is one shingle.  Equal lines are one node, named by 64 bits of their digest.  Nodes
 that agree in a band of ROWS min-hashes are candidates (a pair at 0.75 is missed by all
 BANDS bands with a chance of 1 %, one at 0.85 with less than 1 in 5,000); a pair is
 linked if the Jaccard similarity of its full shingle sets is 0.75 or more.  Of each
 connected component the first line, by document and line number, stays.
+
+Texts are read twice: once for digests and bands, and once for the few lines that share
+a band with another line.  (Should two different lines have one name, by chance in
+n * n / 2^65 for n lines, only one of them takes part in fuzzy links.)
 """
 
 from __future__ import annotations
@@ -24,30 +28,35 @@ from litmine.llm.near_dups import SIMILAR, linked, mix
 
 SHINGLE = 8  # a power of two
 BANDS, ROWS = 12, 4
-#: Characters that are hashed at a time.
-_CHUNK = 1 << 16
+#: All pairs of a band's nodes are compared up to so many nodes; see ``near_dups`` for longer lists.
+SMALL_LIST = 32
+#: Characters that are hashed at a time, so that their hashes stay in the processor's cache.
+_CHUNK = 1 << 15
 
-_RNG = np.random.default_rng(77)
-_XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-_ODD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_ODD = np.random.default_rng(77).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+#: A-Z lower-cased, ASCII white space but the line break as a space.
+_PLAIN = bytes(32 if b in (9, 11, 12, 13) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit shingle hashes of non-empty lines, one after the other, and where each line starts."""
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit shingle hashes of non-empty lines, one after the other, and where each line starts."""
     size = np.array([len(x) for x in lines])
     fill = "\x00" * (SHINGLE - 1)
-    code = np.frombuffer((fill.join(lines) + fill).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    acc = np.frombuffer((fill.join(lines) + fill).encode("utf-32-le"), np.uint32) + np.uint32(1)
     # windows of 1, 2, 4 and so on characters, each from two of half the size
-    acc, width, factor = code + np.uint64(1), 1, 0x9E3779B97F4A7C15
+    width, factor = 1, 0x9E3779B1
     while width < SHINGLE:
-        acc = acc[:-width] * np.uint64(factor) + acc[width:]
-        width, factor = 2 * width, factor * factor % (1 << 64)
-    # full windows only, and the first, filled up, of a line that is shorter
+        acc = acc[:-width] * np.uint32(factor) + acc[width:]
+        width, factor = 2 * width, factor * factor % (1 << 32)
+    for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        acc ^= acc >> np.uint32(shift)
+        acc *= np.uint32(times)
+    acc ^= acc >> np.uint32(16)
+    # a full window never starts in the filling: those that do are never the least
     count = np.maximum(size - SHINGLE + 1, 1)
-    at = np.cumsum(size + SHINGLE - 1) - (size + SHINGLE - 1)
-    starts = np.cumsum(count) - count
-    own = np.arange(count.sum()) + np.repeat(at - starts, count)
-    return mix(acc[own]), starts
+    starts = np.cumsum(size + SHINGLE - 1) - (size + SHINGLE - 1)
+    own = np.arange(count.sum()) + np.repeat(starts - (np.cumsum(count) - count), count)
+    return acc[own], np.cumsum(count) - count
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -58,117 +67,145 @@ def band_keys(lines: list[str]) -> np.ndarray:
         while hi < len(lines) and (hi == lo or size + len(lines[hi]) <= _CHUNK):
             size += len(lines[hi])
             hi += 1
-        h, starts = shingles(lines[lo:hi])
-        x = (h >> np.uint64(32)).astype(np.uint32)
-        for b in range(BANDS):
-            key = np.full(hi - lo, b + 1, np.uint64)
-            for r in range(b * ROWS, (b + 1) * ROWS):
-                low = np.minimum.reduceat((x ^ _XOR[r]) * _ODD[r], starts)
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low)
-            out[lo:hi, b] = key
+        x, starts = shingle_hashes(lines[lo:hi])
+        low, turned = np.empty((BANDS * ROWS, hi - lo), np.uint32), np.empty_like(x)
+        for r, odd in enumerate(_ODD):
+            np.minimum.reduceat(np.multiply(x, odd, out=turned), starts, out=low[r])
+        low = low.reshape(BANDS, ROWS, hi - lo)
+        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], (BANDS, hi - lo))
+        for r in range(ROWS):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
+        out[lo:hi] = key.T
         lo = hi
     return out
 
 
 def normal_lines(text: bytes) -> list[tuple[int, bytes]]:
     """Number and normal form of the lines that have a word."""
-    return [(k, b" ".join(words)) for k, line in enumerate(text.lower().split(b"\n")) if (words := line.split())]  # bytes: A-Z, 0x20 and 0x09-0x0D only
-
-
-_LINE = "doc_id long, line_no int, h1 long, h2 long"
-
-
-def _lines(extra: str | None):
-    """Lines of documents with the 128-bit digest of their normal form, and their ``bands`` or ``norm`` if asked."""
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                docs, numbers, norms = [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary())):
-                    found = normal_lines(text.as_py())
-                    docs += [doc] * len(found)
-                    numbers += [k for k, _ in found]
-                    norms += [n for _, n in found]
-                if not docs:
-                    continue
-                digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, norms)), np.int64).reshape(-1, 2)
-                columns = [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())]
-                names = ["doc_id", "line_no", "h1", "h2"]
-                if extra == "norm":
-                    columns.append(pa.array(norms, pa.binary()).cast(pa.string()))
-                    names.append("norm")
-                elif extra == "bands":
-                    keys = band_keys([n.decode() for n in norms])
-                    offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
-                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64))))
-                    names.append("bands")
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    return lines
+    text = text.translate(_PLAIN)
+    if b"  " in text:
+        return [(k, b" ".join(words)) for k, line in enumerate(text.split(b"\n")) if (words := line.split(b" ")) and (words := [w for w in words if w])]
+    return [(k, line) for k, raw in enumerate(text.split(b"\n")) if (line := raw.strip(b" "))]
+
+
+_LINES = "doc_id long, line_no int, h1 long, h2 long, bands array<long>"
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of documents with the 128-bit digest of their normal form; bands where a digest comes first in its batch."""
+    for batch in batches:
+        seen: set[bytes] = set()
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            docs, numbers, norms = [], [], []
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary())):
+                found = normal_lines(text.as_py())
+                docs += [doc] * len(found)
+                numbers += [k for k, _ in found]
+                norms += [n for _, n in found]
+            if not docs:
+                continue
+            digests = list(map(xxhash.xxh3_128_digest, norms))
+            fresh = []
+            for d in digests:
+                fresh.append(d not in seen)
+                seen.add(d)
+            digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            keys = band_keys([n.decode() for n, new in zip(norms, fresh) if new])
+            ends = np.concatenate(([0], np.cumsum(fresh, dtype=np.int32))) * BANDS
+            bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel().view(np.int64)))
+            columns = [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), bands]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "h1", "h2", "bands"])
+
+
+def shingle_set(line: str) -> set[str]:
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+
+
+def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Normal forms of the lines that are asked for: texts with their line numbers and digests."""
+    for batch in batches:
+        ids, seconds, sizes, norms = [], [], [], []
+        for text, numbers, ones, twos in zip(*(batch.column(k) for k in range(4))):
+            lines = dict(normal_lines(text.cast(pa.binary()).as_py()))
+            for k, h1, h2 in zip(numbers.as_py(), ones.as_py(), twos.as_py()):
+                norm = lines.get(k, b"")
+                # rows of other texts may share the doc_id
+                if xxhash.xxh3_128_digest(norm) == h1.to_bytes(8, "little", signed=True) + h2.to_bytes(8, "little", signed=True):
+                    ids.append(h1)
+                    seconds.append(h2)
+                    norms.append(norm.decode())
+                    sizes.append(len(shingle_set(norms[-1])))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(norms, pa.string())], ["id", "h2", "n", "norm"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs of lines (a, b, x, y) whose full shingle sets are similar enough."""
     for batch in batches:
-        x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        sets = {t: np.unique(shingles([t])[0]) for t in {*x, *y}}
-        keep = []
-        for p, q in zip(map(sets.get, x), map(sets.get, y)):
-            both = len(np.intersect1d(p, q, assume_unique=True))
+        keep, known = [], {}
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            p, q = (known.get(t) or known.setdefault(t, shingle_set(t)) for t in (x, y))
+            both = len(p & q)
             keep.append(SIMILAR[1] * both >= SIMILAR[0] * (len(p) + len(q) - both))
+            if len(known) > 1000:
+                known.clear()
         yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.unique(shingles([x])[0]).view(np.int64) for x in batch.column(1).to_pylist()]
+        sets = [[xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in shingle_set(x)] for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "tokens"])
 
 
 def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, line_no) of every line of documents (doc_id, text) that repeats an earlier one."""
-    banded = docs.mapInArrow(_lines("bands"), f"{_LINE}, bands array<long>")
-    classes = (
-        banded.groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.max("bands").alias("bands"))
-        .withColumn("id", F.monotonically_increasing_id())
-    )
-    classes = scratch.save(classes, "classes")  # ids are settled by writing them
-    posted = classes.select(F.explode("bands").alias("token"), "id").withColumn("typical", F.lit(0))
-    shared = posted.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-    posted = scratch.save(posted.join(shared, "token"), "posted")
-    turns = iter("0123456789")
-
-    def texts_of(ids: DataFrame, turn: str) -> DataFrame:
-        """(id, norm) of nodes."""
-        at = scratch.save(ids.join(classes.select("id", "h1", "h2", "first.*"), "id"), f"at-{turn}")
-        near = docs.join(small(at.select("doc_id").distinct()), "doc_id", "left_semi")
-        texts = near.mapInArrow(_lines("norm"), f"{_LINE}, norm string").join(small(at), ["doc_id", "line_no", "h1", "h2"])
-        return texts.select("id", "norm").dropDuplicates(["id"])
+    """(doc_id, line_no) of every line of documents (doc_id, text) that repeats an earlier one.
+
+    Documents have an id and a text; rows that share an id are one document, so a line of
+    one of them is the same place as that of the others.  An empty table gives an empty one.
+    """
+    lines = scratch.save(docs.mapInArrow(_lines, _LINES), "lines")
+    banded = lines.select(F.explode("bands").alias("token"), F.col("h1").alias("id"))
+    # tokens of several lines; a line that stands in many documents is posted by each batch of them
+    shared = banded.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("token")
+    shared = scratch.save(shared, "shared")
+    posted = scratch.save(banded.join(small(shared), "token").distinct().withColumn("typical", F.lit(0)), "posted")
+    scratch.drop("shared")
+    ids = scratch.save(posted.select("id").distinct(), "ids")
+    at = lines.filter(F.size("bands") > 0).join(small(ids), F.col("h1") == F.col("id")).groupBy("h1").agg(F.min(F.struct("h2", "doc_id", "line_no")).alias("first"))
+    at = at.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line_no", "h1", "first.h2")).alias("at"))  # lines of one document
+    at = scratch.save(at.select(F.col("doc_id").alias("of"), "at"), "at")
+    texts = docs.join(small(at), F.col("doc_id") == F.col("of")).select("text", "at.line_no", "at.h1", "at.h2")
+    texts = scratch.save(texts.mapInArrow(_picked, "id long, h2 long, n int, norm string").dropDuplicates(["id"]), "texts")
+    scratch.drop("at", "ids")
+
+    turns = iter(range(9))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        turn = next(turns)
-        pairs = scratch.save(pairs, f"pairs-{turn}")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        texts = scratch.save(texts_of(ids, turn), f"texts-{turn}")
-        full = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
+        pairs = scratch.save(pairs, f"pairs-{next(turns)}")
+        sized = texts.select("id", "n", "norm")
+        full = pairs.join(sized.toDF("a", "na", "x"), "a").join(sized.toDF("b", "nb", "y"), "b").filter(F.least("na", "nb") * SIMILAR[1] >= F.greatest("na", "nb") * SIMILAR[0])
         return full.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
 
     def tokens_of(ids: DataFrame) -> DataFrame:
-        sets = texts_of(ids, "open").mapInArrow(_tokens, "id long, tokens array<long>")
+        sets = texts.join(small(ids), "id", "left_semi").select("id", "norm").mapInArrow(_tokens, "id long, tokens array<long>")
         need = F.ceil(F.size("tokens") * SIMILAR[0] / SIMILAR[1])
         return sets.select("id", F.size("tokens").alias("size"), need.alias("need"), F.explode("tokens").alias("token"))
 
-    label = linked(posted, confirm, tokens_of, scratch)
-    groups = classes.select("id", "h1", "h2", "first", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    active = groups.filter("n > 1").select("component").union(label.select("component")).distinct()
-    groups = groups.join(active, "component")
-    keep = groups.groupBy("component").agg(F.min("first").alias("keep"))
-    groups = scratch.save(groups.join(keep, "component").select("h1", "h2", "keep"), "groups")
-    again = docs.mapInArrow(_lines(None), _LINE).join(groups, ["h1", "h2"])
-    return again.filter((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line_no") != F.col("keep.line_no"))).select("doc_id", "line_no")
+    label = linked(posted, confirm, tokens_of, scratch, SMALL_LIST)
+    label = scratch.save(label.join(texts.select("id", "h2"), "id").select(F.col("id").alias("l1"), F.col("h2").alias("l2"), "component"), "groups")
+    scratch.drop("posted", "texts", "label", "labels", "pairs-0", "pairs-1")
+    # a line's group: its component, or all lines equal to it
+    placed = lines.select("doc_id", "line_no", "h1", "h2").join(small(label), F.expr("h1 = l1 AND h2 = l2"), "left")
+    placed = placed.select("doc_id", "line_no", F.coalesce("component", "h1").alias("g1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("g2"))
+    groups = placed.groupBy("g1", "g2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    groups = scratch.save(groups.toDF("of1", "of2", "first_doc"), "repeated")
+    members = scratch.save(placed.join(small(groups), F.expr("g1 = of1 AND g2 = of2")).select("doc_id", "line_no", "g1", "g2", "first_doc"), "members")
+    first = members.filter("doc_id = first_doc").groupBy("g1", "g2").agg(F.min("line_no").alias("first_line"))
+    gone = members.join(small(first.toDF("of1", "of2", "first_line")), F.expr("g1 = of1 AND g2 = of2")).filter("doc_id <> first_doc OR line_no <> first_line")
+    gone = scratch.save(gone.select("doc_id", "line_no"), "gone")
+    scratch.drop("lines", "groups", "repeated", "members")
+    return gone
 
 
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,12 +221,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Lines without a word stay where they are.  Rows without a doc_id or a text are left
     as they are and are no reason to drop lines elsewhere.  Rows that share a doc_id
     are one document: the line that stays does so in each of them.  An empty table
-    gives an empty one.
+    gives an empty one.  Columns of ``docs`` may have any names.
     """
-    gone = Scratch(docs.sparkSession, "dropped").save(dropped_lines(docs, doc_id, text).select(F.col("doc_id").alias("_gone_id"), F.col("dropped").alias("_gone")), "lines")
-    rest = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    out = docs.join(small(gone), docs[doc_id].cast("long") == F.col("_gone_id"), "left")
-    return out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(rest)).select(*[f"`{c}`" for c in docs.columns])
+    gone = dropped_lines(docs, doc_id, text).select(F.col("doc_id").alias("id"), F.col("dropped").alias("gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    old = F.col("row").getField(text)
+    rest = F.array_join(F.filter(F.split(old, "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
+    out = rows.join(small(gone), F.col("row").getField(doc_id).cast("long") == F.col("id"), "left").withColumn("new", F.when(F.col("gone").isNull(), old).otherwise(rest))
+    return out.select(*[F.col("new").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,10 @@ the most typical node only.  When the groups so found are known, the nodes of li
 that still hold several groups are joined once more by the same prefix rule, now over
 their full shingle sets (of n shingles 3n/4 must be shared, so the n/4 + 1 rarest
 are posted) and with a bound from a shared token's positions, and there nodes outside a list's largest group are paired with nodes of
-other groups.  No pair between different groups is left out, pairs within a group are
-not made.  Pairs with MATCHES equal coordinates are confirmed on full shingle sets.
+other groups.  The smaller set of a pair must have its first shared token in its first
+seventh (see ``_across``), which one side of that join is cut to: pages of one template
+that are less alike than the threshold are not paired.  No pair between different groups
+is left out, pairs within a group are not made.  Pairs with MATCHES equal coordinates are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from litmine.llm.common import Scratch, components, small, table
 
@@ -81,13 +82,13 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-_SIGNED = "doc_id long, n_shingles long, set_id string, sig array<int>"
+_SIGNED = "doc_id long, text_hash long, n_shingles long, set_id string, sig array<int>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
+        texts = batch.column(2).cast(pa.binary())
         n, ids, sigs = [], [], []
         for t in texts:
             s = shingle_set(t.as_py(), hashes)
@@ -95,8 +96,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
             sigs.append(signature(s).view(np.int32) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(sigs, pa.list_(pa.int32()))],
-            ["doc_id", "n_shingles", "set_id", "sig"],
+            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(sigs, pa.list_(pa.int32()))],
+            ["doc_id", "text_hash", "n_shingles", "set_id", "sig"],
         )
 
 
@@ -154,24 +155,43 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.join(main.select("token", "main"), "token")
 
 
+def _across(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may be similar, from ``_mixed`` postings of full sets.
+
+    With sizes s <= l and first shared tokens at positions p and q, an overlap of 75 / 175
+    of s + l must fit into s - p and l - q.  As s + l >= 2 s, p is at most s / 7: only such
+    postings can be the smaller side.  Of two nodes one is outside the list's main component.
+    """
+    a = [F.col(c).alias(f"{c}a") for c in ("id", "component", "size", "at")]
+    b = [F.col(c).alias(f"{c}b") for c in ("id", "component", "size", "at")]
+    main, low = F.col("component") == F.col("main"), F.col("at") * sum(SIMILAR) <= F.col("size") * (SIMILAR[1] - SIMILAR[0])
+    fits = F.least(F.col("sizea") - F.col("ata"), F.col("sizeb") - F.col("atb")) * sum(SIMILAR) >= (F.col("sizea") + F.col("sizeb")) * SIMILAR[0]
+    apart = (F.col("componenta") != F.col("componentb")) & (F.col("sizea") <= F.col("sizeb")) & fits
+    rest = mixed.filter(low & ~main).select("token", *a).join(mixed.select("token", *b), "token").filter(apart)
+    hung = mixed.filter(low & main).select("token", *a).join(mixed.filter(~main).select("token", *b), "token").filter(apart)
+    return rest.unionByName(hung).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
+
+
 def linked(
     posted: DataFrame,
     confirm: Callable[[DataFrame], DataFrame],
     tokens_of: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
+    small_list: int = SMALL_LIST,
 ) -> DataFrame:
     """Component (id, component) of every node with a confirmed link.
 
     ``posted``: (token, id, typical), written; ``confirm`` keeps the pairs (a, b)
     that are links; ``tokens_of`` gives the full sets (id, size, need, token) of ids.
-    Exact over all pairs that share a token, as described above.
+    Exact over all pairs that share a token, as described above.  Of the tables it
+    writes only the result stays.
     """
     lists = scratch.save(
         posted.groupBy("token").agg(F.count("*").alias("n"), F.max_by("id", F.struct("typical", -F.col("id"))).alias("hub")).filter("n > 1"), "lists"
     )
     known = posted.join(lists, "token")
-    hubs = known.filter(F.col("id") != F.col("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    few = known.filter(F.col("n") <= SMALL_LIST).select("token", "id")
+    hubs = known.filter((F.col("n") > small_list) & (F.col("id") != F.col("hub"))).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    few = known.filter(F.col("n") <= small_list).select("token", "id")
     every = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     links = scratch.save(confirm(hubs.unionByName(every).distinct()), "links")
     label = scratch.save(components(links, scratch, "first"), "label")
@@ -179,47 +199,56 @@ def linked(
     def place(rows: DataFrame) -> DataFrame:
         return rows.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    open_ = scratch.save(_mixed(place(known.filter(F.col("n") > SMALL_LIST))).select("id").distinct(), "open")
-    if open_.isEmpty():
-        return label
-    mixed = scratch.save(_mixed(place(postings(tokens_of(open_)))), "mixed")
-    rest = mixed.filter(F.col("component") != F.col("main")).select("token", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"), F.col("at").alias("pa"))
-    other = mixed.select("token", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("at").alias("pb"))
-    # position: if this is the first token they share, what is left on both sides must suffice
-    # for an overlap of 75 / (100 + 75) of both sizes together
-    enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * sum(SIMILAR) >= (F.col("na") + F.col("nb")) * SIMILAR[0]
-    across = rest.join(other, "token").filter((F.col("ca") != F.col("cb")) & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = scratch.save(confirm(across.distinct()), "more")
-    if more.isEmpty():
-        return label
-    return scratch.save(components(links.unionByName(more), scratch, "all"), "labels")
+    open_ = scratch.save(_mixed(place(known.filter(F.col("n") > small_list))).select("id").distinct(), "open")
+    scratch.drop("lists")
+    more = None
+    if not open_.isEmpty():
+        mixed = scratch.save(_mixed(place(postings(tokens_of(open_)))), "mixed")
+        more = scratch.save(confirm(_across(mixed)), "more")
+        scratch.drop("mixed")
+    if more is not None and not more.isEmpty():
+        # components that a late link joins become one; nodes without a component are one of their own
+        named = label.select("id", "component")
+        ends = more.join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        top = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch, "all").toDF("component", "top")
+        alone = ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct().join(label, "id", "left_anti").withColumn("component", F.col("id"))
+        every = named.unionByName(alone).join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+        label = scratch.save(every, "labels")
+        scratch.drop("label")
+    scratch.drop("links", "open", "more")
+    return label
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash.
 
     component_id is the smallest doc_id that links reach; kept marks that document.
     Texts without words, or null, have no shingles and are linked with nothing:
     they are kept.  Repeated rows get equal results; rows that share a doc_id but not
-    the text are placed by their own texts.  A null doc_id can't be linked: its component_id is null and it is
-    kept.  Other columns of ``docs`` are not read, whatever their names; an empty
-    table gives an empty result.
+    the text are placed by their own texts, which ``text_hash`` (xxhash64) tells apart.
+    A null doc_id can't be linked: its component_id is null and it is kept.  Other
+    columns of ``docs`` are not read, whatever their names; an empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     signed = scratch.save(plain.mapInArrow(_sign, _SIGNED), "signed")
-    firsts = signed.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("id"))
-    # equal sets have equal signatures: the first document stands for all of them
-    nodes = scratch.save(
-        signed.join(firsts, (signed.set_id == firsts.set_id) & (signed.doc_id == firsts.id)).select("id", "n_shingles", "sig").dropDuplicates(["id", "n_shingles", "sig"]),
-        "nodes",
-    )
+    # equal sets are one node, and have equal signatures: its first document stands for all of them
+    usable = signed.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
+    firsts = usable.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("m")).select("set_id", "m.*")
+    one = usable.join(firsts, ["set_id", "doc_id", "text_hash"]).dropDuplicates(["set_id"]).withColumnRenamed("doc_id", "first")
+    nodes = scratch.save(one.withColumn("id", F.monotonically_increasing_id()), "nodes")  # ids are settled by writing them
     token = F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     tokens = nodes.select("id", F.posexplode("sig").alias("i", "v")).select("id", F.lit(COORDINATES).alias("size"), F.lit(MATCHES).alias("need"), token.alias("token"))
     posted = scratch.save(postings(tokens), "posted")
     rounds = iter(range(9))
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """(id, text) of nodes."""
+        at = small(ids.join(nodes.select("id", F.col("first").alias("doc_id"), "text_hash"), "id"))
+        return plain.join(at, ["doc_id", "text_hash"]).select("id", "text")
+
     def confirm(pairs: DataFrame) -> DataFrame:
         turn = next(rounds)
         left = nodes.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
@@ -229,28 +258,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             & (F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same)) >= MATCHES)
         )
         near = scratch.save(near.select("a", "b").distinct(), f"pairs-{turn}")
-        ids = scratch.save(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), f"ids-{turn}")
-        sets = scratch.save(plain.join(small(ids), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles binary").distinct(), f"sets-{turn}")
+        ids = scratch.save(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), f"ids-{turn}")
+        sets = scratch.save(texts_of(ids).mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"]), f"sets-{turn}")
         full = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        return full.select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long").distinct()
+        found = scratch.save(full.select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long"), f"found-{turn}")
+        scratch.drop(f"pairs-{turn}", f"ids-{turn}", f"sets-{turn}")
+        return found
 
     def tokens_of(ids: DataFrame) -> DataFrame:
-        rows = plain.join(small(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi").mapInArrow(_tokens, "id long, tokens array<long>")
+        rows = texts_of(ids).mapInArrow(_tokens, "id long, tokens array<long>").dropDuplicates(["id"])
         need = F.ceil(F.size("tokens") * SIMILAR[0] / SIMILAR[1])
-        return rows.distinct().select("id", F.size("tokens").alias("size"), need.alias("need"), F.explode("tokens").alias("token"))
+        return rows.select("id", F.size("tokens").alias("size"), need.alias("need"), F.explode("tokens").alias("token"))
 
     label = linked(posted, confirm, tokens_of, scratch)
-    found = (
-        signed.select("doc_id", "n_shingles", "set_id")
-        .join(firsts, "set_id", "left")
-        .join(label, "id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
-    )
-    return found.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+    least = label.join(nodes.select("id", "first"), "id").groupBy("component").agg(F.min("first").alias("least"))
+    place = nodes.select("id", "set_id", "first").join(label, "id", "left").join(least, "component", "left")
+    place = scratch.save(place.select(F.col("set_id").alias("of_set"), F.coalesce("least", "first").alias("component_id")), "place")
+    scratch.drop("nodes", "posted", "label", "labels", *[f"found-{i}" for i in range(3)])
+    found = signed.select("doc_id", "n_shingles", "set_id", "text_hash").join(place, (F.col("set_id") == F.col("of_set")) & F.col("doc_id").isNotNull(), "left")
+    found = found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 OP2_SQL = r"""

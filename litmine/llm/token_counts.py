@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmine.llm.common import BROADCAST_ROWS, Scratch, small, table
+from litmine.llm.common import Scratch, small, table, within
 
 LIMIT = 4096
 #: Pieces of text whose counts a worker remembers at most.
@@ -105,13 +105,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-_CACHE = "content string, n_tokens long, tokenizer string"
+_CACHE = "content binary, n_tokens long, tokenizer string"
 
 
 def cached(spark: SparkSession, cache: str, version: str) -> DataFrame:
     """(content, n_tokens) that the cache has for a tokenizer, one row per digest."""
     if not _exists(spark, cache):
-        return spark.createDataFrame([], "content string, n_tokens long")
+        return spark.createDataFrame([], "content binary, n_tokens long")
     rows = spark.read.schema(_CACHE).parquet(cache).filter(F.col("tokenizer") == version)
     return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
@@ -122,30 +122,35 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     ``tokenizer``: a .json or .model file that every executor has; ``cache``: a folder
     shared by all, by default one of this call.  Null and empty texts have no bytes and
     no tokens; repeated rows get equal counts; an empty table gives an empty one.
-    A task that is run again appends equal counts, which the reader merges.
+    A text is encoded if the cache has no count of it; a second call with the same
+    cache encodes nothing.  A task that is run again appends equal counts, which the
+    reader merges.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     cache = cache or f"{scratch.root}/cache"
     version = tokenizer_version(tokenizer)
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.sha2(body, 256).alias("content"), body.alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.unhex(F.sha2(body, 256)).alias("content"), body.alias("text"))
     keys = scratch.save(rows.select("doc_id", "id", "content", F.octet_length("text").cast("long").alias("n_bytes")), "keys")
     have = cached(spark, cache, version)
     first = keys.join(have, "content", "left_anti").groupBy("content").agg(F.min("id").alias("id"))
     first = scratch.save(first, "misses")
     # the texts to encode: found by leaving out the others if those are few, else by a shuffle
     others = scratch.save(keys.join(first, ["content", "id"], "left_anti").select("content", "id").distinct(), "others")
-    if others.count() <= BROADCAST_ROWS:
+    if within(others):
         texts = rows.join(F.broadcast(others), ["content", "id"], "left_anti")
     else:
         texts = rows.join(small(first), ["content", "id"], "left_semi")
-    counted = texts.select("content", "text").mapInArrow(_encode(tokenizer), "content string, n_tokens long")
+    counted = texts.select("content", "text").mapInArrow(_encode(tokenizer), "content binary, n_tokens long")
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
+    scratch.drop("misses", "others")
     return keys.join(cached(spark, cache, version), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts through the cache folder that the session names in ``spark.litmine.tokenCache``, or one of this call."""
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    cache = spark.conf.get("spark.litmine.tokenCache", None)
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
