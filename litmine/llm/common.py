@@ -16,7 +16,7 @@ PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of a table up to which joins broadcast it; larger ones shuffle.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def ascii_lower(text: Column) -> Column:

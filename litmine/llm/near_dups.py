@@ -197,9 +197,12 @@ def linked(
     label = scratch.save(components(links, scratch, "first"), "label")
 
     def place(rows: DataFrame) -> DataFrame:
-        return rows.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        """``rows`` plus the component of their id; a node's postings, few, are joined as one row."""
+        rest = [c for c in rows.columns if c != "id"]
+        each = rows.groupBy("id").agg(F.collect_list(F.struct(*rest)).alias("rows")).join(label, "id", "left")
+        return each.select("id", F.coalesce("component", "id").alias("component"), F.inline("rows"))
 
-    open_ = scratch.save(_mixed(place(known.filter(F.col("n") > small_list))).select("id").distinct(), "open")
+    open_ = scratch.save(_mixed(place(known.filter(F.col("n") > small_list).select("token", "id"))).select("id").distinct(), "open")
     scratch.drop("lists")
     more = None
     if not open_.isEmpty():
