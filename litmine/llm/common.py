@@ -24,6 +24,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
+def wrapped(rows: DataFrame) -> DataFrame:
+    """``rows`` as one struct column ``row``: names that an operator adds can't clash with the caller's."""
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+
+
+def of_row(name: str) -> Column:
+    return F.col("row").getField(name)
+
+
+def unwrapped(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that ``wrapped`` packed."""
+    return rows.select(*[of_row(c).alias(c) for c in columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

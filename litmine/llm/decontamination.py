@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmine.llm.common import PLAIN_WORD, Scratch, ascii_lower, small, table
+from litmine.llm.common import Scratch, ascii_lower, of_row, small, table, unwrapped, wrapped
 
 WINDOW = 10
 #: Window hashes that may travel inside a plan (8 bytes each).
@@ -60,7 +60,9 @@ def marks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     """(doc_id, text_hash, n_words, copies, hit, items) per distinct (doc_id, text).
 
     ``hit`` holds the positions (from 1) of words inside an occurring window, ``items``
-    the test items that occur, ``copies`` the number of rows of ``docs``.
+    the test items that occur, ``copies`` the number of rows of ``docs``.  Null texts
+    have no words; a null doc_id is a value like others; repeated rows are one row; an
+    empty table gives an empty one.  Other columns are not read.
     """
     windows = test_windows(benchmark)
     known = windows.select("len", "h").distinct()
@@ -80,39 +82,45 @@ def marks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         seen = seen.select(F.col("doc_id").alias("seen_id"), F.col("text_hash").alias("seen_hash"), "found")
         rows = base.join(seen, F.col("doc_id").eqNullSafe(F.col("seen_id")) & (F.col("text_hash") == F.col("seen_hash")), "left").drop("seen_id", "seen_hash")
     cut = F.transform("found", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), F.array_join(F.slice("words", x["at"], x["len"]), " ").alias("win")))
-    each = rows.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.posexplode_outer(cut).alias("k", "x"))
-    each = each.select("doc_id", "text_hash", "n_words", "k", "x.at", "x.len", "x.win")
-    true = each.join(small(windows.select("win", "items")), "win", "left")
-    span = F.when(F.col("items").isNotNull(), F.sequence("at", F.col("at") + F.col("len") - 1))
-    return (
-        true.groupBy("doc_id", "text_hash", "n_words")
-        .agg(F.sum(F.when(F.coalesce("k", F.lit(0)) == 0, 1).otherwise(0)).alias("copies"), F.collect_set(span).alias("spans"), F.collect_set("items").alias("of"))
-        .select("doc_id", "text_hash", "n_words", "copies", F.array_sort(F.array_distinct(F.flatten("spans"))).alias("hit"), F.array_distinct(F.flatten("of")).alias("items"))
+    scanned = rows.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.coalesce(cut, F.array().cast("array<struct<at:int,len:int,win:string>>")).alias("cut"))
+    scanned = Scratch(docs.sparkSession, "marks").save(scanned, "scanned")
+    # only documents with a find go on to the words' comparison
+    each = scanned.filter(F.size("cut") > 0).select("doc_id", "text_hash", F.inline("cut")).distinct()
+    true = each.join(small(windows.select("win", "items")), "win")
+    hits = true.groupBy("doc_id", "text_hash").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("len") - 1))))).alias("hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
     )
+    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "hit", "items")
+    counted = scanned.groupBy("doc_id", "text_hash", "n_words").agg(F.count("*").alias("copies"))
+    out = counted.join(small(hits), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
+    kind = {f.name: f.dataType for f in hits.schema.fields}
+    return out.select("doc_id", "text_hash", "n_words", "copies", *[F.coalesce(c, F.array().cast(kind[c])).alias(c) for c in ("hit", "items")])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", doc_id: str = "doc_id", text: str = "text", set_limit: int = SET_LIMIT) -> DataFrame:
-    """``docs`` without contamination, all columns as they were.
+    """``docs`` without contamination, all columns as they were, whatever their names.
 
     ``action``: "drop" removes documents with a hit; "cut" removes the hit words (and
     keeps what stands between words).  Null and empty texts have no words and stay;
-    repeated rows fare alike; an empty benchmark removes nothing.
+    repeated rows fare alike; an empty benchmark removes nothing; an empty table gives
+    an empty one.
     """
+    if action not in ("drop", "cut"):
+        raise ValueError(f"action is drop or cut, not {action!r}")
     scratch = Scratch(docs.sparkSession, "decon")
     found = marks(docs, benchmark, doc_id, text, set_limit).filter(F.size("hit") > 0)
-    found = scratch.save(found.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"), F.col("hit").alias("_hit")), "found")
-    same = docs[doc_id].eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs[text]) == F.col("_hit_hash"))
+    found = small(scratch.save(found.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), *(["hit"] if action == "cut" else [])), "found"))
+    rows, body = wrapped(docs), of_row(text)
+    same = of_row(doc_id).eqNullSafe(F.col("hit_id")) & (F.xxhash64(body) == F.col("hit_hash"))
     if action == "drop":
-        return docs.join(small(found.select("_hit_id", "_hit_hash")), same, "left_anti")
-    if action != "cut":
-        raise ValueError(f"action is drop or cut, not {action!r}")
+        return unwrapped(rows.join(found, same, "left_anti"), docs.columns)
     # words and gaps alternate; word k is piece 2k-1 or 2k, as the text starts with a word or a gap
-    pieces = F.regexp_extract_all(F.col(text), F.lit(r"[A-Z0-9a-z\x{80}-\x{10FFFF}]+|[^A-Z0-9a-z\x{80}-\x{10FFFF}]+"), F.lit(0))
-    first = F.when(F.col(text).rlike(r"^[A-Z0-9a-z\x{80}-\x{10FFFF}]"), 0).otherwise(1)
-    gone = F.transform("_hit", lambda k: 2 * k - 2 + first)
+    pieces = F.regexp_extract_all(body, F.lit(r"[A-Z0-9a-z\x{80}-\x{10FFFF}]+|[^A-Z0-9a-z\x{80}-\x{10FFFF}]+"), F.lit(0))
+    first = F.when(body.rlike(r"^[A-Z0-9a-z\x{80}-\x{10FFFF}]"), 0).otherwise(1)
+    gone = F.transform("hit", lambda k: 2 * k - 2 + first)
     rest = F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains(gone, i)), "")
-    names = docs.columns
-    return docs.join(small(found), same, "left").withColumn(text, F.when(F.col("_hit").isNull(), F.col(text)).otherwise(rest)).select(*[f"`{c}`" for c in names])
+    out = rows.join(found, same, "left").withColumn("new", F.when(F.col("hit").isNull(), body).otherwise(rest))
+    return out.select(*[F.col("new").alias(c) if c == text else of_row(c).alias(c) for c in docs.columns])
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

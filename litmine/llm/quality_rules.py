@@ -1,10 +1,11 @@
 """Quality rules as a ledger of failure bits.
 
-``measure`` reads a text once and gives every measurement; ``ledger`` evaluates
-every rule once and stores the failed ones as bits of one long; ``apply_policy``
-reads a versioned policy (a mask of bits) off the ledger, and ``ablation`` tells,
-from counts by bit pattern alone, what each rule of a policy rejects and what it
-rejects that no other rule would.  No policy change needs the texts again.
+``ledger`` reads a text once, gives every measurement, evaluates every rule once and
+stores the failed ones as bits of one long; ``write_ledger`` keeps that, without the
+texts, under the version of the rule set.  ``apply_policy`` reads a versioned policy (a
+mask of bits) off the ledger, and ``ablation`` tells, from counts by bit pattern alone,
+what each rule of a policy rejects and what it rejects that no other rule would.  No
+policy change needs the texts again.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmine.llm.common import table
+from litmine.llm.common import Scratch, of_row, table, unwrapped, wrapped
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, "
@@ -43,9 +44,13 @@ RULES = (
     Rule(5, "long_words", "word_chars > 20 * n_words"),
     Rule(6, "shouting", "100 * n_caps_words > 60 * n_words"),
 )
+#: Changes with every rule that is added; a ledger row says which rules it has seen.
+RULES_VERSION = 1
 POLICIES = {
     "base": ("too_few_words", "repeated_windows"),
     "v1": tuple(r.name for r in RULES),
+    #: for tables of short entries and code, where capitals and long tokens are usual
+    "v2": ("too_few_words", "repeated_windows", "symbol_heavy", "repeated_lines"),
 }
 
 
@@ -111,6 +116,9 @@ def _measure(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([measure_text(t) for t in batch], columns=names, dtype="int64")
 
 
+_NAMES = [x.split()[0] for x in MEASURES.split(", ")]
+
+
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus the struct ``measured`` and the long ``fail_bits``; one row per row.
 
@@ -120,17 +128,34 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     as the measurements live inside ``measured``.  Columns of ``docs`` that are
     called ``measured`` or ``fail_bits`` are replaced.
     """
-    out = docs.withColumn("measured", F.pandas_udf(_measure, MEASURES)(F.col(text)))
-    names = [x.split()[0] for x in MEASURES.split(", ")]
+    out = docs.withColumn("measured", F.pandas_udf(_measure, MEASURES)(F.col(f"`{text}`")))
     bits: Column = F.lit(0).cast("long")
     for rule in RULES:
-        condition = rule.fails
-        for n in names:
-            condition = " ".join(f"measured.{n}" if w == n else w for w in condition.split())
+        condition = " ".join(f"measured.{w}" if w in _NAMES else w for w in rule.fails.split())
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(1 << rule.bit).cast("long")).otherwise(F.lit(0).cast("long")))
     return out.withColumn("fail_bits", bits)
 
 
+def write_ledger(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
+    """Append (doc_id, rules_version, measurements, fail_bits) of documents to the ledger table at ``path``."""
+    rows = ledger(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
+    rows.select("doc_id", F.lit(RULES_VERSION).alias("rules_version"), "measured.*", "fail_bits").write.mode("append").parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str, version: int = RULES_VERSION) -> DataFrame:
+    return spark.read.parquet(path).filter(F.col("rules_version") == version)
+
+
+def select_documents(docs: DataFrame, policy: str | tuple[str, ...] = "v1", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, all columns as they were, whatever their names.
+
+    Null and empty texts fail ``too_few_words``; repeated rows fare alike; an empty table
+    gives an empty one.
+    """
+    rows = apply_policy(ledger(wrapped(docs).withColumn("text", of_row(text))), policy)
+    return unwrapped(rows.filter("kept"), docs.columns)
+
+
 def apply_policy(rows: DataFrame, policy: str | tuple[str, ...] = "v1") -> DataFrame:
     """The ledger's rows plus ``kept``: no bit of the policy is set."""
     return rows.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask(policy))) == 0)
@@ -158,14 +183,14 @@ def ablation(rows: DataFrame, policy: str | tuple[str, ...] = "v1") -> DataFrame
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = apply_policy(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "v1")
-    return rows.select(
-        "doc_id",
-        *[F.col(f"measured.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        (F.col("fail_bits").bitwiseAND(F.lit(mask("base"))) != 0).alias("base_failed"),
-        "kept",
-        "fail_bits",
-    )
+    """Writes the ledger of all documents, rereads it and applies policies v1 (kept) and v2 (kept_v2)."""
+    scratch = Scratch(spark, "quality")
+    path = f"{scratch.root}/ledger"
+    write_ledger(table(spark, sf_dir, "documents"), path)
+    rows = read_ledger(spark, path)
+    kept_v2 = F.col("fail_bits").bitwiseAND(F.lit(mask("v2"))) == 0
+    base_failed = F.col("fail_bits").bitwiseAND(F.lit(mask("base"))) != 0
+    return apply_policy(rows, "v1").select("doc_id", *_NAMES, base_failed.alias("base_failed"), "kept", "fail_bits", kept_v2.alias("kept_v2"), "rules_version")
 
 
 OP1_SQL = r"""
@@ -195,6 +220,7 @@ WITH d AS (
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
-       fail_bits = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits FROM b
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(n_lines AS BIGINT) AS n_lines, CAST(caps AS BIGINT) AS n_caps_words,
+       (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits,
+       (fail_bits & 15) = 0 AS kept_v2, CAST(1 AS INT) AS rules_version FROM b
 """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from litmine.llm import (
     decontamination,
     license_scans,
@@ -17,7 +16,6 @@ from litmine.llm import (
 )
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_near_duplicates": near_dups.op2_near_duplicates,
     "op3_url_filters": url_filters.op3_url_filters,

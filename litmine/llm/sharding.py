@@ -1,12 +1,14 @@
 """Sharding by proportional stratified interleaving.
 
 Rows of each source are put in a seeded random order; a row of rank k among n stands
-at the fraction (2k - 1) / 2n.  Sorted by fraction, all sources are spread evenly over
+at the fraction (k - u) / n, with its own seeded u from 0 to 1, so that sources of few
+rows are spread as well.  Sorted by fraction, all sources are spread evenly over
 the order, so any contiguous cut of it has the whole table's mixture.  Cuts are at
 equal counts.  Both orders are found without sorting in one place: rows go to slices
 of the random key (or of the fraction), slices are counted, and a row's rank is its
 rank within the slice plus the count of the slices before.  A source that holds most
-rows is spread over as many slices as its rows need.  DataFrame functions only.
+rows is spread over as many slices as its rows need.  What meets in one task is one
+count per slice, 1 for SLICE_ROWS rows.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -46,16 +48,18 @@ def shard(rows: DataFrame, n_shards: int, key: str = "doc_id", source: str = "so
     """
     kept = rows.drop("shard", "slot")
     names = kept.columns
-    mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null"))))
+    seen = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")) for c in (key, *ties)]
+    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), *seen))
     plain = kept.select(F.struct(*[f"`{n}`" for n in names]).alias("row"), F.col(f"`{source}`").alias("source"), mixed.alias("mixed"), *[F.col(f"`{t}`").alias(f"tie{i}") for i, t in enumerate(ties)])
     order: list[str] = ["mixed", *[f"tie{i}" for i in range(len(ties))]]
     total = kept.count()
     n_slices = max(1, total // SLICE_ROWS)
-    plain = plain.withColumn("slice", (F.conv(F.substring("mixed", 1, 8), 16, 10).cast("long") * n_slices / (1 << 32)).cast("long"))
+    part = lambda at: F.conv(F.substring("mixed", at, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    plain = plain.withColumn("slice", (part(1) * n_slices).cast("long"))
     counts = plain.groupBy("source", "slice").agg(F.count("*").alias("n"))
     sizes = counts.groupBy(F.col("source").alias("of")).agg(F.sum("n").alias("n_source"))
     at = _ranked(plain, counts, ["source"], order, "rank").join(sizes, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    at = at.withColumn("fraction", (2 * F.col("rank") - 1) / (2 * F.col("n_source")))
+    at = at.withColumn("fraction", (F.col("rank") - part(9)) / F.col("n_source"))
     at = at.withColumn("slice", (F.col("fraction") * n_slices).cast("long"))
     counts = at.groupBy("slice").agg(F.count("*").alias("n"))
     place = _ranked(at, counts, [], ["fraction", F.col("source").asc_nulls_last(), *order], "place").withColumn("place", F.col("place") - 1)
@@ -64,15 +68,21 @@ def shard(rows: DataFrame, n_shards: int, key: str = "doc_id", source: str = "so
     return place.withColumn("shard", number).withColumn("slot", F.col("place") - first).select("row.*", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder ``shard=k`` per shard, rows in slot order within each file."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(sharded: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """One folder ``shard=k`` per shard, in files of neighbouring slots, rows in slot order.
+
+    As many tasks write as there are files (or shuffle partitions), not one per shard.
+    """
+    piece = (F.col("slot") / rows_per_file).cast("long")
+    sharded.repartition("shard", piece).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of documents, law "rows".
 
-    Null texts have size 8 and the checksum of no bytes.
+    Null texts have size 8 and the checksum of no bytes.  Null doc_ids and sources are
+    values like others; rows equal in doc_id, source and text get places next to one
+    another in any order; other columns are not read; an empty table gives an empty one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select("doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -94,9 +104,10 @@ WITH tab AS (
       lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS text_crc32
   FROM documents, tab
 ), r AS (
-  SELECT *, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS mixed FROM d
+  SELECT *, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(text_crc32 AS VARCHAR) || ':' || CAST(size AS VARCHAR)) AS mixed FROM d
 ), f AS (
-  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY mixed, text_crc32, size) - 1) / (2 * count(*) OVER (PARTITION BY source)) AS fraction FROM r
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY mixed, text_crc32, size) - CAST('0x' || substr(mixed, 9, 8) AS BIGINT) / 4294967296.0::DOUBLE)
+    / count(*) OVER (PARTITION BY source) AS fraction FROM r
 ), p AS (
   SELECT *, row_number() OVER (ORDER BY fraction, source NULLS LAST, mixed, text_crc32, size) - 1 AS place, count(*) OVER () AS total FROM f
 ), s AS (SELECT *, place * 24 // total AS shard FROM p)
