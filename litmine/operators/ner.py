@@ -1,23 +1,25 @@
 """Dictionary entity recognition, normalisation and counting.
 
-Matching runs in one of two ways with equal results: small dictionaries become n-grams
-joined to the text's n-grams (native, MAX_WORDS words at most), large ones a token trie
-that each Python worker builds once from the broadcast patterns.
+Matching runs in one of two ways: small dictionaries become n-grams joined to the text's
+n-grams (native; words only), large ones a token trie that each Python worker builds once
+from the broadcast patterns and keeps.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
-from functools import reduce
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from litmine.functions.scalars import GREEK, flatten_entity, normalize_separators
+from litmine.functions.scalars import GREEK, flatten_entity
 
-MAX_WORDS = 6
+#: Terms of a dictionary that may be broadcast; a larger one is refused, not cut.
+MAX_TERMS = 5_000_000
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 #: Labels in the order in which matchers run.
 MATCH_ORDER = ("PLANT PART", "ANALYTICAL TECHNIQUE", "EXTRACTION METHOD", "DEVELOPMENT STAGE", "SEASON", "SPECIES", "CHEMICAL", "BIOACTIVITY")
@@ -93,15 +95,15 @@ def aliases_for_canonical(dictionary: DataFrame) -> DataFrame:
 # --- matching ------------------------------------------------------------------------
 
 
-def match_ngrams(docs: DataFrame, dictionary: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+def match_ngrams(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(doc_id, label, text, canonical, start, end) of every dictionary phrase, by n-grams and an equality join.
 
     Places are word numbers from 0, the end exclusive; texts are split at what is
     neither letter nor digit, and so are the patterns.
     """
     split = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    p = dictionary.withColumn("w", split(F.col("pattern"))).filter(F.size("w").between(1, max_words)).select("label", F.array_join("w", " ").alias("gram"), "canonical", F.size("w").alias("n"))
-    lengths = [r.n for r in p.select("n").distinct().collect()]  # max_words of them at most
+    p = _patterns(dictionary).withColumn("w", split(F.col("pattern"))).filter(F.size("w") > 0).select("label", F.array_join("w", " ").alias("gram"), "canonical", F.size("w").alias("n"))
+    lengths = [r.n for r in p.select("n").distinct().collect()]  # the lengths that patterns have, a few
     rows = docs.select("doc_id", split(F.coalesce("text", F.lit(""))).alias("w"))
     if not lengths:
         return rows.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("label", "string"), ("text", "string"), ("canonical", "string"), ("start", "int"), ("end", "int"))]).limit(0)
@@ -142,31 +144,32 @@ class Trie:
                 k += 1
 
 
-def greek_map(text: str) -> tuple[str, list[int]]:
-    """The text with Greek letters as Latin names, and each character's place in the text before."""
-    out, at = [], []
-    for i, c in enumerate(text):
-        name = GREEK.get(c) or GREEK.get(c.lower())
-        new = c if name is None else f"-{name}" if i and text[i - 1].isalnum() else name
-        out.append(new)
-        at += [i] * len(new)
-    return "".join(out), at
+def _rewritten(text: str, pattern: re.Pattern, new: Callable[[re.Match], str]) -> tuple[str, list[int]]:
+    """The text with ``new`` of each match in its place, and every character's place in the text before."""
+    out, at, last = [], [], 0
+    for m in pattern.finditer(text):
+        out += [text[last : m.start()], new(m)]
+        at += [*range(last, m.start()), *(min(m.start() + k, m.end() - 1) for k in range(len(out[-1])))]
+        last = m.end()
+    return "".join([*out, text[last:]]), [*at, *range(last, len(text))]
 
 
+_GREEK = re.compile(f"[{''.join(GREEK)}]", re.IGNORECASE)
 _CHEM_PUNCT = str.maketrans("/>,′‘’", "      ")
 _CAPITAL_STOP = re.compile(r"(?<!\w)([A-Z])\.")
+_SEPARATORS = str.maketrans("–—―−/", "-----")
+
+
+def _greek_name(m: re.Match) -> str:
+    name = GREEK.get(m[0]) or GREEK.get(m[0].lower()) or m[0]
+    return f"-{name}" if m.string[: m.start()][-1:].isalnum() else name
 
 
 def chemical_form(text: str) -> tuple[str, list[int]]:
     """A text as chemical patterns see it, and each character's place in the text."""
-    greek, at = greek_map(text)
-    plain = greek.translate(_CHEM_PUNCT)
-    out, places, last = [], [], 0
-    for m in _CAPITAL_STOP.finditer(plain):
-        out.append(plain[last : m.end() - 1] + " .")
-        places += [*at[last : m.end() - 1], at[m.end() - 1], at[m.end() - 1]]
-        last = m.end()
-    return "".join([*out, plain[last:]]), [*places, *at[last:]]
+    named, at = _rewritten(text, _GREEK, _greek_name)
+    out, places = _rewritten(named.translate(_CHEM_PUNCT), _CAPITAL_STOP, lambda m: f"{m[1]} .")
+    return out, [at[k] for k in places]
 
 
 def _chemical_noise(text: str) -> bool:
@@ -174,40 +177,95 @@ def _chemical_noise(text: str) -> bool:
 
 
 _SPANS = "doc_id long, label string, text string, canonical string, start int, end int"
+Span = tuple[int, int, str, str]  # start, end, label, canonical
+#: Tries of a worker by the dictionary's digest.
+_BUILT: dict[str, tuple] = {}
 
 
-def match_trie(spark: SparkSession, docs: DataFrame, dictionary: DataFrame, chemical: bool = False) -> DataFrame:
-    """(doc_id, label, text, canonical, start, end) of every phrase, places in characters.
+def _patterns(dictionary: DataFrame) -> DataFrame:
+    """Entries that are matched in texts; those with ``is_pattern`` false can only be looked up."""
+    return dictionary.filter(F.coalesce("is_pattern", F.lit(True))) if "is_pattern" in dictionary.columns else dictionary
+
+
+def _shared(spark: SparkSession, dictionary: DataFrame):
+    """The patterns as a broadcast and their digest; reference data, of MAX_TERMS terms at most."""
+    rows = sorted(tuple(r) for r in _patterns(dictionary).select("label", "pattern", "canonical").limit(MAX_TERMS + 1).collect())
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms; match the dictionary in parts")
+    return spark.sparkContext.broadcast(rows), hashlib.sha256(repr(rows).encode()).hexdigest()
+
+
+def _bare(text: str) -> str:
+    return re.sub("[^a-z0-9]", "", chemical_form(text)[0].lower())
+
+
+def _tries(digest: str, patterns) -> tuple:
+    """(simple, techniques, chemicals, names of chemicals) of a dictionary, built once per worker."""
+    if digest not in _BUILT:
+        if len(_BUILT) > 3:
+            _BUILT.clear()
+        rows = patterns.value
+        chemicals = [(lab, p, c) for lab, p, c in rows if lab == "CHEMICAL"]
+        _BUILT[digest] = (
+            Trie((lab, p, c) for lab, p, c in rows if lab not in ("CHEMICAL", "ANALYTICAL TECHNIQUE")),
+            Trie((lab, p.translate(_SEPARATORS), c) for lab, p, c in rows if lab == "ANALYTICAL TECHNIQUE"),
+            Trie((lab, chemical_form(p)[0], c) for lab, p, c in chemicals),
+            {_bare(p) for _, p, _ in chemicals},
+        )
+    return _BUILT[digest]
+
+
+def _simple_spans(trie: Trie, text: str) -> set[Span]:
+    return {(a, b, label, canonical) for label, canonical, a, b in trie.find(text)}
+
+
+def _technique_spans(trie: Trie, text: str) -> set[Span]:
+    """Dashes and slashes are read as hyphens; spans inside a longer one go."""
+    found = _simple_spans(trie, text.translate(_SEPARATORS))
+    widest, reach = set(), (-1, -1)
+    for a, b in sorted({(a, b) for a, b, _, _ in found}, key=lambda x: (x[0], -x[1])):
+        if b > reach[1]:
+            widest.add((a, b))
+            reach = (a, b)
+    return {x for x in found if x[:2] in widest}
+
+
+def _chemical_spans(trie: Trie, names: set[str], text: str) -> set[Span]:
+    """Texts are read in their chemical form; mere digits, single characters and what no name resolves go."""
+    seen, at = chemical_form(text)
+    found = {(at[a], at[b - 1] + 1, label, canonical) for label, canonical, a, b in trie.find(seen)}
+    return {x for x in found if not _chemical_noise(text[x[0] : x[1]]) and _bare(text[x[0] : x[1]]) in names}
 
-    ``dictionary`` is collected once and broadcast: it is reference data of a known size
-    (hundreds of thousands of terms), not the corpus.  ``chemical`` reads texts in their
-    chemical form and drops matches that are mere digits or one character.
-    """
-    patterns = spark.sparkContext.broadcast([tuple(r) for r in dictionary.select("label", "pattern", "canonical").collect()])
+
+def _matched(spark: SparkSession, docs: DataFrame, dictionary: DataFrame, spans: Callable[[tuple, str], set[Span]]) -> DataFrame:
+    """(doc_id, label, text, canonical, start, end) of what ``spans`` finds with a worker's tries in each text."""
+    patterns, digest = _shared(spark, dictionary)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Trie(((lab, chemical_form(p)[0] if chemical else p, c) for lab, p, c in patterns.value))
+        tries = _tries(digest, patterns)
         for rows in batches:
-            out = []
-            for doc, text in zip(rows["doc_id"], rows["text"]):
-                text = text or ""
-                seen, at = chemical_form(text) if chemical else (text, None)
-                for label, canonical, a, b in trie.find(seen):
-                    start, end = (at[a], at[b - 1] + 1) if at else (a, b)
-                    if not (chemical and _chemical_noise(text[start:end])):
-                        out.append((doc, label, text[start:end], canonical, start, end))
-            yield pd.DataFrame(out, columns=["doc_id", "label", "text", "canonical", "start", "end"]).drop_duplicates()
+            out = [(doc, label, text[a:b], canonical, a, b) for doc, text in zip(rows["doc_id"], rows["text"].fillna("")) for a, b, label, canonical in spans(tries, text)]
+            yield pd.DataFrame(out, columns=["doc_id", "label", "text", "canonical", "start", "end"])
 
     return docs.select("doc_id", "text").mapInPandas(find, _SPANS)
 
 
+def match_trie(spark: SparkSession, docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(doc_id, label, text, canonical, start, end) of every phrase, whatever its label, places in characters."""
+    plain = dictionary.withColumn("canonical", F.to_json(F.struct("label", "canonical"))).withColumn("label", F.lit("any"))
+    found = _matched(spark, docs, plain, lambda tries, text: _simple_spans(tries[0], text))
+    named = F.from_json("canonical", "label string, canonical string")
+    return found.withColumn("label", named["label"]).withColumn("canonical", named["canonical"])
+
+
+def match_chemicals(spark: SparkSession, docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Matches of the chemicals of a dictionary; see ``_chemical_spans``."""
+    return _matched(spark, docs, dictionary, lambda tries, text: _chemical_spans(tries[2], tries[3], text))
+
+
 def match_techniques(spark: SparkSession, docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Matches with dashes and slashes read as hyphens, without those inside a longer one."""
-    d = dictionary.withColumn("pattern", normalize_separators(F.col("pattern")))
-    found = match_trie(spark, docs.withColumn("text", normalize_separators(F.col("text"))), d)
-    a, b = found.alias("a"), found.select("doc_id", "start", "end").alias("b")
-    nested = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.start") <= F.col("a.start")) & (F.col("b.end") >= F.col("a.end")) & ((F.col("b.end") - F.col("b.start")) > (F.col("a.end") - F.col("a.start")))
-    return a.join(b, nested, "left_anti")
+    """Matches of the techniques of a dictionary; see ``_technique_spans``."""
+    return _matched(spark, docs, dictionary, lambda tries, text: _technique_spans(tries[1], text))
 
 
 def resolve_overlaps(spans: DataFrame) -> DataFrame:
@@ -225,16 +283,22 @@ def resolve_overlaps(spans: DataFrame) -> DataFrame:
     return out.unionByName(spans.filter("start IS NULL OR end IS NULL"))
 
 
+def _all_spans(tries: tuple, text: str) -> list[Span]:
+    """All matchers' spans, then as ``resolve_overlaps``; of equal places the matcher that runs first wins."""
+    simple, techniques, chemicals, names = tries
+    found = _simple_spans(simple, text) | _technique_spans(techniques, text) | _chemical_spans(chemicals, names, text)
+    rank = {label: k for k, label in enumerate(MATCH_ORDER)}
+    kept, upto = [], -1
+    for x in sorted(found, key=lambda x: (x[0], -x[1], rank.get(x[2], -1), x[2], x[3])):
+        if x[0] >= upto:
+            kept.append(x)
+            upto = x[1]
+    return kept
+
+
 def match_all(spark: SparkSession, docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """All matchers, then one span per place; equal spans go to the matcher that runs first."""
-    kinds = F.col("label")
-    parts = [
-        match_trie(spark, docs, dictionary.filter(~kinds.isin("CHEMICAL", "ANALYTICAL TECHNIQUE"))),
-        match_techniques(spark, docs, dictionary.filter(kinds == "ANALYTICAL TECHNIQUE")),
-        match_trie(spark, docs, dictionary.filter(kinds == "CHEMICAL"), chemical=True),
-    ]
-    found = reduce(DataFrame.unionByName, parts).withColumn("ord", F.array_position(F.array(*map(F.lit, MATCH_ORDER)), F.col("label")))
-    return resolve_overlaps(found.select("doc_id", "start", "end", "ord", "label", "canonical", "text"))
+    """Spans (doc_id, label, text, canonical, start, end) of all matchers, one per place, in one pass over the texts."""
+    return _matched(spark, docs, dictionary, _all_spans)
 
 
 def match_sections(spark: SparkSession, sections: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -281,10 +345,38 @@ def canonicalize(entities: DataFrame, dictionary: DataFrame, overwrite: bool = T
     return j.withColumn("canonical", F.coalesce(old, fresh)).drop("_low", "_canonical")
 
 
-def whole_words(text: Column, word: Column) -> Column:
-    """How often a word or phrase stands in a text with no word character beside it, whatever the case."""
-    quoted = F.regexp_replace(word, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    return F.regexp_count(text, F.concat(F.lit(r"(?iuU)(?<!\w)"), quoted, F.lit(r"(?!\w)")))
+def _each_term(terms: DataFrame, docs: DataFrame, places: Callable[[str, list[str]], list[tuple[str, int]]]) -> DataFrame:
+    """(doc_id, term, n) rows of ``places(text, terms)``: a document's text meets its terms once, as one list."""
+    lists = terms.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = [(doc, term, n) for doc, text, found in rows.itertuples(index=False, name=None) for term, n in places(text or "", list(found))]
+            yield pd.DataFrame(out, columns=["doc_id", "term", "n"])
+
+    return docs.select("doc_id", "text").join(lists, "doc_id").mapInPandas(count, f"doc_id {kind}, term string, n int")
+
+
+def _word_counts(text: str, terms: list[str]) -> list[tuple[str, int]]:
+    low = text.lower()
+    words = Counter(re.findall(r"\w+", low))
+    return [(t, words[t.lower()] if re.fullmatch(r"\w+", t) else len(re.findall(rf"(?<!\w){re.escape(t.lower())}(?!\w)", low))) for t in terms]
+
+
+def _starts(text: str, terms: list[str]) -> list[tuple[str, int]]:
+    out = []
+    for t in terms:
+        at = text.find(t)
+        while at >= 0:
+            out.append((t, at))
+            at = text.find(t, at + 1)
+    return out
+
+
+def whole_words(terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, term, n): how often a term (doc_id, term) stands in its text with no word character beside it, whatever the case."""
+    return _each_term(terms, docs, _word_counts)
 
 
 def summarize_entities(entities: DataFrame, docs: DataFrame, least: float = 0.7) -> DataFrame:
@@ -292,15 +384,15 @@ def summarize_entities(entities: DataFrame, docs: DataFrame, least: float = 0.7)
     good = entities.filter(F.coalesce("score", F.lit(1.0)) >= least).withColumn("low", F.lower("text"))
     casing = good.groupBy("doc_id", "label", "low", "text").agg(F.count("*").alias("k"), F.min("start").alias("first"), F.sum(F.coalesce("score", F.lit(1.0))).alias("s"))
     one = casing.groupBy("doc_id", "label", "low").agg(F.max_by("text", F.struct(F.col("k"), -F.coalesce("first", F.lit(0)))).alias("text"), F.bround(F.sum("s") / F.sum("k"), 2).alias("score"))
-    j = one.join(docs.select("doc_id", F.col("text").alias("_body")), "doc_id")
-    return j.withColumn("count", whole_words(F.col("_body"), F.col("low"))).filter("count > 0").drop("_body", "low")
+    n = whole_words(one.select("doc_id", F.col("low").alias("term")), docs).toDF("doc_id", "low", "count")
+    return one.join(n.filter("count > 0"), ["doc_id", "low"]).select("doc_id", "label", "text", "score", "count")
 
 
 def find_occurrences(entities: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, label, text, start, end): every place of each distinct (text, label), overlapping ones too."""
-    one = entities.select("doc_id", "label", "text").filter("text <> ''").distinct().join(docs.select("doc_id", F.col("text").alias("_body")), "doc_id")
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("_body") - F.length("text") + 1, F.lit(1))), lambda i: F.col("_body").substr(i, F.length("text")) == F.col("text"))
-    return one.filter(F.contains("_body", F.col("text"))).select("doc_id", "label", "text", F.explode(at).alias("start")).withColumn("start", F.col("start") - 1).withColumn("end", F.col("start") + F.length("text"))
+    one = entities.select("doc_id", "label", "text").filter("text <> ''").distinct()
+    at = _each_term(one.select("doc_id", F.col("text").alias("term")), docs, _starts).toDF("doc_id", "text", "start")
+    return one.join(at, ["doc_id", "text"]).select("doc_id", "label", "text", "start", (F.col("start") + F.length("text")).alias("end"))
 
 
 def merge_by_canonical(entities: DataFrame) -> DataFrame:
@@ -311,7 +403,8 @@ def merge_by_canonical(entities: DataFrame) -> DataFrame:
 def group_with_counts(entities: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, label, canonical, display, count): whole-word counts of all aliases, 1 at least; shown by the most frequent."""
     alias = entities.select("doc_id", "label", F.lower(F.coalesce("canonical", "text")).alias("canonical"), F.col("text").alias("alias")).distinct()
-    n = alias.join(docs.select("doc_id", F.col("text").alias("_body")), "doc_id").withColumn("n", whole_words(F.col("_body"), F.col("alias")))
+    n = whole_words(alias.select("doc_id", F.lower("alias").alias("term")), docs).toDF("doc_id", "low", "n")
+    n = alias.withColumn("low", F.lower("alias")).join(n, ["doc_id", "low"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     low = n.groupBy("doc_id", "label", "canonical", F.lower("alias").alias("a")).agg(F.max("n").alias("n"), F.min("alias").alias("alias"))
     return low.groupBy("doc_id", "label", "canonical").agg(F.greatest(F.sum("n"), F.lit(1)).alias("count"), F.max_by("alias", F.struct("n", F.length("alias"))).alias("display"))
 

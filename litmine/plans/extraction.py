@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -76,12 +77,12 @@ def _(spark, d):
 
 @query("n07_match_chemicals")
 def _(spark, d):
-    return ner.match_trie(spark, docs(spark, d), dictionary(spark).filter("label = 'CHEMICAL'"), chemical=True)
+    return ner.match_chemicals(spark, docs(spark, d), dictionary(spark))
 
 
 @query("n08_match_techniques")
 def _(spark, d):
-    return ner.match_techniques(spark, docs(spark, d), dictionary(spark).filter("label = 'ANALYTICAL TECHNIQUE'"))
+    return ner.match_techniques(spark, docs(spark, d), dictionary(spark))
 
 
 @query("n09_lookup", f"SELECT doc_id, (SELECT min(canonical) FROM (VALUES {_VALUES}) v(label, pattern, canonical) WHERE pattern = lower(string_split(text, ' ')[1])) AS canonical FROM documents")
@@ -135,16 +136,20 @@ def _(spark, d):
     return ner.canonicalize(m, native(spark), overwrite=False).select("doc_id", "text", "canonical", "start")
 
 
-@query("n17_summarize_entities", MATCHES + """, c AS (SELECT DISTINCT doc_id, label, text FROM m WHERE NOT contains(text, ' ')) SELECT doc_id, c.label, text, 1.0::DOUBLE AS score, CAST(len(list_filter(w, lambda x: x = text)) AS INT) AS count FROM c JOIN w USING (doc_id)""")
+#: Whole-word counts: every sign is doubled, so that neighbouring hits don't share one.
+COUNTED = MATCHES + r""", t AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '([^\p{L}\p{N}_])', '\1\1', 'g') || ' ' AS t FROM documents), c AS (SELECT DISTINCT doc_id, label, canonical, text FROM m),
+n AS (SELECT doc_id, label, canonical, text, len(regexp_extract_all(t, '[^\p{L}\p{N}_]' || replace(text, ' ', '  ') || '[^\p{L}\p{N}_]')) AS n FROM c JOIN t USING (doc_id))
+"""
+
+
+@query("n17_summarize_entities", COUNTED + "SELECT DISTINCT doc_id, label, text, 1.0::DOUBLE AS score, CAST(n AS INT) AS count FROM n WHERE n > 0")
 def _(spark, d):
-    m = found(spark, d).filter(~F.contains("text", F.lit(" "))).withColumn("score", F.lit(1.0))
-    low = docs(spark, d).select("doc_id", F.lower("text").alias("text"))
-    return ner.summarize_entities(m, low)
+    return ner.summarize_entities(found(spark, d).withColumn("score", F.lit(1.0)), docs(spark, d))
 
 
-@query("n18_find_occurrences", "WITH w AS (SELECT doc_id, text, unnest(['the', 'de la']) AS t FROM documents WHERE length(text) < 3000) SELECT doc_id, t AS text, CAST(i - 1 AS INT) AS start FROM (SELECT doc_id, text, t, unnest(range(1, length(text) - length(t) + 2)) AS i FROM w) WHERE text[i:i + length(t) - 1] = t")
+@query("n18_find_occurrences", "WITH w AS (SELECT doc_id, text, unnest(['the', 'de la']) AS t FROM documents), p AS (SELECT doc_id, t, string_split(text, t) AS p FROM w) SELECT doc_id, t AS text, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(t) AS INT) AS start FROM (SELECT doc_id, t, p, unnest(range(1, len(p))) AS i FROM p)")
 def _(spark, d):
-    x = docs(spark, d).filter(F.length("text") < 3000)
+    x = docs(spark, d)
     e = x.select("doc_id", F.lit("L").alias("label"), F.explode(F.array(F.lit("the"), F.lit("de la"))).alias("text"))
     return ner.find_occurrences(e, x).select("doc_id", "text", "start")
 
@@ -162,10 +167,9 @@ def _(spark, d):
     return ner.highlight_entities(pages, e)
 
 
-@query("n21_group_with_counts", MATCHES + ", c AS (SELECT DISTINCT doc_id, label, canonical, text FROM m WHERE NOT contains(text, ' ')), n AS (SELECT doc_id, label, canonical, text, len(list_filter(w, lambda x: x = text)) AS n FROM c JOIN w USING (doc_id)) SELECT doc_id, label, canonical, CAST(greatest(sum(n), 1) AS BIGINT) AS count FROM n GROUP BY 1, 2, 3")
+@query("n21_group_with_counts", COUNTED + "SELECT doc_id, label, canonical, CAST(greatest(sum(n), 1) AS BIGINT) AS count FROM n GROUP BY 1, 2, 3")
 def _(spark, d):
-    m = found(spark, d).filter(~F.contains("text", F.lit(" ")))
-    return ner.group_with_counts(m, docs(spark, d).withColumn("text", F.lower("text"))).select("doc_id", "label", "canonical", F.col("count").cast("long").alias("count"))
+    return ner.group_with_counts(found(spark, d), docs(spark, d)).select("doc_id", "label", "canonical", F.col("count").cast("long").alias("count"))
 
 
 @query("n22_representative", "SELECT s_nationkey, arg_max(s_name, (CASE WHEN s_suppkey % 2 = 0 THEN 32 ELSE 8 END) * 1000000 + s_suppkey) AS text FROM supplier GROUP BY 1")
@@ -344,8 +348,12 @@ def _(spark, d):
 
 def _drained(spark, stream, mode: str):
     """All rows of a stream, run until it has read what is there."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-litmine-")
-    out = f"{base}/stream-{abs(hash((mode, id(stream))))}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-litmine-")
+    out = f"{base}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").trigger(availableNow=True).start().awaitTermination()
     else:
