@@ -259,7 +259,7 @@ def is_non_factual(sentence: Column) -> Column:
 def is_chrome_sentence(sentence: Column) -> Column:
     """Links, copyright lines, and all-capital lines of ten characters or more."""
     low = F.lower(sentence)
-    linked = low.rlike(r"https?://|www\.|doi\.org|©|all rights reserved")
+    linked = low.rlike(r"https?://|doi\.org|©|all rights reserved")
     shouted = (F.length(F.trim(sentence)) >= 10) & (F.upper(sentence) == sentence) & (F.regexp_count(sentence, F.lit(r"\p{L}")) >= 2)
     return linked | shouted
 
@@ -324,7 +324,7 @@ def register_functions(spark: SparkSession) -> None:
         "lit_normalize_pmcid(s STRING) RETURNS STRING": "regexp_extract(upper(coalesce(s, '')), '(PMC[0-9]+)', 1)",
         "lit_normalize_text(s STRING) RETURNS STRING": "regexp_replace(lower(trim(s)), '[ \\\\t\\\\n\\\\r\\\\f]+', ' ')",
         "lit_recency_score(y INT, as_of INT) RETURNS DOUBLE": "CASE WHEN y IS NULL THEN 0.5D WHEN as_of - y <= 0 THEN 1D WHEN as_of - y >= 20 THEN 0D ELSE 1 / (1 + (as_of - y) / 5) END",
-        "lit_is_chrome(s STRING) RETURNS BOOLEAN": "lower(s) rlike 'https?://|www[.]|doi[.]org|©|all rights reserved'",
+        "lit_is_chrome(s STRING) RETURNS BOOLEAN": "lower(s) rlike 'https?://|doi[.]org|©|all rights reserved'",
         "lit_page_for_offset(t STRING, o INT) RETURNS INT": "CAST(try_element_at(regexp_extract_all(substring(t, 1, o), '<!-- Page ([0-9]+) -->', 1), -1) AS INT)",
         "lit_keyword_score(q STRING, t STRING) RETURNS DOUBLE": "least(1D, size(filter(split(lower(trim(q)), ' +'), w -> contains(lower(t), w))) / size(split(lower(trim(q)), ' +')))",
     }

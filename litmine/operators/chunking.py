@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -16,14 +17,21 @@ from litmine.functions.scalars import dot, l2_normalize, title_case
 PARENT, CHILD, KB_CHILD = (2500, 300), (250, 50), (900, 120)
 MIN_CHUNK = 50
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
-#: Names that head a section when they fill a line.
+#: Names that head a section when they fill a line, whatever their case.
 SECTION_NAMES = (
-    "Abstract", "Summary", "Introduction", "Background", "Literature Review", "Related Work", "Methods?", "Methodology",
-    "Materials and Methods", "Experimental(?: Setup)?", "Procedure", "Protocol", "Results?", "Findings", "Discussion", "Conclusions?",
-    "Acknowledge?ments?", "References", "Bibliography", "Literature Cited", "Supplementary(?: Material| Information)?", "Appendix",
-    "Appendices", "Declarations?", "Funding", "Author Contributions", "Ethics Statement", "Data Availability", "Conflicts? of Interest",
+    "Abstract", "Summary",
+    "Introduction", "Background", "Literature Review", "Related Work",
+    "Methods", "Methodology", "Materials and Methods", "Experimental", "Experimental Setup", "Procedure", "Protocol",
+    "Results", "Findings",
+    "Discussion",
+    "Conclusion", "Conclusions",
+    "Acknowledgment", "Acknowledgments", "Acknowledgement", "Acknowledgements",
+    "References", "Bibliography", "Literature Cited",
+    "Supplementary", "Supplementary Material", "Supplementary Information", "Appendix", "Appendixes",
+    "Declaration", "Declarations", "Funding", "Author Contributions", "Ethics Statement", "Data Availability", "Conflict of Interest", "Conflicts of Interest",
 )
 _KNOWN = f"(?i)^(?:{'|'.join(SECTION_NAMES)})$"
+#: Fixed value: lines with these are no headers.
 _NOT_A_HEADER = r"Page [0-9]+ of|[0-9]{5,}|@|et al\."
 
 
@@ -55,23 +63,31 @@ def _header(lines: Column):
     return at
 
 
-def detect_sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ord, title, level, content): sections of texts by their header lines.
+def with_sections(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` plus ``sections``, ARRAY<STRUCT<title, level, content>> of a text by its header lines.
 
-    Text before the first header is the section "Start"; headers without lines below
-    are left out.  One row at a time, without a shuffle.
+    Text before the first header is the section "Start"; headers without lines below are
+    left out.  One row at a time, without a shuffle.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
-    rows = rows.withColumn("bare", F.transform("lines", lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")))
-    found = F.filter(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), _header(F.col("bare"))), lambda h: h.isNotNull())
-    rows = rows.withColumn("heads", F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("level"), F.lit("Start").alias("title"))), found))
+    names = rows.columns
+    rows = rows.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+    rows = rows.withColumn("_bare", F.transform("_lines", lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")))
+    found = F.filter(F.transform(F.sequence(F.lit(0), F.size("_lines") - 1), _header(F.col("_bare"))), lambda h: h.isNotNull())
+    rows = rows.withColumn("_heads", F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("level"), F.lit("Start").alias("title"))), found))
 
     def section(h: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(F.col("heads"), k + 1)["at"], F.size("lines"))
-        return F.struct(h["title"].alias("title"), h["level"].alias("level"), F.slice(F.col("lines"), h["at"] + 2, end - h["at"] - 1).alias("body"))
+        end = F.coalesce(F.get(F.col("_heads"), k + 1)["at"], F.size("_lines"))
+        return F.struct(h["title"].alias("title"), h["level"].alias("level"), F.slice(F.col("_lines"), h["at"] + 2, end - h["at"] - 1).alias("body"))
+
+    full = F.filter(F.transform("_heads", section), lambda s: F.size(s["body"]) > 0)
+    joined = F.transform(full, lambda s: F.struct(s["title"].alias("title"), s["level"].alias("level"), F.array_join(s["body"], "\n").alias("content")))
+    return rows.select(*names, joined.alias("sections"))
+
 
-    each = rows.select("doc_id", F.posexplode(F.filter(F.transform("heads", section), lambda s: F.size(s["body"]) > 0)).alias("ord", "s"))
-    return each.select("doc_id", "ord", F.col("s.title").alias("title"), F.col("s.level").alias("level"), F.array_join("s.body", "\n").alias("content"))
+def detect_sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ord, title, level, content): a row per section; see ``with_sections``."""
+    rows = with_sections(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    return rows.select("doc_id", F.posexplode("sections").alias("ord", "s")).select("doc_id", "ord", "s.*")
 
 
 # --- splitting ---------------------------------------------------------------------
@@ -183,34 +199,132 @@ def parent_child_chunks(docs: DataFrame, parent: tuple[int, int] = PARENT, child
 
 
 def locate_fuzzy(text: str, chunk: str, cursor: int) -> int:
-    """Start of a chunk in a text: with spaces collapsed from the cursor on, then from 0; by its first 200, 100, 80 or 50 characters; by its first sentence; else -1."""
-    pattern = r"\s+".join(map(re.escape, chunk.split()))
-    if pattern:
-        for start in (cursor, 0):
-            if m := re.compile(pattern).search(text, start):
-                return m.start()
-    for n in (200, 100, 80, 50):
-        if len(chunk) >= n and (at := text.find(chunk[:n].strip())) >= 0:
-            return at
+    """Start of a chunk in a text, with spaces collapsed, from the cursor on, then from 0; else -1.
+
+    Looked for are the chunk, its first 200, 100, 80 and 50 characters if it is longer,
+    and what it has before its first stop.
+    """
     stop = chunk.find(".")
-    return text.find(chunk[: stop + 1].strip()) if stop > 20 else -1
+    anchors = [chunk, *(chunk[:n] for n in (200, 100, 80, 50) if len(chunk) > n), *([chunk[:stop]] if stop > 20 else [])]
+    for anchor in anchors:
+        if pattern := r"\s+".join(map(re.escape, anchor.split())):
+            for start in (cursor, 0):
+                if m := re.compile(pattern).search(text, start):
+                    return m.start()
+    return -1
 
 
 def locate_offsets_fuzzy(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, ord, start, end) of chunks (doc_id, ord, chunk); the cursor moves on through each document."""
-
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord", ignore_index=True)
-        text, cursor, starts = rows["text"].iloc[0] or "", 0, []
-        for chunk in rows["chunk"]:
-            at = locate_fuzzy(text, chunk, cursor)
-            starts.append(at)
-            cursor = max(cursor, at + 1)
-        ends = [min(len(text), s + len(c)) if s >= 0 else -1 for s, c in zip(starts, rows["chunk"])]
-        return pd.DataFrame({"doc_id": rows["doc_id"], "ord": rows["ord"], "start": starts, "end": ends})
-
-    j = chunks.select("doc_id", "ord", "chunk").join(docs.select("doc_id", "text"), "doc_id")
-    return j.groupBy("doc_id").applyInPandas(place, "doc_id long, ord int, start int, end int")
+    """(doc_id, ord, start, end) of chunks (doc_id, ord, chunk); the cursor goes to the end of each chunk that is found."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for doc, text, found in rows.itertuples(index=False, name=None):
+                cursor = 0
+                for item in found:
+                    at = locate_fuzzy(text or "", item["chunk"] or "", cursor)
+                    end = at + len(item["chunk"] or "") if at >= 0 else -1
+                    cursor = end if at >= 0 else cursor
+                    out.append((doc, item["ord"], at, end))
+            yield pd.DataFrame(out, columns=["doc_id", "ord", "start", "end"])
+
+    lists = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "chunk"))).alias("found"))  # chunks of one document
+    return docs.select("doc_id", "text").join(lists, "doc_id").mapInPandas(place, f"doc_id {kind}, ord int, start int, end int")
+
+
+# --- whole documents -----------------------------------------------------------------
+
+Splitter = Callable[[str, int, int], list[str]]
+_PAGE = re.compile(r"<!-- Page (\d+) -->")
+_PARENT = "struct<parent_id:string,section:string,body:string,start:int,end:int,page:int>"
+_CHUNK = "struct<chunk_id:string,parent_id:string,section:string,chunk:string,body:string>"
+
+
+def chunk_document(source: str, title: str, text: str, sections: list, parent: tuple[int, int], child: tuple[int, int], splitter: Splitter) -> tuple[list[dict], list[dict]]:
+    """Parents with their places, and chunks, equal ones once, of one document."""
+    pages = [(m.start(), int(m[1])) for m in _PAGE.finditer(text)]
+    parents, chunks, seen = [], [], set()
+    for s in sections:
+        head = f"{title} > {s['title']}" if title else s["title"]
+        for body in splitter(s["content"], *parent):
+            at = text.find(body)
+            name = hashlib.md5(f"{source}::{s['title']}::{body[:200]}".encode()).hexdigest()
+            page = next((n for where, n in reversed(pages) if where <= at), None) if at >= 0 else None
+            parents.append({"parent_id": f"{name}_p{len(parents)}", "section": s["title"], "body": body, "start": at if at >= 0 else None, "end": at + len(body) if at >= 0 else None, "page": page})
+            for piece in splitter(body, *child):
+                chunk = f"{head}\n\n{piece}"
+                if (key := " ".join(chunk.lower().split())) not in seen:
+                    seen.add(key)
+                    chunks.append({"chunk_id": f"{source}_{len(chunks)}", "parent_id": parents[-1]["parent_id"], "section": s["title"], "chunk": chunk, "body": piece})
+    return parents, chunks
+
+
+def chunk_corpus(docs: DataFrame, parent: tuple[int, int] = PARENT, child: tuple[int, int] = CHILD, splitter: Splitter = split_recursive) -> DataFrame:
+    """``docs`` (doc_id, source, title, text, …) without text, plus parents, chunks and error, a row per document.
+
+    A document that fails, or has no text, has an error and no parents or chunks; the others are
+    not touched by it.  Texts go through one pass, without a shuffle.  ``parents_of``,
+    ``chunks_of`` and ``failures_of`` make rows of the result, which is best written first.
+    """
+
+    keep = [c for c in docs.columns if c != "text"]
+    rows = with_sections(docs.select(*keep, "text"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            parents, chunks, errors = [], [], []
+            for source, title, text, sections in zip(part["source"], part["title"], part["text"], part["sections"]):
+                made: tuple = ([], [])
+                error = None
+                try:
+                    if not text or not text.strip():
+                        raise ValueError("no text")
+                    made = chunk_document(source or "", title or "", text, list(sections), parent, child, splitter)
+                except Exception as e:  # noqa: BLE001  whatever a splitter raises is this document's failure alone
+                    error = str(e)[:300] or type(e).__name__
+                parents.append(made[0])
+                chunks.append(made[1])
+                errors.append(error)
+            yield part[keep].assign(parents=parents, chunks=chunks, error=errors)
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
+    return rows.mapInPandas(cut, f"{kept}, parents array<{_PARENT}>, chunks array<{_CHUNK}>, error string")
+
+
+def parents_of(cut: DataFrame) -> DataFrame:
+    return cut.select("doc_id", "source", F.inline("parents"))
+
+
+def chunks_of(cut: DataFrame) -> DataFrame:
+    """Chunks with their document's columns and total_chunks."""
+    meta = [c for c in cut.columns if c not in ("parents", "chunks", "error")]
+    return cut.select(*meta, F.size("chunks").alias("total_chunks"), F.inline("chunks"))
+
+
+def failures_of(cut: DataFrame) -> DataFrame:
+    return cut.filter("error IS NOT NULL").select("doc_id", "source", "error")
+
+
+def kb_chunk_corpus(items: DataFrame, docs: DataFrame, child: tuple[int, int] = KB_CHILD) -> tuple[DataFrame, DataFrame]:
+    """Parents and children of layout chunks (doc_id, ord, chunk, headings, labels, page) of documents (doc_id, text).
+
+    Chunks of noise alone go; the section is the last heading; offsets are found with a
+    moving cursor, -1 if not found; ids are version 5 UUIDs of the document and a number.
+    parents: doc_id, parent_id, section, body, start, end, page; children: doc_id,
+    child_id, parent_id, ord, section, page, chunk.
+    """
+    kept = drop_noise_items(items)
+    at = locate_offsets_fuzzy(kept, docs)
+    name = lambda kind, n: uuid5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(kind), n.cast("string")))
+    body = F.concat_ws("\n", F.coalesce("headings", F.array().cast("array<string>")), "chunk")
+    section = F.coalesce(F.try_element_at("headings", F.lit(-1)), F.lit(""))
+    parents = kept.join(at, ["doc_id", "ord"]).select("doc_id", "ord", name("parent", F.col("ord")).alias("parent_id"), section.alias("section"), body.alias("body"), "start", "end", "page")
+    kids = parents.select("doc_id", "ord", "parent_id", "section", "page", F.posexplode(split_column(*child)("body")).alias("k", "chunk"))
+    kids = kids.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "k")) - 1)
+    children = kids.select("doc_id", name("child", F.col("n")).alias("child_id"), "parent_id", F.col("n").alias("ord"), "section", "page", "chunk")
+    return parents.drop("ord"), children
 
 
 def scope_to_page(text: Column, page: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,10 @@ from litmine.operators.retrieval import lexical_scorer
 FLOOR, MARGIN = 0.0, 1.0
 #: Words after which a stop ends no sentence.
 ABBREVIATIONS = {"al", "fig", "eq", "sp", "spp", "var", "cf", "eg", "ie", "e.g", "i.e", "vs", "no", "ref", "etc"}
-_ITEM = re.compile(r"\s*(?:[-*+]\s|\d+[.)]\s|#{1,6}\s)")
-_STOP = re.compile(r"[.!?](?:\s+|$)")
+_GAP = r"[^\S\n]"
+_OPEN = "".join(f"(?<!{edge}{w})" for w in ["[A-ZÀ-ÖØ-Þ]", *(f"(?i:{re.escape(x)})" for x in sorted(ABBREVIATIONS))] for edge in (r"\s", "^"))
+#: A list item or heading, else a run of a line up to a stop that ends a sentence, or up to the line's end.
+_UNIT = re.compile(rf"^{_GAP}*(?:[-*+]|\d+[.)]|#{{1,6}}){_GAP}[^\n]*|[^\n]+?(?:{_OPEN}[.!?](?:{_GAP}+|$)|$)", re.MULTILINE)
 
 
 def sentence_spans(text: str) -> list[tuple[str, int, int]]:
@@ -26,27 +29,7 @@ def sentence_spans(text: str) -> list[tuple[str, int, int]]:
     List items and headings are one unit; a stop after a single capital or a known
     abbreviation ends nothing.
     """
-    out = []
-
-    def add(lo: int, hi: int) -> None:
-        if text[lo:hi].strip():
-            out.append((text[lo:hi].strip(), lo, hi))
-
-    at = 0
-    for line in (text or "").split("\n"):
-        end = at + len(line)
-        if _ITEM.match(line):
-            add(at, end)
-        else:
-            lo = at
-            for stop in _STOP.finditer(line):
-                word = (line[: stop.start()].split() or [""])[-1]
-                if not (len(word) == 1 and word.isupper()) and word.lower() not in ABBREVIATIONS:
-                    add(lo, at + stop.end())
-                    lo = at + stop.end()
-            add(lo, end)
-        at = end + 1
-    return out
+    return [(m[0].strip(), *m.span()) for m in _UNIT.finditer(text or "") if m[0].strip()]
 
 
 def _split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -69,16 +52,22 @@ def words_of(c: Column) -> Column:
 
 
 def verbatim_match(claims: DataFrame, sources: DataFrame, least: float = 0.90) -> DataFrame:
-    """(question_id, ord, chunk_id, ratio): claims of six words or more that a source sentence has, holds or nearly equals."""
+    """(question_id, ord, chunk_id, ratio): claims of six words or more that a source sentence has, holds or nearly equals.
+
+    Source sentences have six words or more as well.  Of equally good chunks the first by
+    the number in its id, then by id, counts.
+    """
     c = claims.filter(words_of(F.col("sentence")) >= 6).select("question_id", "ord", normalize_text(F.col("sentence")).alias("x"))
-    s = sentences(sources, "chunk_text", "question_id", "chunk_id").select("question_id", "chunk_id", normalize_text(F.col("sentence")).alias("y")).filter(F.length("y") >= 20)
+    said = sources.select("question_id", "chunk_id", F.explode(F.split("chunk_text", r"(?<=[.!?])\s+")).alias("sentence"))
+    s = said.filter(words_of(F.col("sentence")) >= 6).select("question_id", "chunk_id", normalize_text(F.col("sentence")).alias("y"))
     pairs = c.join(s, "question_id")
     inside = F.contains("y", F.col("x")) | F.contains("x", F.col("y"))
     near = pairs.filter(inside).select("question_id", "ord", "chunk_id", F.lit(1.0).alias("ratio"))
     la, lb = F.length("x"), F.length("y")
     rest = pairs.filter(~inside & (2 * F.least(la, lb) >= least * (la + lb))).withColumn("ratio", similarity(F.col("x"), F.col("y"))).filter(F.col("ratio") >= least)
     both = near.unionByName(rest.select(near.columns))
-    return both.groupBy("question_id", "ord").agg(F.max_by("chunk_id", F.struct("ratio", F.col("chunk_id"))).alias("chunk_id"), F.max("ratio").alias("ratio"))
+    number = F.coalesce(F.regexp_extract("chunk_id", "([0-9]+)", 1).try_cast("long"), F.lit(0)).alias("number")
+    return both.groupBy("question_id", "ord").agg(F.min_by("chunk_id", F.struct(-F.col("ratio"), number, "chunk_id")).alias("chunk_id"), F.max("ratio").alias("ratio"))
 
 
 def attribute_sentences(answers: DataFrame, sources: DataFrame, scorer: Callable[[Column, Column], Column] = lexical_scorer, floor: float = FLOOR, margin: float = MARGIN) -> DataFrame:
@@ -185,10 +174,17 @@ def paper_references(answers: DataFrame, sources: DataFrame) -> DataFrame:
     return one.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "l"))), lambda x: x["l"]), "\n").alias("references"))
 
 
+#: Fixed value: the shape of a references heading, case-sensitive.
+REFERENCES = r"(?m)^[ \t]*(?:#{1,6}[ \t]+References|\*\*References\*\*)[ \t]*$"
+
+
 def collapse_references(answer: Column) -> Column:
-    """An answer with its last References section only."""
-    parts = F.split(answer, r"(?im)^\s*(?:#{1,6}\s*|\*\*)?References:?(?:\*\*)?\s*$")
-    return F.when(F.size(parts) > 2, F.concat(F.regexp_replace(F.element_at(parts, 1), r"\s+$", ""), F.lit("\n\n## References\n"), F.ltrim(F.element_at(parts, -1), F.lit("\n")))).otherwise(answer)
+    """An answer with its last References section only, under one heading after a rule; as it is with one section or none."""
+    parts = F.split(answer, REFERENCES)
+    bare = lambda c: F.regexp_replace(c, r"\s+$", "")
+    head = bare(F.regexp_replace(bare(F.element_at(parts, 1)), r"\n[ \t]*---[ \t]*$", ""))
+    rule = F.when(head != "", "\n\n---\n\n").otherwise("")
+    return F.when(F.size(parts) > 2, F.concat(head, rule, F.lit("**References**\n"), F.regexp_replace(F.element_at(parts, -1), r"^\s+", ""))).otherwise(answer)
 
 
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -233,28 +229,44 @@ def validate_selected_ids(raw: Column, valid: Column) -> Column:
     return F.struct(F.coalesce(good, F.array().cast("array<string>")).alias("ids"), error.alias("error"))
 
 
+#: Fixed values of quote location: least quote, slices, least slice, window of characters, their step, least hits.
+LEAST_QUOTE, SLICE, LEAST_SLICE, GRAM, STEP, LEAST_HITS = 8, 60, 24, 8, 4, 3
+
+
 def locate_in(text: str, quote: str) -> tuple[int, int] | None:
-    """Where a quote stands in a text: with spaces collapsed; else by the best of five slices of 60 characters; else where 8-word windows of it are densest."""
-    parts = quote.split()
-    if not parts:
+    """Where a quote stands in a text, whatever the case, with runs of white space as one space.
+
+    The whole quote; else the longest of five slices of it that is found, extended to the
+    quote's length; else where windows of 8 characters of it, with a letter or digit, stand
+    most densely, if three or more do within the quote's length.
+    """
+    low = lambda x: x.lower() if len(x.lower()) == len(x) else x
+    needle = low(" ".join(quote.split()))
+    pieces = list(re.finditer(r"\s+|\S", text))
+    flat = "".join(" " if m[0].isspace() else low(m[0]) for m in pieces)
+    at = [m.start() for m in pieces]
+    n = len(needle)
+    if n < LEAST_QUOTE or not at:
+        return None
+    if (k := flat.find(needle)) >= 0:
+        return at[k], at[k + n - 1] + 1
+    offsets = (0, n // 4, n // 2, 3 * n // 4, max(0, n - SLICE))
+    slices = [(needle[o : o + SLICE], o) for o in offsets if len(needle[o : o + SLICE]) >= LEAST_SLICE]
+    found = [(len(x), flat.find(x), o) for x, o in slices if x in flat]
+    if found:
+        _, k, o = max(found, key=lambda f: f[0])
+        start = max(0, at[k] - o)
+        return start, min(len(text), start + len(quote))
+    grams = {g for i in range(0, n - GRAM + 1, STEP) if re.search("[a-z0-9]", g := needle[i : i + GRAM])}
+    hits = np.array([i for i in range(len(flat) - GRAM + 1) if flat[i : i + GRAM] in grams], int)
+    if len(grams) < LEAST_HITS or not len(hits):
         return None
-    if m := re.search(r"\s+".join(map(re.escape, parts)), text):
-        return m.span()
-    flat = " ".join(parts)
-    for k in range(5):
-        at = int(k * max(0, len(flat) - 60) / 4)
-        piece = flat[at : at + 60]
-        if len(piece) >= 24 and (m := re.search(r"\s+".join(map(re.escape, piece.split())), text)):
-            return m.span()
-    words = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"\S+", text)]
-    grams = {tuple(w.lower() for w in parts[i : i + 8]) for i in range(len(parts) - 7)}
-    hits = [i for i in range(len(words) - 7) if tuple(w for w, _, _ in words[i : i + 8]) in grams]
-    best = max(((sum(h <= x < h + len(parts) for x in hits), -h) for h in hits), default=(0, 0))
-    if best[0] < 3:
+    left = np.searchsorted(hits, hits - n)
+    size = np.arange(len(hits)) - left + 1
+    if size.max() < LEAST_HITS:
         return None
-    start = -best[1]
-    inside = [x for x in hits if start <= x < start + len(parts)]
-    return words[start][1], words[min(inside[-1] + 7, len(words) - 1)][2]
+    start = at[hits[left[size.argmax()]]]
+    return start, min(len(text), start + len(quote))
 
 
 def locate_quotes(rows: DataFrame) -> DataFrame:

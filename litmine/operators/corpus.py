@@ -82,3 +82,8 @@ def delete_source(chunks: DataFrame, source: str) -> DataFrame:
 
 def get_parents(parents: DataFrame, ids: DataFrame) -> DataFrame:
     return parents.join(ids, "parent_id", "left_semi")
+
+
+def reset_corpus(tables: dict[str, DataFrame], corpus_id: str) -> dict[str, DataFrame]:
+    """Every table of a store (with a ``corpus_id``) without the rows of one corpus; the others stay."""
+    return {name: df.filter(~F.col("corpus_id").eqNullSafe(F.lit(corpus_id))) for name, df in tables.items()}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,40 @@ QUESTION_BLOCK, CHUNK_BLOCK = 512, 4_096
 NO_CONTEXT = "No relevant passages were found for this question."
 
 
+Embedder = Callable[[list[str]], "np.ndarray"]
+
+
+def embed(rows: DataFrame, embedder: Embedder, text: str = "text", out: str = "embedding", batch: int = 256) -> DataFrame:
+    """``rows`` plus the embedder's vector of each text, ``batch`` texts at a time; null and blank texts have none.
+
+    The embedder is any function of a list of texts; it is sent to the workers, which call it.
+    """
+
+    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            found: list = [None] * len(texts)
+            at = [i for i, t in enumerate(texts) if t is not None and t.strip()]
+            for lo in range(0, len(at), batch):
+                some = at[lo : lo + batch]
+                for i, v in zip(some, embedder([texts.iloc[i] for i in some])):
+                    found[i] = np.asarray(v, np.float32)
+            yield pd.Series(found, dtype=object)
+
+    return rows.withColumn(out, F.pandas_udf(vectors, "array<float>")(F.col(f"`{text}`")))
+
+
+def hashing_embedder(texts: list[str], dimensions: int = 64) -> "np.ndarray":
+    """Signed counts of words hashed into ``dimensions``, of unit length: an embedder without a model."""
+    import zlib
+
+    out = np.zeros((len(texts), dimensions))
+    for row, text in zip(out, texts):
+        for word in re.findall(r"\w+", text.lower()):
+            h = zlib.crc32(word.encode())
+            row[h % dimensions] += 1 if h >> 31 else -1
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-30)
+
+
 def truncate_dim(v: Column, d: int) -> Column:
     return F.slice(v, 1, d)
 
@@ -175,28 +211,23 @@ def resolve_parents(hits: DataFrame, parents: DataFrame, final: int = PARENTS) -
     return first.withColumn("rank", place).filter(F.col("rank") <= pool).drop("_key", "_n", "parent_text")
 
 
-def bigrams(text: str) -> set[tuple[str, str]]:
-    words = (text or "").lower().split()
-    return set(zip(words, words[1:]))
+def bigrams(text: str) -> frozenset:
+    """Pairs of neighbouring words; the word itself of a text of one."""
+    words = re.findall(r"\w+", (text or "").lower())
+    return frozenset(zip(words, words[1:])) if len(words) > 1 else frozenset(words)
 
 
 def diversify(blocks: DataFrame, most: int = PARENTS, overlap: float = OVERLAP) -> DataFrame:
     """Per question, in rank order, the blocks whose bigrams overlap with no kept block by ``overlap`` or more.
 
-    Overlap is the shared part of the smaller set; blocks without bigrams stay.
+    Overlap is the shared part of the smaller set; blocks without words stay.
     """
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rank", ignore_index=True)
-        kept: list[int] = []
-        sets: list[set] = []
-        for i, text in enumerate(rows["text"]):
-            if len(kept) == most:
-                break
-            g = bigrams(text)
-            if not g or all(len(g & s) < overlap * min(len(g), len(s)) for s in sets if s):
-                kept.append(i)
-                sets.append(g)
+        sets = rows["text"].map(bigrams).tolist()
+        alike = np.array([[bool(x and y) and len(x & y) >= overlap * min(len(x), len(y)) for y in sets] for x in sets])
+        kept = reduce(lambda held, i: held if alike[i, held].any() else [*held, i], range(len(sets)), [])[:most]
         return rows.iloc[kept].assign(rank=range(1, len(kept) + 1))
 
     return blocks.groupBy("question_id").applyInPandas(pick, blocks.schema)
@@ -256,11 +287,15 @@ def truncate_tokens(text: Column, n: int, per_token: int | None = None) -> Colum
     return F.array_join(F.slice(F.split(text, " "), 1, n), " ")
 
 
-def hybrid_search(questions: DataFrame, chunks: DataFrame, parents: DataFrame, scorer: Callable[[Column, Column], Column] = lexical_scorer, sources: list[str] | None = None) -> DataFrame:
+def hybrid_search(questions: DataFrame, chunks: DataFrame, parents: DataFrame, scorer: Callable[[Column, Column], Column] = lexical_scorer, sources: list[str] | None = None, embedder: Embedder | None = None) -> DataFrame:
     """Questions (question_id, question, embedding) to ranked context blocks with their status.
 
-    ``chunks``: (chunk_id, parent_id, source, text, embedding).
+    ``chunks``: (chunk_id, parent_id, source, text, embedding).  With an ``embedder``,
+    questions and chunks need no embedding.
     """
+    if embedder:
+        questions = embed(questions.drop("embedding"), embedder, "question")
+        chunks = embed(chunks.drop("embedding"), embedder)
     there = source_filter(chunks, sources)
     fused = rrf_fuse(dense_topk(questions, there), bm25_topk(questions, there))
     hits = fused.join(there.select("chunk_id", "parent_id", "source", "text"), "chunk_id").join(questions.select("question_id", "question"), "question_id")

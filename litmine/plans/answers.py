@@ -137,6 +137,18 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(b).alias("block"))
 
 
+@query("r16_source_records", r"SELECT conv_id AS question_id, 'c' || turn AS chunk_id, md5(regexp_replace('Body.' || chr(10) || text, '\s+$', '')) AS chunk_text, turn AS page FROM conversations")
+def _(spark, d):
+    b = sources(spark, d).select("question_id", F.col("chunk_id").alias("cid"), "source", "section", F.lit(1.0).alias("score"), F.concat(F.lit("Name > Part\n## Part\nBody.\n"), "chunk_text").alias("text"), F.lit("Name").alias("title"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.col("page"), F.lit("full").alias("context_status"))
+    return R.source_records(b).select("question_id", "record.chunk_id", F.md5("record.chunk_text").alias("chunk_text"), F.col("record.page").alias("page"))
+
+
+@query("u03_embed")
+def _(spark, d):
+    e = R.embed(table(spark, d, "documents").select("doc_id", "text"), R.hashing_embedder)
+    return e.select("doc_id", F.size("embedding").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 4).alias("norm"))
+
+
 @query("r17_build_messages", "SELECT conv_id AS question_id, least(10, count(*)) + 2 AS n FROM conversations GROUP BY 1")
 def _(spark, d):
     c = table(spark, d, "conversations").withColumnRenamed("conv_id", "question_id")
@@ -221,16 +233,16 @@ def _(spark, d):
     return A.paper_references(cited(spark, d), sources(spark, d).withColumn("doi", F.lit("10.1/x")))
 
 
-@query("a15_collapse_references", "SELECT conv_id, turn, text || chr(10) || chr(10) || '## References' || chr(10) || 'second' AS answer FROM conversations WHERE NOT regexp_matches(text, '\\s$')")
+@query("a15_collapse_references", r"SELECT conv_id, turn, CASE WHEN h <> '' THEN h || repeat(chr(10), 2) || '---' || repeat(chr(10), 2) ELSE '' END || '**References**' || chr(10) || 'References:' || chr(10) || 'second' AS answer FROM (SELECT conv_id, turn, regexp_replace(text, '\s+$', '') AS h FROM conversations)")
 def _(spark, d):
-    c = table(spark, d, "conversations").filter(~F.col("text").rlike(r"\s$"))
-    return c.select("conv_id", "turn", A.collapse_references(F.concat("text", F.lit("\n## References\nfirst\nReferences:\nsecond"))).alias("answer"))
+    shown = F.concat("text", F.lit("\n---\n## References\nfirst\n**References**\n\nReferences:\nsecond"))
+    return table(spark, d, "conversations").select("conv_id", "turn", A.collapse_references(shown).alias("answer"))
 
 
-@query("a16_quote_matches_chunk", "SELECT doc_id, doc_id % 2 = 0 AS verified FROM documents WHERE length(text) > 300 AND lang <> 'de'")
+@query("a16_quote_matches_chunk", r"SELECT doc_id, doc_id % 2 = 0 AND regexp_matches(text[1:100], '\S') AS verified FROM documents")
 def _(spark, d):
-    x = table(spark, d, "documents").filter((F.length("text") > 300) & (F.col("lang") != "de"))
-    return A.quote_matches_chunk(x.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.upper(F.substring("text", 1, 100)))).otherwise("0123456789 #### 0123456789 ####").alias("quote"), F.col("text").alias("chunk_text"))).select("doc_id", "verified")
+    quote = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.regexp_replace(F.substring("text", 1, 100), " ", "  "))).otherwise("0123456789 #### 0123456789 ####")
+    return A.quote_matches_chunk(table(spark, d, "documents").select("doc_id", quote.alias("quote"), F.col("text").alias("chunk_text"))).select("doc_id", "verified")
 
 
 @query("a17_verify_citations", "SELECT conv_id AS question_id, 'c' || turn AS chunk_id FROM conversations WHERE regexp_matches(text, '\\S')")
@@ -253,10 +265,10 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", A.validate_selected_ids(raw, F.array(F.lit("c1"), F.lit("c2"))).alias("v")).select("conv_id", "turn", F.array_join("v.ids", ",").alias("ids"), "v.error")
 
 
-@query("a20_locate_quotes", "SELECT doc_id, 10 AS start FROM documents WHERE length(text) > 400 AND strpos(text, trim(text[11:110])) = 11 AND NOT contains(text[11:110], chr(10))")
+@query("a20_locate_quotes")
 def _(spark, d):
-    x = table(spark, d, "documents").filter((F.length("text") > 400) & (F.instr("text", F.trim(F.substring("text", 11, 100))) == 11) & ~F.contains(F.substring("text", 11, 100), F.lit("\n")))
-    return A.locate_quotes(x.select("doc_id", "text", F.trim(F.substring("text", 11, 100)).alias("quote"))).select("doc_id", "at.start")
+    quote = F.concat(F.upper(F.substring("text", 11, 100)), F.when(F.col("doc_id") % 3 == 0, " and more").otherwise(""))
+    return A.locate_quotes(table(spark, d, "documents").select("doc_id", "text", quote.alias("quote"))).select("doc_id", "at.*")
 
 
 @query("a21_sentence_start", r"SELECT doc_id, length(regexp_extract(text[1:200], '(?s)^(.*(?:[.!?][ \n]|\n\s*\n))', 1)) AS start FROM documents")

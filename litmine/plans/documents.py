@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from litmine.operators import chunking as C
 from litmine.operators import corpus
+from litmine.operators import retrieval as R
 from litmine.operators.citations import sentences
 from litmine.plans.registry import query, table
 
@@ -65,15 +66,15 @@ def _(spark, d):
     return rows.filter(F.length("uuid") == 36).drop("uuid")
 
 
-@query("c09_locate_offsets", LINES + r""", b AS (SELECT l.doc_id, ord, text, regexp_replace(chunk, '^\s+|\s+$', '', 'g') AS s FROM l JOIN documents d ON l.doc_id = d.doc_id WHERE ord < 3) SELECT doc_id, ord, CASE WHEN s <> '' THEN strpos(text, s) - 1 END AS start, CASE WHEN s <> '' THEN strpos(text, s) - 1 + length(s) END AS "end" FROM b""")
+@query("c09_locate_offsets", LINES + r""", b AS (SELECT l.doc_id, ord, text, regexp_replace(chunk, '^\s+|\s+$', '', 'g') AS s FROM l JOIN documents d ON l.doc_id = d.doc_id) SELECT doc_id, ord, CASE WHEN s <> '' THEN strpos(text, s) - 1 END AS start, CASE WHEN s <> '' THEN strpos(text, s) - 1 + length(s) END AS "end" FROM b""")
 def _(spark, d):
-    x = lines(spark, d).filter("ord < 3").join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    x = lines(spark, d).join(docs(spark, d).select("doc_id", "text"), "doc_id")
     return x.select("doc_id", "ord", C.locate(F.col("text"), F.col("chunk")).alias("at")).select("doc_id", "ord", "at.*")
 
 
 @query("c10_locate_offsets_fuzzy")
 def _(spark, d):
-    chunks = lines(spark, d).filter(F.length("chunk") > 30).withColumn("chunk", F.regexp_replace("chunk", " ", "  "))
+    chunks = lines(spark, d).withColumn("chunk", F.regexp_replace("chunk", " ", "  "))
     return C.locate_offsets_fuzzy(chunks, docs(spark, d))
 
 
@@ -86,11 +87,10 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", page_for_offset(marked, at).alias("page"))
 
 
-@query("c12_scope_to_page", "SELECT doc_id, md5(trim(text[1:100])) AS page FROM documents WHERE NOT contains(text[1:100], chr(10))")
+@query("c12_scope_to_page", "SELECT doc_id, md5(trim(text[1:100])) AS page FROM documents")
 def _(spark, d):
-    x = docs(spark, d).filter(~F.contains(F.substring("text", 1, 100), F.lit("\n")))
     marked = F.concat(F.lit("<!-- Page 1 -->"), F.substring("text", 1, 100), F.lit("<!-- Page 2 -->"), F.expr("substring(text, 101)"))
-    return x.select("doc_id", F.md5(C.scope_to_page(marked, 1)).alias("page"))
+    return docs(spark, d).select("doc_id", F.md5(C.scope_to_page(marked, 1)).alias("page"))
 
 
 @query("c13_dedupe_chunks", LINES + r", k AS (SELECT *, regexp_replace(lower(trim(chunk)), '\s+', ' ', 'g') AS p FROM l) SELECT doc_id, min(ord) AS ord FROM k WHERE p <> '' GROUP BY doc_id, p")
@@ -112,10 +112,13 @@ def _(spark, d):
     return C.attach_doc_metadata(lines(spark, d), docs(spark, d).drop("title")).drop("chunk")
 
 
-@query("c16_strip_to_body", r"SELECT doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS body FROM documents WHERE NOT regexp_matches(text, '^\s*#') AND NOT contains(text, ' > ')")
+@query("c16_strip_to_body", r"""WITH t AS (SELECT doc_id, 'My title > Methods' || chr(10) || chr(10) || '## Part' || chr(10) || text AS t FROM documents),
+l AS (SELECT doc_id, t, regexp_split_to_array(t, '\r\n|\r|\n') AS l FROM t),
+b AS (SELECT doc_id, t, l, list_position(list_transform(list_transform(l, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda s: NOT (s = '' OR regexp_matches(s, '^#{1,6}\s+\S') OR s = 'My title' OR starts_with(s, 'My title >')
+  OR (contains(s, ' > ') AND length(s) < 200 AND NOT regexp_matches(s, '[.!?:]\s*$')))), true) AS k FROM l)
+SELECT doc_id, md5(CASE WHEN k > 0 THEN regexp_replace(array_to_string(l[k:], chr(10)), '^\s+|\s+$', '', 'g') ELSE regexp_replace(t, '^\s+', '') END) AS body FROM b""")
 def _(spark, d):
-    x = docs(spark, d).filter(~F.col("text").rlike(r"^\s*#") & ~F.contains("text", F.lit(" > ")))
-    return x.select("doc_id", F.md5(C.strip_to_body(F.concat(F.lit("My title > Methods\n\n## Part\n"), "text"), F.lit("My title"))).alias("body"))
+    return docs(spark, d).select("doc_id", F.md5(C.strip_to_body(F.concat(F.lit("My title > Methods\n\n## Part\n"), "text"), F.lit("My title"))).alias("body"))
 
 
 @query("c17_validate_offsets", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'no-offset' WHEN 2 THEN 'out-of-bounds' ELSE 'mismatch' END AS status, CASE WHEN doc_id % 4 = 3 THEN 0 END AS first_diff FROM documents")
@@ -167,7 +170,7 @@ def _(spark, d):
 
 @query("c01_jats_sections")
 def _(spark, d):
-    s = F.transform(F.slice(F.split("text", "\n"), 1, 20), lambda x: F.concat(F.lit("<sec><title>S</title><p>"), F.regexp_replace(x, "[<>&]", " "), F.lit("</p></sec>")))
+    s = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<sec><title>S</title><p>"), F.regexp_replace(x, "[<>&]", " "), F.lit("</p></sec>")))
     xml = F.concat(F.lit("<article><body>"), F.array_join(s, ""), F.lit("</body></article>"))
     return C.jats_sections(docs(spark, d).select(F.col("doc_id").cast("string").alias("pmcid"), xml.alias("xml")))
 
@@ -268,6 +271,57 @@ def _(spark, d):
     return corpus.get_parents(docs(spark, d).select(F.col("doc_id").alias("parent_id"), "lang"), ids)
 
 
+@query("c02_jats_metadata", "SELECT CAST(doc_id AS VARCHAR) AS pmcid, 'T' || doc_id AS title, 'Ann ' || lang || ',Bo ' || coalesce(source, 'x') AS authors, 'Journal of ' || lang AS journal, CAST(1990 + doc_id % 30 AS VARCHAR) AS year, '10.1/' || doc_id AS doi FROM documents")
+def _(spark, d):
+    k, lang, source = F.col("doc_id").cast("string"), F.col("lang"), F.coalesce("source", F.lit("x"))
+    person = lambda given, name: F.concat(F.lit('<contrib contrib-type="author"><name><surname>'), name, F.lit("</surname><given-names>"), F.lit(given), F.lit("</given-names></name></contrib>"))
+    front = F.concat(F.lit("<journal-title>Journal of "), lang, F.lit('</journal-title><article-id pub-id-type="doi">10.1/'), k, F.lit("</article-id><article-title>T"), k, F.lit("</article-title>"), person("Ann", lang), person("Bo", source), F.lit("<pub-date><year>"), (1990 + F.col("doc_id") % 30).cast("string"), F.lit("</year></pub-date>"))
+    body = F.concat(F.lit("<body><sec><p>"), F.regexp_replace("text", r"[<>&\x00-\x08\x0B\x0C\x0E-\x1F]", " "), F.lit("</p></sec></body>"))
+    xml = F.concat(F.lit("<article><front>"), front, F.lit("</front>"), body, F.lit("</article>"))
+    return C.jats_metadata(docs(spark, d).select(k.alias("pmcid"), xml.alias("xml"))).withColumn("authors", F.array_join("authors", ","))
+
+
+@query("c14_semantic_split")
+def _(spark, d):
+    x = sentences(docs(spark, d), "text", "doc_id").select("doc_id", "ord", "sentence")
+    return C.semantic_split(R.embed(x, R.hashing_embedder, "sentence"))
+
+
+def corpus_docs(spark, d):
+    return docs(spark, d).select("doc_id", F.concat(F.lit("f"), "doc_id").alias("source"), "title", "lang", "text")
+
+
+@query("c23_chunk_corpus")
+def _(spark, d):
+    return C.chunks_of(C.chunk_corpus(corpus_docs(spark, d)))
+
+
+@query("c23_chunk_failures", r"SELECT doc_id, 'f' || doc_id AS source, 'no text' AS error FROM documents WHERE doc_id % 5 = 0 OR NOT regexp_matches(coalesce(text, ''), '\S')")
+def _(spark, d):
+    x = corpus_docs(spark, d).withColumn("text", F.when(F.col("doc_id") % 5 != 0, F.col("text")))
+    return C.failures_of(C.chunk_corpus(x))
+
+
+@query("c24_kb_chunk_corpus")
+def _(spark, d):
+    x = lines(spark, d).withColumn("headings", F.array(F.lit("Paper"), F.lit("Part")))
+    x = x.withColumn("labels", F.when(F.col("ord") % 7 == 6, F.array(F.lit("footnote"))).otherwise(F.array(F.lit("text")))).withColumn("page", (F.col("ord") / 40).cast("int") + 1)
+    return C.kb_chunk_corpus(x, docs(spark, d))[1]
+
+
+@query("i04_record_failures", CATALOG + """, f AS (SELECT DISTINCT paper_id, filename FROM catalog WHERE n % 7 = 0)
+SELECT filename, status FROM catalog WHERE paper_id NOT IN (SELECT paper_id FROM f) UNION ALL SELECT filename, 'error' FROM f""")
+def _(spark, d):
+    c = catalog(spark, d)
+    return corpus.record_failures(c, c.filter("n % 7 = 0").select("paper_id", "filename", F.lit("boom").alias("error")), 5.0).select("filename", "status")
+
+
+@query("i12_reset_corpus", "SELECT doc_id, lang FROM documents WHERE lang <> 'en' OR lang IS NULL")
+def _(spark, d):
+    x = docs(spark, d).select("doc_id", "lang", F.col("lang").alias("corpus_id"))
+    return corpus.reset_corpus({"chunks": x}, "en")["chunks"].select("doc_id", "lang")
+
+
 @query("a01_split_sentences")
 def _(spark, d):
     return sentences(docs(spark, d), "text", "doc_id")

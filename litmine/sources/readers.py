@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,20 +46,24 @@ _CP1252 = "".join(bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0x
 _CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
 
 
-def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 if every file under the path is valid UTF-8, else ISO-8859-1."""
-    files = spark.read.format("binaryFile").load(path)
-    bad = files.filter(~F.is_valid_utf8(F.col("content").cast("string")))
-    return "ISO-8859-1" if bad.limit(1).count() else "UTF-8"
+def files_by_encoding(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The files under a path that are valid UTF-8, and the others; a name per file comes to the driver."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("valid"))
+    names = [(r.path, r.valid) for r in files.collect()]
+    return [p for p, valid in names if valid], [p for p, valid in names if not valid]
 
 
 def read_with_encoding_fallback(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV in UTF-8, else in windows-1252: read as ISO-8859-1, which Spark knows, and its control characters mapped."""
-    encoding = encoding_of(spark, path)
-    rows = read_csv(spark, path, encoding=encoding)
-    if encoding == "UTF-8":
-        return rows
-    return rows.select(*[F.translate(f"`{c}`", _CONTROLS, _CP1252).alias(c) for c in rows.columns])
+    """CSV files of equal columns, each in UTF-8 or else in windows-1252.
+
+    The latter are read as ISO-8859-1, which Spark knows, and its control characters mapped.
+    """
+    valid, other = files_by_encoding(spark, path)
+    parts = [read_csv(spark, valid)] if valid else []
+    if other:
+        rows = read_csv(spark, other, encoding="ISO-8859-1")
+        parts.append(rows.select(*[F.translate(f"`{c}`", _CONTROLS, _CP1252).alias(c) for c in rows.columns]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_species_dictionary(rows: DataFrame) -> DataFrame:
@@ -163,9 +169,10 @@ def document_pages(text: Column) -> Column:
     return F.filter(F.transform(parts, page), lambda p: p["text"] != "")
 
 
-def write_kb_tables(papers: DataFrame, facts: DataFrame, path: str) -> None:
+def write_kb_tables(papers: DataFrame, facts: DataFrame, path: str, files_per_label: int = 32) -> None:
     papers.write.mode("overwrite").parquet(f"{path}/papers")
-    facts.repartition("label").write.mode("overwrite").partitionBy("label").parquet(f"{path}/paper_entities")
+    # spread, so that a large label is written by many tasks
+    facts.repartition("label", F.pmod(F.xxhash64(*facts.columns), F.lit(files_per_label))).write.mode("overwrite").partitionBy("label").parquet(f"{path}/paper_entities")
 
 
 def write_eval_csv(rows: DataFrame, path: str) -> None:
