@@ -28,6 +28,9 @@ from litmine.llm.near_dups import SIMILAR, linked, mix
 
 SHINGLE = 8  # a power of two
 BANDS, ROWS = 12, 4
+#: Equal min-hashes of BANDS * ROWS that a pair has at least before its sets are compared: at 0.75
+#: it has 36 of 48 on average, and fewer than 24 with a chance of 1 in 10,000.
+MATCHES = 24
 #: All pairs of a band's nodes are compared up to so many nodes; see ``near_dups`` for longer lists.
 SMALL_LIST = 32
 #: Characters that are hashed at a time, so that their hashes stay in the processor's cache.
@@ -59,27 +62,31 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return acc[own], np.cumsum(count) - count
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS) keys of non-empty lines."""
-    out, lo = np.empty((len(lines), BANDS), np.uint64), 0
+def signatures(lines: list[str]) -> np.ndarray:
+    """(BANDS * ROWS, lines) min-hashes of non-empty lines."""
+    out, lo = np.empty((BANDS * ROWS, len(lines)), np.uint32), 0
     while lo < len(lines):
         hi, size = lo, 0
         while hi < len(lines) and (hi == lo or size + len(lines[hi]) <= _CHUNK):
             size += len(lines[hi])
             hi += 1
         x, starts = shingle_hashes(lines[lo:hi])
-        low, turned = np.empty((BANDS * ROWS, hi - lo), np.uint32), np.empty_like(x)
+        turned = np.empty_like(x)
         for r, odd in enumerate(_ODD):
-            np.minimum.reduceat(np.multiply(x, odd, out=turned), starts, out=low[r])
-        low = low.reshape(BANDS, ROWS, hi - lo)
-        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], (BANDS, hi - lo))
-        for r in range(ROWS):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
-        out[lo:hi] = key.T
+            out[r, lo:hi] = np.minimum.reduceat(np.multiply(x, odd, out=turned), starts)
         lo = hi
     return out
 
 
+def band_keys(lines: list[str]) -> np.ndarray:
+    """(lines, BANDS) keys of non-empty lines."""
+    low = signatures(lines).reshape(BANDS, ROWS, len(lines))
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], (BANDS, len(lines)))
+    for r in range(ROWS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
+    return np.ascontiguousarray(key.T)
+
+
 def normal_lines(text: bytes) -> list[tuple[int, bytes]]:
     """Number and normal form of the lines that have a word."""
     text = text.translate(_PLAIN)
@@ -123,9 +130,9 @@ def shingle_set(line: str) -> set[str]:
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Normal forms of the lines that are asked for: texts with their line numbers and digests."""
+    """Normal forms of the lines that are asked for, with their min-hashes: texts with their line numbers and digests."""
     for batch in batches:
-        ids, seconds, sizes, norms = [], [], [], []
+        ids, seconds, norms = [], [], []
         for text, numbers, ones, twos in zip(*(batch.column(k) for k in range(4))):
             lines = dict(normal_lines(text.cast(pa.binary()).as_py()))
             for k, h1, h2 in zip(numbers.as_py(), ones.as_py(), twos.as_py()):
@@ -135,21 +142,25 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids.append(h1)
                     seconds.append(h2)
                     norms.append(norm.decode())
-                    sizes.append(len(shingle_set(norms[-1])))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(norms, pa.string())], ["id", "h2", "n", "norm"])
+        if ids:
+            low = np.ascontiguousarray((signatures(norms) >> np.uint32(16)).astype(np.uint16).T)
+            columns = [pa.array(ids, pa.int64()), pa.array(seconds, pa.int64()), pa.array([x.tobytes() for x in low], pa.binary()), pa.array(norms, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "h2", "sig", "norm"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs of lines (a, b, x, y) whose full shingle sets are similar enough."""
+    """Keeps the pairs of lines (a, b, sa, sb, x, y) whose full shingle sets are similar enough."""
     for batch in batches:
-        keep, known = [], {}
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            p, q = (known.get(t) or known.setdefault(t, shingle_set(t)) for t in (x, y))
+        low = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (2, 3)]
+        near = batch.filter(pa.array((low[0] == low[1]).sum(axis=1) >= MATCHES, pa.bool_())).sort_by("x")
+        keep, last, p = [], None, set()
+        for x, y in zip(near.column("x").to_pylist(), near.column("y").to_pylist()):
+            if x != last:
+                last, p = x, shingle_set(x)
+            q = shingle_set(y)
             both = len(p & q)
             keep.append(SIMILAR[1] * both >= SIMILAR[0] * (len(p) + len(q) - both))
-            if len(known) > 1000:
-                known.clear()
-        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield near.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,16 +187,16 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     at = at.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line_no", "h1", "first.h2")).alias("at"))  # lines of one document
     at = scratch.save(at.select(F.col("doc_id").alias("of"), "at"), "at")
     texts = docs.join(small(at), F.col("doc_id") == F.col("of")).select("text", "at.line_no", "at.h1", "at.h2")
-    texts = scratch.save(texts.mapInArrow(_picked, "id long, h2 long, n int, norm string").dropDuplicates(["id"]), "texts")
+    texts = scratch.save(texts.mapInArrow(_picked, "id long, h2 long, sig binary, norm string").dropDuplicates(["id"]), "texts")
     scratch.drop("at", "ids")
 
     turns = iter(range(9))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs, f"pairs-{next(turns)}")
-        sized = texts.select("id", "n", "norm")
-        full = pairs.join(sized.toDF("a", "na", "x"), "a").join(sized.toDF("b", "nb", "y"), "b").filter(F.least("na", "nb") * SIMILAR[1] >= F.greatest("na", "nb") * SIMILAR[0])
-        return full.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
+        of = texts.select("id", "sig", "norm")
+        full = pairs.join(of.toDF("a", "sa", "x"), "a").join(of.toDF("b", "sb", "y"), "b")
+        return full.select("a", "b", "sa", "sb", "x", "y").mapInArrow(_similar, "a long, b long")
 
     def tokens_of(ids: DataFrame) -> DataFrame:
         sets = texts.join(small(ids), "id", "left_semi").select("id", "norm").mapInArrow(_tokens, "id long, tokens array<long>")
@@ -194,7 +205,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     label = linked(posted, confirm, tokens_of, scratch, SMALL_LIST)
     label = scratch.save(label.join(texts.select("id", "h2"), "id").select(F.col("id").alias("l1"), F.col("h2").alias("l2"), "component"), "groups")
-    scratch.drop("posted", "texts", "label", "labels", "pairs-0", "pairs-1")
+    scratch.drop("posted", "texts", "label-0", "label-2", "pairs-0", "pairs-1", "pairs-2")
     # a line's group: its component, or all lines equal to it
     placed = lines.select("doc_id", "line_no", "h1", "h2").join(small(label), F.expr("h1 = l1 AND h2 = l2"), "left")
     placed = placed.select("doc_id", "line_no", F.coalesce("component", "h1").alias("g1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("g2"))

@@ -16,8 +16,9 @@ node from the start.  In a list of more than SMALL_LIST nodes, all are paired wi
 the most typical node only.  When the groups so found are known, the nodes of lists
 that still hold several groups are joined once more by the same prefix rule, now over
 their full shingle sets (of n shingles 3n/4 must be shared, so the n/4 + 1 rarest
-are posted) and with a bound from a shared token's positions, and there nodes outside a list's largest group are paired with nodes of
-other groups.  The smaller set of a pair must have its first shared token in its first
+are posted): first with the most typical node of each such list, then, with a bound from
+a shared token's positions, nodes outside a list's largest group with nodes of other
+groups.  The smaller set of a pair must have its first shared token in its first
 seventh (see ``_across``), which one side of that join is cut to: pages of one template
 that are less alike than the threshold are not paired.  No pair between different groups
 is left out, pairs within a group are not made.  Pairs with MATCHES equal coordinates are confirmed on full shingle sets.
@@ -38,6 +39,8 @@ from litmine.llm.common import Scratch, components, small, table
 SHINGLE = 5
 COORDINATES, MATCHES = 64, 32
 SMALL_LIST = 8
+#: Tokens before a posting that tell repeats of a pair.
+RECENT = 8
 SIMILAR = (75, 100)
 
 _RNG = np.random.default_rng(20240229)
@@ -128,13 +131,14 @@ def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """(token, id, typical, size, at): prefix postings of sets given as rows (id, size, need, token).
+def postings(tokens: DataFrame, recent: int = 0) -> DataFrame:
+    """(token, id, typical, size, at, before): prefix postings of sets given as rows (id, size, need, token).
 
     Sets that are to be found share at least ``need`` of their ``size`` tokens with one
     another.  ``typical`` is the sum of a set's token counts: high for one that many
     others resemble.  ``at`` is the token's position, from 0, in the set's order of
-    rising frequency, in which tokens of one set alone come first.
+    rising frequency, in which tokens of one set alone come first; ``before`` has the
+    ``recent`` posted tokens that stand next before it there.
     """
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     lists = (
@@ -144,8 +148,9 @@ def postings(tokens: DataFrame) -> DataFrame:
         .filter(F.size("by_n") >= F.col("need"))
     )
     prefix = F.slice("by_n", F.lit(1), (F.size("by_n") - F.col("need") + 1).cast("int"))
-    each = lists.select("id", "typical", "size", (F.col("size") - F.size("by_n")).alias("alone"), F.posexplode(prefix).alias("k", "t"))
-    return each.select("id", "typical", "size", (F.col("alone") + F.col("k")).alias("at"), F.col("t.token").alias("token"))
+    each = lists.select("id", "typical", "size", (F.col("size") - F.size("by_n")).alias("alone"), prefix.alias("prefix")).select("*", F.posexplode("prefix").alias("k", "t"))
+    before = F.transform(F.slice("prefix", F.greatest(F.col("k") - recent, F.lit(0)) + 1, F.least("k", F.lit(recent))), lambda x: x["token"])
+    return each.select("id", "typical", "size", (F.col("alone") + F.col("k")).alias("at"), F.col("t.token").alias("token"), *([before.alias("before")] if recent else []))
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -161,17 +166,41 @@ def _across(mixed: DataFrame) -> DataFrame:
     With sizes s <= l and first shared tokens at positions p and q, an overlap of 75 / 175
     of s + l must fit into s - p and l - q.  As s + l >= 2 s, p is at most s / 7: only such
     postings can be the smaller side.  Of two nodes one is outside the list's main component.
+    A token is not their first shared one if tokens before it are shared as well; such
+    repeats of a pair are left out, as far as ``before`` shows them.
     """
-    a = [F.col(c).alias(f"{c}a") for c in ("id", "component", "size", "at")]
-    b = [F.col(c).alias(f"{c}b") for c in ("id", "component", "size", "at")]
+    a, b = ([F.col(c).alias(f"{c}{side}") for c in ("id", "component", "size", "at", "before")] for side in "ab")
     main, low = F.col("component") == F.col("main"), F.col("at") * sum(SIMILAR) <= F.col("size") * (SIMILAR[1] - SIMILAR[0])
     fits = F.least(F.col("sizea") - F.col("ata"), F.col("sizeb") - F.col("atb")) * sum(SIMILAR) >= (F.col("sizea") + F.col("sizeb")) * SIMILAR[0]
-    apart = (F.col("componenta") != F.col("componentb")) & (F.col("sizea") <= F.col("sizeb")) & fits
+    apart = (F.col("componenta") != F.col("componentb")) & (F.col("sizea") <= F.col("sizeb")) & fits & ~F.arrays_overlap("beforea", "beforeb")
     rest = mixed.filter(low & ~main).select("token", *a).join(mixed.select("token", *b), "token").filter(apart)
     hung = mixed.filter(low & main).select("token", *a).join(mixed.filter(~main).select("token", *b), "token").filter(apart)
     return rest.unionByName(hung).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
 
 
+def _placed(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """``rows`` plus the component of their id; a node's postings, few, are joined as one row."""
+    rest = [c for c in rows.columns if c != "id"]
+    each = rows.groupBy("id").agg(F.collect_list(F.struct(*rest)).alias("rows")).join(label, "id", "left")
+    return each.select("id", F.coalesce("component", "id").alias("component"), F.inline("rows"))
+
+
+def _to_hubs(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each list's most typical node with those of other components."""
+    hubs = mixed.groupBy("token").agg(F.max_by(F.struct("id", "component"), F.struct("typical", -F.col("id"))).alias("hub"))
+    apart = mixed.join(hubs, "token").filter(F.col("component") != F.col("hub.component"))
+    return apart.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+
+
+def _merged(label: DataFrame, more: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
+    """``label`` with the components that the links (a, b) of ``more`` join as one; nodes without one are one of their own."""
+    ends = more.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    top = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch, f"turn-{turn}").toDF("component", "top")
+    alone = ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct().join(label, "id", "left_anti").withColumn("component", F.col("id"))
+    every = label.unionByName(alone).join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return scratch.save(every, f"label-{turn}")
+
+
 def linked(
     posted: DataFrame,
     confirm: Callable[[DataFrame], DataFrame],
@@ -194,31 +223,22 @@ def linked(
     few = known.filter(F.col("n") <= small_list).select("token", "id")
     every = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     links = scratch.save(confirm(hubs.unionByName(every).distinct()), "links")
-    label = scratch.save(components(links, scratch, "first"), "label")
-
-    def place(rows: DataFrame) -> DataFrame:
-        """``rows`` plus the component of their id; a node's postings, few, are joined as one row."""
-        rest = [c for c in rows.columns if c != "id"]
-        each = rows.groupBy("id").agg(F.collect_list(F.struct(*rest)).alias("rows")).join(label, "id", "left")
-        return each.select("id", F.coalesce("component", "id").alias("component"), F.inline("rows"))
-
-    open_ = scratch.save(_mixed(place(known.filter(F.col("n") > small_list).select("token", "id"))).select("id").distinct(), "open")
+    label = scratch.save(components(links, scratch, "first"), "label-0")
+    scratch.drop("links")
+    open_ = scratch.save(_mixed(_placed(known.filter(F.col("n") > small_list).select("token", "id"), label)).select("id").distinct(), "open")
     scratch.drop("lists")
-    more = None
-    if not open_.isEmpty():
-        mixed = scratch.save(_mixed(place(postings(tokens_of(open_)))), "mixed")
-        more = scratch.save(confirm(_across(mixed)), "more")
-        scratch.drop("mixed")
-    if more is not None and not more.isEmpty():
-        # components that a late link joins become one; nodes without a component are one of their own
-        named = label.select("id", "component")
-        ends = more.join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        top = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch, "all").toDF("component", "top")
-        alone = ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct().join(label, "id", "left_anti").withColumn("component", F.col("id"))
-        every = named.unionByName(alone).join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
-        label = scratch.save(every, "labels")
-        scratch.drop("label")
-    scratch.drop("links", "open", "more")
+    if open_.isEmpty():
+        scratch.drop("open")
+        return label
+    mixed = scratch.save(_mixed(_placed(postings(tokens_of(open_), RECENT), label)), "mixed-0")
+    # most of what is apart is near its list's most typical node; the rest is compared across components
+    more = scratch.save(confirm(_to_hubs(mixed)), "more-0")
+    label = _merged(label, more, scratch, 1)
+    mixed = scratch.save(_mixed(_placed(mixed.drop("component", "main"), label)), "mixed-1")
+    scratch.drop("mixed-0", "more-0", "label-0")
+    more = scratch.save(confirm(_across(mixed)), "more-1")
+    label = _merged(label, more, scratch, 2)
+    scratch.drop("mixed-1", "more-1", "label-1", "open")
     return label
 
 
@@ -277,7 +297,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     least = label.join(nodes.select("id", "first"), "id").groupBy("component").agg(F.min("first").alias("least"))
     place = nodes.select("id", "set_id", "first").join(label, "id", "left").join(least, "component", "left")
     place = scratch.save(place.select(F.col("set_id").alias("of_set"), F.coalesce("least", "first").alias("component_id")), "place")
-    scratch.drop("nodes", "posted", "label", "labels", *[f"found-{i}" for i in range(3)])
+    scratch.drop("nodes", "posted", "label-0", "label-2", *[f"found-{i}" for i in range(3)])
     found = signed.select("doc_id", "n_shingles", "set_id", "text_hash").join(place, (F.col("set_id") == F.col("of_set")) & F.col("doc_id").isNotNull(), "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
     kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
