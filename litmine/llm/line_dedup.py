@@ -5,7 +5,8 @@ none at the ends).  A line's shingles are its windows of SHINGLE characters; a s
 line is one shingle.  Equal lines are one node, named by 64 bits of their digest.  Nodes
 that agree in a band of ROWS min-hashes are candidates (a pair at 0.75 is missed by all
 BANDS bands with a chance of 1 %, one at 0.85 with less than 1 in 5,000); a pair is
-linked if the Jaccard similarity of its full shingle sets is 0.75 or more.  Of each
+linked if the Jaccard similarity of its full shingle sets, hashed to 44 bits, is 0.75 or
+more.  Of each
 connected component the first line, by document and line number, stays.
 
 Texts are read twice: once for digests and bands, and once for the few lines that share
@@ -41,21 +42,25 @@ _ODD = np.random.default_rng(77).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uin
 _PLAIN = bytes(32 if b in (9, 11, 12, 13) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit shingle hashes of non-empty lines, one after the other, and where each line starts."""
+def shingle_hashes(lines: list[str], kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes, of 32 or 64 bits, of non-empty lines, one after the other, and where each line starts."""
     size = np.array([len(x) for x in lines])
     fill = "\x00" * (SHINGLE - 1)
-    acc = np.frombuffer((fill.join(lines) + fill).encode("utf-32-le"), np.uint32) + np.uint32(1)
+    acc = np.frombuffer((fill.join(lines) + fill).encode("utf-32-le"), np.uint32).astype(kind) + kind(1)
     # windows of 1, 2, 4 and so on characters, each from two of half the size
-    width, factor = 1, 0x9E3779B1
+    bits = 8 * acc.itemsize
+    width, factor = 1, 0x9E3779B97F4A7C15 >> (64 - bits) | 1
     while width < SHINGLE:
-        acc = acc[:-width] * np.uint32(factor) + acc[width:]
-        width, factor = 2 * width, factor * factor % (1 << 32)
-    for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-        acc ^= acc >> np.uint32(shift)
-        acc *= np.uint32(times)
-    acc ^= acc >> np.uint32(16)
-    # a full window never starts in the filling: those that do are never the least
+        acc = acc[:-width] * kind(factor) + acc[width:]
+        width, factor = 2 * width, factor * factor % (1 << bits)
+    if bits == 64:
+        acc = mix(acc)
+    else:
+        for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            acc ^= acc >> np.uint32(shift)
+            acc *= np.uint32(times)
+        acc ^= acc >> np.uint32(16)
+    # full windows only, and the first, filled up, of a line that is shorter
     count = np.maximum(size - SHINGLE + 1, 1)
     starts = np.cumsum(size + SHINGLE - 1) - (size + SHINGLE - 1)
     own = np.arange(count.sum()) + np.repeat(starts - (np.cumsum(count) - count), count)
@@ -148,19 +153,47 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["id", "h2", "sig", "norm"])
 
 
+#: Bits of a shingle's hash when sets are compared, below those that number the sets or pairs.
+_BITS = np.uint64(44)
+#: Characters of lines whose sets are compared at a time.
+_COMPARED = 1 << 21
+
+
+def _owned(count: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Sorted keys of hashes that belong to 0, 1, 2 and so on, ``count`` of them each."""
+    return np.sort(np.repeat(np.arange(len(count), dtype=np.uint64) << _BITS, count) | hashes)
+
+
+def similar(x: list[str], y: list[str]) -> np.ndarray:
+    """Whether the shingle sets of each pair of lines are similar enough."""
+    number: dict[str, int] = {}
+    a, b = (np.array([number.setdefault(t, len(number)) for t in side]) for side in (x, y))
+    h, starts = shingle_hashes(list(number), np.uint64)
+    keys = _owned(np.diff(np.append(starts, len(h))), h >> (np.uint64(64) - _BITS))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]
+    ends = np.searchsorted(keys, np.arange(len(number) + 1, dtype=np.uint64) << _BITS)
+    n, sets = np.diff(ends), keys & ((np.uint64(1) << _BITS) - np.uint64(1))
+
+    def of_pairs(ids: np.ndarray) -> np.ndarray:
+        count = n[ids]
+        at = np.arange(count.sum()) + np.repeat(ends[ids] - (np.cumsum(count) - count), count)
+        return np.repeat(np.arange(len(ids), dtype=np.uint64) << _BITS, count) | sets[at]
+
+    met = np.sort(np.concatenate([of_pairs(a), of_pairs(b)]))  # what both sets of a pair have stands twice
+    both = np.bincount((met[1:][met[1:] == met[:-1]] >> _BITS).astype(np.int64), minlength=len(a))
+    return SIMILAR[1] * both >= SIMILAR[0] * (n[a] + n[b] - both)
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs of lines (a, b, sa, sb, x, y) whose full shingle sets are similar enough."""
     for batch in batches:
         low = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (2, 3)]
-        near = batch.filter(pa.array((low[0] == low[1]).sum(axis=1) >= MATCHES, pa.bool_())).sort_by("x")
-        keep, last, p = [], None, set()
-        for x, y in zip(near.column("x").to_pylist(), near.column("y").to_pylist()):
-            if x != last:
-                last, p = x, shingle_set(x)
-            q = shingle_set(y)
-            both = len(p & q)
-            keep.append(SIMILAR[1] * both >= SIMILAR[0] * (len(p) + len(q) - both))
-        yield near.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        near = batch.filter(pa.array((low[0] == low[1]).sum(axis=1) >= MATCHES, pa.bool_()))
+        x, y = near.column(4).to_pylist(), near.column(5).to_pylist()
+        part = np.cumsum([len(p) + len(q) for p, q in zip(x, y)]) // _COMPARED
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(x)] if len(x) else []
+        keep = [similar(x[lo:hi], y[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+        yield near.select(["a", "b"]).filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_()))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
