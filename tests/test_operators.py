@@ -69,7 +69,7 @@ def test_jats():
 def test_chemical_matching(spark):
     words = spark.createDataFrame([("CHEMICAL", "6-alpha-ol", "6-alpha-ol"), ("CHEMICAL", "germacrene d", "germacrene D"), ("CHEMICAL", "6", "six")], "label string, pattern string, canonical string")
     docs = spark.createDataFrame([(1, "We saw 6α-ol and germacrene D. in 6 samples")], "doc_id long, text string")
-    got = {(r.text, r.start) for r in ner.match_trie(spark, docs, words, chemical=True).collect()}
+    got = {(r.text, r.start) for r in ner.match_chemicals(spark, docs, words).collect()}
     assert got == {("6α-ol", 7), ("germacrene D", 17)}
 
 
