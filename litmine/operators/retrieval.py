@@ -18,6 +18,8 @@ RETRIEVE, RERANK, PARENTS, OVERLAP = 60, 40, 10, 0.60
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Questions and chunks that are multiplied at once in a dense search.
 QUESTION_BLOCK, CHUNK_BLOCK = 512, 4_096
+#: Bytes of question terms up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 NO_CONTEXT = "No relevant passages were found for this question."
 
 
@@ -113,37 +115,53 @@ def dense_topk(questions: DataFrame, chunks: DataFrame, k: int = RETRIEVE) -> Da
 
 def light_stem(word: Column) -> Column:
     """A word without a plural or verb ending."""
-    return F.when(F.length(word) > 4, F.regexp_replace(word, "(?:ing|ed|es|s)$", "")).otherwise(word)
+    cut = lambda n: F.substring(word, F.lit(1), F.length(word) - n)
+    stem = F.when(word.endswith("ing"), cut(3)).when(word.endswith("ed") | word.endswith("es"), cut(2)).when(word.endswith("s"), cut(1)).otherwise(word)
+    return F.when(F.length(word) > 4, stem).otherwise(word)
+
+
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def tokens(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.transform(words, light_stem)
+    return F.transform(words(text), light_stem)
+
+
+def _terms(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, dl, term): a row per word, stemmed once it is alone."""
+    each = chunks.select("chunk_id", words(F.col("text")).alias("w")).select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("word"))
+    return each.select("chunk_id", "dl", light_stem(F.col("word")).alias("term"))
+
+
+def _stats(chunks: DataFrame) -> DataFrame:
+    """One row (n, avgdl)."""
+    return chunks.select(F.size(words(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """postings(chunk_id, term, tf, dl), terms(term, df) and stats(n, avgdl) of chunks (chunk_id, text)."""
-    words = chunks.select("chunk_id", tokens(F.col("text")).alias("w"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    postings = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
-    return postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats
+    postings = _terms(chunks).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+    return postings, postings.groupBy("term").agg(F.count("*").alias("df")), _stats(chunks)
 
 
 def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = RETRIEVE, k1: float = K1, b: float = B) -> DataFrame:
     """(question_id, chunk_id, score, rank): the k best chunks of each question (question_id, question).
 
-    Only terms that a question has are looked up: chunks' words meet the questions'
-    distinct terms before they are counted.
+    Chunks are dealt out by their id once.  While the questions' terms are few enough to
+    broadcast (their bytes are added up first), counts and scores then stay where a chunk
+    is, and each task hands on its k best of each question.  Beyond that, terms are shuffled.
     """
     asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    words = chunks.select("chunk_id", tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
-    stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    there = words.select("chunk_id", "dl", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = there.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    few = (asked.agg(F.sum(F.octet_length("term") + 40)).first()[0] or 0) <= BROADCAST_BYTES
+    sent = F.broadcast if few else (lambda rows: rows)
+    there = _terms(chunks.select("chunk_id", "text").repartition("chunk_id")).join(sent(asked.select("term").distinct()), "term", "left_semi")
+    tf = there.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = asked.join(df, "term").crossJoin(F.broadcast(_stats(chunks))).select("question_id", "term", idf.alias("idf"), "avgdl")  # stats are one row
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(df, "term").join(tf, "term").crossJoin(F.broadcast(stats)).groupBy("question_id", "chunk_id").agg(F.sum(idf * gain).alias("score"))
+    scored = tf.join(sent(weights), "term").groupBy("question_id", "chunk_id").agg(F.sum(F.col("idf") * gain).alias("score"))
     w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -46,10 +46,10 @@ def found(spark, d):
     return ner.match_ngrams(docs(spark, d), native(spark))
 
 
-@query("n01_build_simple_dictionary", f"SELECT DISTINCT label, pattern, canonical FROM (VALUES {', '.join(repr(p) for p in _PAIRS if p[0] == 'PLANT PART')}) v(label, pattern, canonical)")
+@query("n01_build_simple_dictionary", "WITH p AS (SELECT p_partkey, lower(p_name) AS canonical, unnest([lower(p_name), lower(p_brand), lower(p_type)]) AS pattern FROM part) SELECT 'PLANT PART' AS label, pattern, arg_max(canonical, p_partkey) AS canonical FROM p GROUP BY pattern")
 def _(spark, d):
-    rows = [(k, t.upper(), s) for k, (label, t, s) in enumerate(TERMS) if label == "PLANT PART"] + [(99, "# note", "x")]
-    return ner.build_simple_dictionary(spark.createDataFrame(rows, "ord int, term string, synonyms string"), "PLANT PART")
+    terms = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.upper("p_name").alias("term"), F.concat_ws("|", "p_brand", "p_type").alias("synonyms"))
+    return ner.build_simple_dictionary(terms, "PLANT PART")
 
 
 @query("n02_build_species_dictionary", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE is_pattern) AS BIGINT) AS patterns FROM (SELECT DISTINCT lower(s_name) AS p, true AS is_pattern FROM supplier)")
@@ -91,9 +91,10 @@ def _(spark, d):
     return ner.lookup(names, native(spark).withColumn("label", F.lit("X"))).select("doc_id", "canonical")
 
 
-@query("n10_aliases_for_canonical", f"SELECT label, canonical, string_agg(pattern, ',' ORDER BY pattern) AS aliases FROM (VALUES {_VALUES}) v(label, pattern, canonical) GROUP BY 1, 2")
+@query("n10_aliases_for_canonical", "SELECT p_type AS label, p_brand AS canonical, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS aliases FROM part GROUP BY 1, 2")
 def _(spark, d):
-    return ner.aliases_for_canonical(native(spark)).withColumn("aliases", F.array_join("aliases", ","))
+    dictionary = table(spark, d, "part").select(F.col("p_type").alias("label"), F.col("p_name").alias("pattern"), F.col("p_brand").alias("canonical"))
+    return ner.aliases_for_canonical(dictionary).withColumn("aliases", F.array_join("aliases", ","))
 
 
 @query("n11_resolve_overlaps")
