@@ -149,3 +149,122 @@ def test_files_by_encoding(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("term,synonyms\ncafé,x\n".encode())
     (tmp_path / "b.csv").write_bytes("term,synonyms\nnaïve €,y\n".encode("cp1252"))
     assert {r.term for r in readers.read_with_encoding_fallback(spark, str(tmp_path)).collect()} == {"café", "naïve €"}
+
+
+# --- plain versions on small random tables -----------------------------------------------
+
+SHORT = [a + b + c for a in "bdfg" for b in "aeiou" for c in "lmnr"]
+
+
+def said(rng, n):
+    """A sentence of n words of three letters, which have no ending to cut."""
+    return " ".join(rng.choice(SHORT) for _ in range(n)).capitalize() + "."
+
+
+def share(a, b):
+    words = lambda t: set(t.lower().replace(".", " ").split())
+    return len(words(a) & words(b)) / len(words(a))
+
+
+def answers_and_chunks(rng, questions=12):
+    answers = {q: [said(rng, rng.choice([5, 9, 12])) for _ in range(6)] for q in range(questions)}
+    chunks = {q: {f"c{k}": [said(rng, 10) for _ in range(4)] for k in range(1, 5)} for q in range(questions)}
+    for q in range(0, questions, 2):  # some claims are taken from a chunk word for word
+        answers[q][2] = chunks[q]["c3"][1]
+    return answers, chunks
+
+
+def tables(spark, answers, chunks):
+    a = spark.createDataFrame([(q, " ".join(s)) for q, s in answers.items()], "question_id long, answer string")
+    c = spark.createDataFrame([(q, k, " ".join(s)) for q, of in chunks.items() for k, s in of.items()], "question_id long, chunk_id string, chunk_text string")
+    return a, c
+
+
+def test_attribute_sentences_equals_a_plain_version(spark):
+    answers, chunks = answers_and_chunks(random.Random(5))
+    want = []
+    for q, claims in answers.items():
+        used = set()
+        for n, claim in enumerate(claims):
+            if len(claim.split()) < 8:
+                continue
+            exact = [k for k, s in chunks[q].items() if claim in s]
+            order = sorted(chunks[q], key=lambda k: (-share(claim, " ".join(chunks[q][k])), k))
+            free = [k for k in order if k not in used]
+            # the margin is 1: a used chunk gives way unless it is better by that
+            top = exact[0] if exact else order[0] if order[0] not in used or not free else free[0]
+            used.add(top)
+            want.append((q, n, top, 1.0 if exact else round(share(claim, " ".join(chunks[q][top])), 9)))
+    got = citations.attribute_sentences(*tables(spark, answers, chunks))
+    assert sorted((r.question_id, r.ord, r.chunk_id, round(r.score, 9)) for r in got.collect()) == sorted(want) and any(w[3] == 1.0 for w in want)
+
+
+def test_best_sentences_equal_a_plain_version(spark):
+    answers, chunks = answers_and_chunks(random.Random(6))
+    a, c = tables(spark, answers, chunks)
+    claims = spark.createDataFrame([(q, k, s[q % 6]) for q, s in answers.items() for k in ("c1", "c4")], "question_id long, chunk_id string, claim string")
+    want = {(q, k): max(chunks[q][k], key=lambda s: share(answers[q][q % 6], s)) for q in answers for k in ("c1", "c4")}  # the first of equals
+    assert {(r.question_id, r.chunk_id): r.quote for r in citations.best_sentence(claims, c).collect()} == want
+    other = citations.best_sentence(claims, c, spark.createDataFrame([(0, want[0, "c1"])], "question_id long, quote string"))
+    assert other.filter("question_id = 0 AND chunk_id = 'c1'").first().quote != want[0, "c1"]
+    places = citations.reattribute(a, c, claims.select("question_id", "chunk_id"))
+    for r in places.collect():
+        text = " ".join(chunks[r.question_id][r.chunk_id])
+        s = answers[r.question_id]
+        assert r.ord == max(range(6), key=lambda n: (share(s[n], text), -n)) and " ".join(s)[: r.end].rstrip().endswith(s[r.ord])  # the end is after the space
+    assert places.count() == len(want)
+
+
+def test_paper_references(spark):
+    answers = spark.createDataFrame([(1, "One [c2]. Two [c1][c3]. Three [c2]."), (2, "None.")], "question_id long, answer string")
+    rows = [(1, "c1", "a.pdf", "A", "10.1/a"), (1, "c2", "b.pdf", "B", None), (1, "c3", "a.pdf", "A", "10.1/a"), (2, "c1", "a.pdf", "A", None)]
+    sources = spark.createDataFrame(rows, "question_id long, chunk_id string, source string, doc_title string, doi string")
+    assert [tuple(r) for r in citations.paper_references(answers, sources).collect()] == [(1, "B\nA — 10.1/a")]
+
+
+def test_parents_and_children_hold_the_whole_text(spark):
+    rng = random.Random(7)
+    lines = ["## Methods"] + [" ".join(f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(1, 30))) + "." for _ in range(25)] + ["## Results"] + [f"last words x{k} here." for k in range(30)]
+    text = "\n".join(lines)
+    docs = spark.createDataFrame([(1, "T", text), (2, "T", ""), (3, "T", None)], "doc_id long, title string, text string")
+    parents, children = (p.collect() for p in chunking.parent_child_chunks(docs, (400, 0), (100, 20)))
+    assert {p.doc_id for p in parents} == {1} == {c.doc_id for c in children}
+    assert all(text[p.start : p.end] == p.body and len(p.body) <= 400 for p in parents)
+    assert {p.section for p in parents} == {"Methods", "Results"}
+    body = {p.parent_id: p for p in parents}
+    assert all(len(c.body) <= 100 and c.body in body[c.parent_id].body and c.chunk == f"T > {c.section}\n\n{c.body}" for c in children)
+    assert [c.chunk_id for c in sorted(children, key=lambda c: c.ord)] == [f"1_{k}" for k in range(len(children))]
+    words = set(" ".join(x for x in lines if x[0] != "#").split())
+    assert words <= {w for c in children for w in c.body.split()} and words <= {w for p in parents for w in p.body.split()}
+
+
+def test_sections_are_matched_one_by_one(spark):
+    dictionary = spark.createDataFrame([("PLANT PART", "leaf", "Leaf"), ("CHEMICAL", "linalool", "Linalool")], "label string, pattern string, canonical string")
+    rows = [(1, 0, "Intro", "A leaf."), (1, 1, "Results", "Linalool of the leaf"), (1, 2, "End", "  "), (2, 0, "Intro", None)]
+    sections = spark.createDataFrame(rows, "doc_id long, ord int, title string, content string")
+    got = ner.match_sections(spark, sections, dictionary).collect()
+    assert sorted((r.doc_id, r.section, r.text, r.start) for r in got) == [(1, "Intro", "leaf", 2), (1, "Results", "Linalool", 0), (1, "Results", "leaf", 16)]
+
+
+def test_bm25_equals_a_plain_version_with_and_without_broadcast(spark, monkeypatch):
+    from collections import Counter
+    from math import log
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(SHORT) for _ in range(rng.randrange(0, 40))) for _ in range(60)]
+    asked = [" ".join(rng.choice(SHORT) for _ in range(4)) for _ in range(7)]
+    tf, n = [Counter(t.split()) for t in texts], len(texts)
+    mean = sum(map(Counter.total, tf)) / n
+    df = Counter(w for c in tf for w in c)
+    gain = lambda w, c: log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean))
+    want = set()
+    for q, question in enumerate(asked):
+        scores = {k: round(sum(gain(w, c) for w in set(question.split()) if c[w]), 9) for k, c in enumerate(tf)}
+        hit = sorted((k for k, s in scores.items() if s), key=lambda k: (-scores[k], k))[:5]
+        want |= {(q, k, r, round(scores[k], 6)) for r, k in enumerate(hit, 1)}
+    chunks = spark.createDataFrame([*enumerate(texts)], "chunk_id long, text string")
+    questions = spark.createDataFrame([*enumerate(asked)], "question_id long, question string")
+    for limit in (retrieval.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", limit)
+        got = retrieval.bm25_topk(questions, chunks, 5).collect()
+        assert {(r.question_id, r.chunk_id, r["rank"], round(r.score, 6)) for r in got} == want
