@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from litmine.llm import (
     decontamination,
+    exact_dedup,
     license_scans,
     line_dedup,
     mixing,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_license_scans": license_scans.op8_license_scans,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
@@ -33,4 +35,5 @@ ORACLES = {
     "op4_sharding": sharding.OP4_SQL,
     "op6_benchmark_decontamination": decontamination.OP6_SQL,
     "op8_license_scans": license_scans.OP8_SQL,
+    "op11_exact_dedup": exact_dedup.OP11_SQL,
 }
