@@ -7,6 +7,7 @@ from litmine.llm import (
     exact_dedup,
     license_scans,
     line_dedup,
+    merkle_manifest,
     mixing,
     near_dups,
     quality_rules,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
