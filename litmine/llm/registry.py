@@ -5,6 +5,7 @@ from __future__ import annotations
 from litmine.llm import (
     decontamination,
     exact_dedup,
+    hard_negatives,
     license_scans,
     line_dedup,
     merkle_manifest,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 ORACLES = {
@@ -38,4 +40,5 @@ ORACLES = {
     "op6_benchmark_decontamination": decontamination.OP6_SQL,
     "op8_license_scans": license_scans.OP8_SQL,
     "op11_exact_dedup": exact_dedup.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
