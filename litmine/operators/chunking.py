@@ -85,9 +85,13 @@ def with_sections(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def detect_sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ord, title, level, content): a row per section; see ``with_sections``."""
+    """(doc_id, ord, title, level, content): a row per section; see ``with_sections``.
+
+    The outer explode keeps the optimizer from inferring ``size(sections) > 0``, which it
+    would push below the projections with all their arrays written out in each lambda.
+    """
     rows = with_sections(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    return rows.select("doc_id", F.posexplode("sections").alias("ord", "s")).select("doc_id", "ord", "s.*")
+    return rows.select("doc_id", F.posexplode_outer("sections").alias("ord", "s")).filter("s IS NOT NULL").select("doc_id", "ord", "s.*")
 
 
 # --- splitting ---------------------------------------------------------------------
@@ -174,28 +178,17 @@ def locate(text: Column, body: Column) -> Column:
 
 
 def parent_child_chunks(docs: DataFrame, parent: tuple[int, int] = PARENT, child: tuple[int, int] = CHILD) -> tuple[DataFrame, DataFrame]:
-    """Parents and children of documents (doc_id, title, text), by section.
+    """Parents and children of documents (doc_id, title, text), by section, in one pass over the texts.
 
     parents: doc_id, parent_id, section, n, body, start, end, page; children: doc_id,
     parent_id, chunk_id, ord, section, chunk (with its "Title > Section" header), body.
+    Both read the documents; write ``chunk_corpus``'s rows first where both are needed.
     """
-    from litmine.functions.scalars import page_for_offset
-
-    base = docs.select("doc_id", "title", "text")
-    sections = detect_sections(base).withColumnRenamed("title", "section")
-    cut = sections.select("doc_id", "section", F.col("ord").alias("s_ord"), F.posexplode(split_column(*parent)("content")).alias("k", "body"))
-    cut = cut.join(base, "doc_id").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("s_ord", "k")) - 1)
-    at = locate(F.col("text"), F.col("body"))
-    parents = cut.withColumn("at", at).select(
-        "doc_id", "title", parent_id(F.col("doc_id").cast("string"), F.col("section"), F.col("body"), F.col("n")).alias("parent_id"), "section", "n", "body",
-        F.col("at.start").alias("start"), F.col("at.end").alias("end"), page_for_offset(F.col("text"), F.col("at.start")).alias("page"),
-    )
-    kids = parents.select("doc_id", "title", "parent_id", "section", "n", F.posexplode(split_column(*child)("body")).alias("k", "piece"))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "k")) - 1
-    kids = kids.withColumn("ord", order)
-    header = F.concat_ws(" > ", F.nullif("title", F.lit("")), "section")
-    children = kids.select("doc_id", "parent_id", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("ord").cast("string")).alias("chunk_id"), "ord", "section", F.concat(header, F.lit("\n\n"), "piece").alias("chunk"), F.col("piece").alias("body"))
-    return parents.drop("title"), children
+    rows = docs.select("doc_id", F.col("doc_id").cast("string").alias("source"), "title", "text")
+    cut = chunk_corpus(rows, parent, child, distinct=False)
+    parents = cut.select("doc_id", F.posexplode_outer("parents").alias("n", "p")).filter("p IS NOT NULL")
+    children = cut.select("doc_id", F.posexplode_outer("chunks").alias("ord", "c")).filter("c IS NOT NULL")
+    return parents.select("doc_id", "p.parent_id", "p.section", "n", "p.body", "p.start", "p.end", "p.page"), children.select("doc_id", "c.parent_id", "c.chunk_id", "ord", "c.section", "c.chunk", "c.body")
 
 
 def locate_fuzzy(text: str, chunk: str, cursor: int) -> int:
@@ -242,8 +235,8 @@ _PARENT = "struct<parent_id:string,section:string,body:string,start:int,end:int,
 _CHUNK = "struct<chunk_id:string,parent_id:string,section:string,chunk:string,body:string>"
 
 
-def chunk_document(source: str, title: str, text: str, sections: list, parent: tuple[int, int], child: tuple[int, int], splitter: Splitter) -> tuple[list[dict], list[dict]]:
-    """Parents with their places, and chunks, equal ones once, of one document."""
+def chunk_document(source: str, title: str, text: str, sections: list, parent: tuple[int, int], child: tuple[int, int], splitter: Splitter, distinct: bool = True) -> tuple[list[dict], list[dict]]:
+    """Parents with their places, and chunks, equal ones once if ``distinct``, of one document."""
     pages = [(m.start(), int(m[1])) for m in _PAGE.finditer(text)]
     parents, chunks, seen = [], [], set()
     for s in sections:
@@ -255,13 +248,14 @@ def chunk_document(source: str, title: str, text: str, sections: list, parent: t
             parents.append({"parent_id": f"{name}_p{len(parents)}", "section": s["title"], "body": body, "start": at if at >= 0 else None, "end": at + len(body) if at >= 0 else None, "page": page})
             for piece in splitter(body, *child):
                 chunk = f"{head}\n\n{piece}"
-                if (key := " ".join(chunk.lower().split())) not in seen:
+                key = " ".join(chunk.lower().split()) if distinct else len(chunks)
+                if key not in seen:
                     seen.add(key)
                     chunks.append({"chunk_id": f"{source}_{len(chunks)}", "parent_id": parents[-1]["parent_id"], "section": s["title"], "chunk": chunk, "body": piece})
     return parents, chunks
 
 
-def chunk_corpus(docs: DataFrame, parent: tuple[int, int] = PARENT, child: tuple[int, int] = CHILD, splitter: Splitter = split_recursive) -> DataFrame:
+def chunk_corpus(docs: DataFrame, parent: tuple[int, int] = PARENT, child: tuple[int, int] = CHILD, splitter: Splitter = split_recursive, distinct: bool = True) -> DataFrame:
     """``docs`` (doc_id, source, title, text, …) without text, plus parents, chunks and error, a row per document.
 
     A document that fails, or has no text, has an error and no parents or chunks; the others are
@@ -281,7 +275,7 @@ def chunk_corpus(docs: DataFrame, parent: tuple[int, int] = PARENT, child: tuple
                 try:
                     if not text or not text.strip():
                         raise ValueError("no text")
-                    made = chunk_document(source or "", title or "", text, list(sections), parent, child, splitter)
+                    made = chunk_document(source or "", title or "", text, list(sections), parent, child, splitter, distinct)
                 except Exception as e:  # noqa: BLE001  whatever a splitter raises is this document's failure alone
                     error = str(e)[:300] or type(e).__name__
                 parents.append(made[0])
@@ -387,8 +381,9 @@ def validate_offsets(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     j = chunks.join(docs.select("doc_id", "text"), "doc_id", "left")
     there = j["text"].substr(F.col("start") + 1, F.col("end") - F.col("start"))
     status = F.when(F.col("start").isNull() | F.col("end").isNull(), "no-offset").when((F.col("start") < 0) | (F.col("end") > F.length("text")) | (F.col("start") > F.col("end")), "out-of-bounds").when(there == F.col("chunk"), "ok").otherwise("mismatch")
-    differ = F.filter(F.sequence(F.lit(1), F.greatest(F.length("chunk"), F.lit(1))), lambda i: ~F.col("chunk").substr(i, F.lit(1)).eqNullSafe(there.substr(i, F.lit(1))))
-    return j.withColumn("status", status).withColumn("first_diff", F.when(F.col("status") == "mismatch", F.get(differ, F.lit(0)) - 1)).drop("text")
+    letters = F.split("chunk", "")  # compared letter by letter once; places in UTF-8 text are found by counting
+    differ = F.zip_with(letters, F.slice(F.split(there, ""), F.lit(1), F.size(letters)), lambda x, y: ~F.coalesce(x, F.lit("")).eqNullSafe(F.coalesce(y, F.lit(""))))
+    return j.withColumn("status", status).withColumn("first_diff", F.when(F.col("status") == "mismatch", F.nullif(F.array_position(differ, True), F.lit(0)) - 1)).drop("text")
 
 
 def word_chunks(text: Column, n: int) -> Column:

@@ -20,7 +20,7 @@ ABBREVIATIONS = {"al", "fig", "eq", "sp", "spp", "var", "cf", "eg", "ie", "e.g",
 _GAP = r"[^\S\n]"
 _OPEN = "".join(f"(?<!{edge}{w})" for w in ["[A-ZÀ-ÖØ-Þ]", *(f"(?i:{re.escape(x)})" for x in sorted(ABBREVIATIONS))] for edge in (r"\s", "^"))
 #: A list item or heading, else a run of a line up to a stop that ends a sentence, or up to the line's end.
-_UNIT = re.compile(rf"^{_GAP}*(?:[-*+]|\d+[.)]|#{{1,6}}){_GAP}[^\n]*|[^\n]+?(?:{_OPEN}[.!?](?:{_GAP}+|$)|$)", re.MULTILINE)
+_UNIT = re.compile(rf"^{_GAP}*(?:[-*+]|\d+[.)]|#{{1,6}}){_GAP}[^\n]*|[^\n]+?(?:(?=[.!?]){_OPEN}[.!?](?:{_GAP}+|$)|$)", re.MULTILINE)
 
 
 def sentence_spans(text: str) -> list[tuple[str, int, int]]:

@@ -51,22 +51,33 @@ def geo_distribution(entities: DataFrame) -> DataFrame:
 
 
 def dashboard_metrics(papers: DataFrame, entities: DataFrame) -> DataFrame:
-    """(metric, key, value) of all of the above."""
-    one = lambda df, name: df.select(F.lit(name).alias("metric"), F.lit("").alias("key"), F.col("n").cast("long").alias("value"))
-    many = lambda df, name, key: df.select(F.lit(name).alias("metric"), F.col(key).alias("key"), F.col("n").cast("long").alias("value"))
-    parts = [
-        one(total_papers(papers), "papers"),
-        one(total_entities(entities), "entities"),
-        one(total_journals(papers), "journals"),
-        many(papers_by_journal(papers), "by_journal", "journal"),
-        many(papers_by_year(papers), "by_year", "year"),
-        many(entity_distribution(entities), "by_label", "label"),
-        many(geo_distribution(entities), "by_country", "country"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(metric, key, value) of all of the above, from one scan of each table.
+
+    Papers are counted by grouping sets; an entity row gives up to two facts, which are
+    made distinct before they are counted, so that no distinct count meets in one task.
+    Empty tables have zero papers, journals and entities.
+    """
+    sets = papers.select("id", "journal", F.col("year").cast("string").alias("year"))
+    sets = sets.groupingSets([["journal"], ["year"], []], "journal", "year")
+    sets = sets.agg(F.grouping("journal").alias("no_journal"), F.grouping("year").alias("no_year"), F.count("*").alias("rows"), F.count("id").alias("ids"), F.count_distinct("journal").alias("journals"))
+    fact = lambda metric, key, value: F.struct(F.lit(metric).alias("metric"), key.alias("key"), value.cast("long").alias("value"))
+    none = F.lit("")
+    of_papers = (
+        F.when(F.col("no_journal") == 0, F.when(F.col("journal").isNotNull(), F.array(fact("by_journal", F.col("journal"), F.col("rows")))))
+        .when(F.col("no_year") == 0, F.when(F.col("year").isNotNull(), F.array(fact("by_year", F.col("year"), F.col("rows")))))
+        .otherwise(F.array(fact("papers", none, F.col("ids")), fact("journals", none, F.col("journals"))))
+    )
+    named = F.struct(F.lit("by_label").alias("metric"), F.col("label").alias("key"), F.col("canonical_text").alias("member"))
+    country = F.when(F.col("label") == "LOCATION", country_of(F.col("metadata")))
+    placed = F.struct(F.lit("by_country").alias("metric"), country.alias("key"), F.col("paper_id").cast("string").alias("member"))
+    each = entities.select(F.explode(F.array_compact(F.array(named, F.when(country.isNotNull(), placed)))).alias("x")).select("x.*").distinct()
+    each = each.groupBy("metric", "key").agg(F.count("*").alias("all"), F.count("member").alias("named"))
+    own = fact("", F.col("key"), F.col("named")).withField("metric", F.col("metric"))
+    of_entities = F.when(F.col("metric") == "by_label", F.array(own, fact("entities", none, F.col("all")))).otherwise(F.array(own))
+    zero = papers.sparkSession.createDataFrame([("papers", "", 0), ("journals", "", 0), ("entities", "", 0)], "metric string, key string, value long")
+    out = sets.select(F.explode(of_papers).alias("f")).unionByName(each.select(F.explode(of_entities).alias("f"))).select("f.*").unionByName(zero)
+    out = out.groupBy("metric", "key").agg(F.sum("value").alias("value"))
+    return out.withColumn("key", F.when(F.col("metric") == "by_label", title_case(F.col("key"))).otherwise(F.col("key")))
 
 
 def list_papers(papers: DataFrame, entities: DataFrame, limit: int = 50, offset: int = 0, country: str | None = None, query: str | None = None, year: int | None = None, literal: bool = False) -> DataFrame:

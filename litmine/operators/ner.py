@@ -94,6 +94,9 @@ def aliases_for_canonical(dictionary: DataFrame) -> DataFrame:
 
 # --- matching ------------------------------------------------------------------------
 
+#: Patterns up to which n-grams are told apart by a set inside the plan, before the join.
+FEW_GRAMS = 10_000
+
 
 def match_ngrams(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(doc_id, label, text, canonical, start, end) of every dictionary phrase, by n-grams and an equality join.
@@ -104,20 +107,30 @@ def match_ngrams(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     split = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     p = _patterns(dictionary).withColumn("w", split(F.col("pattern"))).filter(F.size("w") > 0).select("label", F.array_join("w", " ").alias("gram"), "canonical", F.size("w").alias("n"))
     lengths = [r.n for r in p.select("n").distinct().collect()]  # the lengths that patterns have, a few
+    few = sorted(tuple(r) for r in p.select("n", "gram").distinct().limit(FEW_GRAMS + 1).collect())
     rows = docs.select("doc_id", split(F.coalesce("text", F.lit(""))).alias("w"))
     if not lengths:
         return rows.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("label", "string"), ("text", "string"), ("canonical", "string"), ("start", "int"), ("end", "int"))]).limit(0)
-    grams = F.flatten(F.array(*[_grams(n) for n in sorted(lengths)]))
-    each = rows.select("doc_id", F.explode(grams).alias("g")).select("doc_id", "g.*")
+    of = {n: [g for k, g in few if k == n] if len(few) <= FEW_GRAMS else None for n in sorted(lengths)}
+    grams = F.flatten(F.array(*[_grams(n, wanted) for n, wanted in of.items()]))
+    p = F.broadcast(p) if len(few) <= FEW_GRAMS else p
+    each = rows.select("doc_id", F.explode_outer(grams).alias("g")).filter("g IS NOT NULL").select("doc_id", "g.*")
     return each.join(p.select("label", "gram", "canonical"), "gram").select("doc_id", "label", F.col("gram").alias("text"), "canonical", "start", "end")
 
 
-def _grams(n: int) -> Column:
+def _grams(n: int, wanted: list[str] | None) -> Column:
+    """STRUCT<gram, start, end>s of n words; of the wanted ones alone, told apart by the first word, then by all."""
     room = F.size("w") - n
-    one = lambda i: F.struct(F.array_join(F.slice("w", i + 1, n), " ").alias("gram"), i.alias("start"), (i + n).alias("end"))
-    return F.when(room >= 0, F.transform(F.sequence(F.lit(0), room), one)).otherwise(F.array().cast("array<struct<gram:string,start:int,end:int>>"))
+    gram = lambda i: F.get("w", i) if n == 1 else F.concat_ws(" ", *[F.get("w", i + k) for k in range(n)])
+    one = lambda i: F.struct(gram(i).alias("gram"), i.alias("start"), (i + n).alias("end"))
+    places = F.sequence(F.lit(0), room)
+    if wanted is not None:
+        places = F.filter(places, lambda i: F.get("w", i).isin(sorted({g.split(" ")[0] for g in wanted})))
+        places = F.filter(places, lambda i: gram(i).isin(wanted)) if n > 1 else places
+    return F.when(room >= 0, F.transform(places, one)).otherwise(F.array().cast("array<struct<gram:string,start:int,end:int>>"))
 
 
+_WORD = re.compile(r"\w+")
 _PIECE = re.compile(r"\w+|[^\w\s]")
 
 
@@ -237,17 +250,19 @@ def _chemical_spans(trie: Trie, names: set[str], text: str) -> set[Span]:
     return {x for x in found if not _chemical_noise(text[x[0] : x[1]]) and _bare(text[x[0] : x[1]]) in names}
 
 
-def _matched(spark: SparkSession, docs: DataFrame, dictionary: DataFrame, spans: Callable[[tuple, str], set[Span]]) -> DataFrame:
-    """(doc_id, label, text, canonical, start, end) of what ``spans`` finds with a worker's tries in each text."""
+def _matched(spark: SparkSession, docs: DataFrame, dictionary: DataFrame, spans: Callable[[tuple, str], set[Span]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, label, text, canonical, start, end) of what ``spans`` finds with a worker's tries in each text, and ``keep`` of its row."""
     patterns, digest = _shared(spark, dictionary)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tries = _tries(digest, patterns)
         for rows in batches:
-            out = [(doc, label, text[a:b], canonical, a, b) for doc, text in zip(rows["doc_id"], rows["text"].fillna("")) for a, b, label, canonical in spans(tries, text)]
-            yield pd.DataFrame(out, columns=["doc_id", "label", "text", "canonical", "start", "end"])
+            mine = zip(rows["text"].fillna(""), *(rows[c] for c in ("doc_id", *keep)))
+            out = [(doc, label, text[a:b], canonical, a, b, *rest) for text, doc, *rest in mine for a, b, label, canonical in spans(tries, text)]
+            yield pd.DataFrame(out, columns=["doc_id", "label", "text", "canonical", "start", "end", *keep])
 
-    return docs.select("doc_id", "text").mapInPandas(find, _SPANS)
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select("doc_id", "text", *keep).mapInPandas(find, _SPANS + kinds)
 
 
 def match_trie(spark: SparkSession, docs: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -274,15 +289,26 @@ def resolve_overlaps(spans: DataFrame) -> DataFrame:
     rest = [c for c in spans.columns if c not in ("doc_id", "start", "end")]
     item = F.struct("start", (-F.col("end")).alias("_minus_end"), *rest)
     lists = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    keep = F.aggregate(
-        "s",
-        F.struct(F.lit(-1).alias("upto"), F.slice("s", 1, 0).alias("kept")),
-        lambda acc, x: F.when(x["start"] >= acc["upto"], F.struct((-x["_minus_end"]).alias("upto"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc),
-    )["kept"]
-    out = lists.select("doc_id", F.explode(keep).alias("x")).select("doc_id", "x.*").withColumn("end", -F.col("_minus_end")).drop("_minus_end").select(spans.columns)
+    kept = F.pandas_udf(_clear_of_kept, "array<int>")(F.col("s.start"), F.col("s._minus_end"))
+    out = lists.select("doc_id", "s", F.explode(kept).alias("k")).select("doc_id", F.get("s", F.col("k")).alias("x")).select("doc_id", "x.*")
+    out = out.withColumn("end", -F.col("_minus_end")).drop("_minus_end").select(spans.columns)
     return out.unionByName(spans.filter("start IS NULL OR end IS NULL"))
 
 
+def _clear_of_kept(starts: pd.Series, minus_ends: pd.Series) -> pd.Series:
+    """Of each list of spans in order, the numbers of those that start where the last one kept has ended."""
+
+    def one(a, b) -> list[int]:
+        out, upto = [], -1
+        for k, (start, minus_end) in enumerate(zip(a, b)):
+            if start >= upto:
+                out.append(k)
+                upto = -minus_end
+        return out
+
+    return pd.Series([one(a, b) for a, b in zip(starts, minus_ends)])
+
+
 def _all_spans(tries: tuple, text: str) -> list[Span]:
     """All matchers' spans, then as ``resolve_overlaps``; of equal places the matcher that runs first wins."""
     simple, techniques, chemicals, names = tries
@@ -303,10 +329,8 @@ def match_all(spark: SparkSession, docs: DataFrame, dictionary: DataFrame) -> Da
 
 def match_sections(spark: SparkSession, sections: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``match_all`` per non-blank section (doc_id, ord, title, content), tagged with its title."""
-    key = F.xxhash64("doc_id", "ord")
-    rows = sections.filter(F.trim("content") != "").select(key.alias("key"), F.col("doc_id").alias("of"), "title", F.col("content").alias("text"))
-    found = match_all(spark, rows.select(F.col("key").alias("doc_id"), "text"), dictionary).withColumnRenamed("doc_id", "key")
-    return found.join(rows.select("key", "of", F.col("title").alias("section")), "key").withColumnRenamed("of", "doc_id").drop("key")
+    rows = sections.filter(F.trim("content") != "").select("doc_id", F.col("title").alias("section"), F.col("content").alias("text"))
+    return _matched(spark, rows, dictionary, _all_spans, keep=("section",))
 
 
 # --- model output, canonical forms, counts -----------------------------------------------
@@ -346,22 +370,40 @@ def canonicalize(entities: DataFrame, dictionary: DataFrame, overwrite: bool = T
 
 
 def _each_term(terms: DataFrame, docs: DataFrame, places: Callable[[str, list[str]], list[tuple[str, int]]]) -> DataFrame:
-    """(doc_id, term, n) rows of ``places(text, terms)``: a document's text meets its terms once, as one list."""
-    lists = terms.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
+    """``terms`` (doc_id, term, …) with n, a row for each of ``places(text, terms)``: a text meets its terms once, as one list; a missing one is empty."""
+    rest = [c for c in terms.columns if c not in ("doc_id", "term")]
+    lists = terms.groupBy("doc_id").agg(F.collect_list(F.struct("term", *rest)).alias("terms"))  # a document's own terms
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = [(doc, term, n) for doc, text, found in rows.itertuples(index=False, name=None) for term, n in places(text or "", list(found))]
-            yield pd.DataFrame(out, columns=["doc_id", "term", "n"])
+            out = []
+            for doc, text, found in rows.itertuples(index=False, name=None):
+                at: dict[str, list[int]] = {}
+                for term, n in places(text or "", list({x["term"] for x in found})):
+                    at.setdefault(term, []).append(n)
+                out += [(doc, x["term"], *(x[c] for c in rest), n) for x in found for n in at.get(x["term"], ())]
+            yield pd.DataFrame(out, columns=["doc_id", "term", *rest, "n"])
 
-    return docs.select("doc_id", "text").join(lists, "doc_id").mapInPandas(count, f"doc_id {kind}, term string, n int")
+    kinds = "".join(f", `{c}` {terms.schema[c].dataType.simpleString()}" for c in rest)
+    return docs.select("doc_id", "text").join(lists, "doc_id", "right").mapInPandas(count, f"doc_id {kind}, term string{kinds}, n int")
 
 
 def _word_counts(text: str, terms: list[str]) -> list[tuple[str, int]]:
     low = text.lower()
-    words = Counter(re.findall(r"\w+", low))
-    return [(t, words[t.lower()] if re.fullmatch(r"\w+", t) else len(re.findall(rf"(?<!\w){re.escape(t.lower())}(?!\w)", low))) for t in terms]
+    words = Counter(_WORD.findall(low))
+    return [(t, words[t.lower()] if _WORD.fullmatch(t) else _apart(low, t.lower())) for t in terms]
+
+
+def _apart(text: str, term: str) -> int:
+    """Places of a term, none in another, with no word character beside it."""
+    n, at = 0, text.find(term)
+    while at >= 0 and term:
+        end = at + len(term)
+        free = not (_WORD.match(text[at - 1 : at]) or _WORD.match(text[end : end + 1]))
+        n += free
+        at = text.find(term, end if free else at + 1)
+    return n
 
 
 def _starts(text: str, terms: list[str]) -> list[tuple[str, int]]:
@@ -375,7 +417,7 @@ def _starts(text: str, terms: list[str]) -> list[tuple[str, int]]:
 
 
 def whole_words(terms: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, term, n): how often a term (doc_id, term) stands in its text with no word character beside it, whatever the case."""
+    """``terms`` (doc_id, term, …) with n: how often the term stands in the text with no word character beside it, whatever the case."""
     return _each_term(terms, docs, _word_counts)
 
 
@@ -384,15 +426,15 @@ def summarize_entities(entities: DataFrame, docs: DataFrame, least: float = 0.7)
     good = entities.filter(F.coalesce("score", F.lit(1.0)) >= least).withColumn("low", F.lower("text"))
     casing = good.groupBy("doc_id", "label", "low", "text").agg(F.count("*").alias("k"), F.min("start").alias("first"), F.sum(F.coalesce("score", F.lit(1.0))).alias("s"))
     one = casing.groupBy("doc_id", "label", "low").agg(F.max_by("text", F.struct(F.col("k"), -F.coalesce("first", F.lit(0)))).alias("text"), F.bround(F.sum("s") / F.sum("k"), 2).alias("score"))
-    n = whole_words(one.select("doc_id", F.col("low").alias("term")), docs).toDF("doc_id", "low", "count")
-    return one.join(n.filter("count > 0"), ["doc_id", "low"]).select("doc_id", "label", "text", "score", "count")
+    n = whole_words(one.withColumnRenamed("low", "term"), docs)
+    return n.filter("n > 0").select("doc_id", "label", "text", "score", F.col("n").alias("count"))
 
 
 def find_occurrences(entities: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, label, text, start, end): every place of each distinct (text, label), overlapping ones too."""
-    one = entities.select("doc_id", "label", "text").filter("text <> ''").distinct()
-    at = _each_term(one.select("doc_id", F.col("text").alias("term")), docs, _starts).toDF("doc_id", "text", "start")
-    return one.join(at, ["doc_id", "text"]).select("doc_id", "label", "text", "start", (F.col("start") + F.length("text")).alias("end"))
+    one = entities.select("doc_id", F.col("text").alias("term"), "label").filter("term <> ''").distinct()
+    at = _each_term(one, docs, _starts)
+    return at.select("doc_id", "label", F.col("term").alias("text"), F.col("n").alias("start"), (F.col("n") + F.length("term")).alias("end"))
 
 
 def merge_by_canonical(entities: DataFrame) -> DataFrame:
@@ -403,8 +445,7 @@ def merge_by_canonical(entities: DataFrame) -> DataFrame:
 def group_with_counts(entities: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, label, canonical, display, count): whole-word counts of all aliases, 1 at least; shown by the most frequent."""
     alias = entities.select("doc_id", "label", F.lower(F.coalesce("canonical", "text")).alias("canonical"), F.col("text").alias("alias")).distinct()
-    n = whole_words(alias.select("doc_id", F.lower("alias").alias("term")), docs).toDF("doc_id", "low", "n")
-    n = alias.withColumn("low", F.lower("alias")).join(n, ["doc_id", "low"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    n = whole_words(alias.withColumn("term", F.lower("alias")), docs)
     low = n.groupBy("doc_id", "label", "canonical", F.lower("alias").alias("a")).agg(F.max("n").alias("n"), F.min("alias").alias("alias"))
     return low.groupBy("doc_id", "label", "canonical").agg(F.greatest(F.sum("n"), F.lit(1)).alias("count"), F.max_by("alias", F.struct("n", F.length("alias"))).alias("display"))
 
