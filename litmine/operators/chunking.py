@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litmine.functions.scalars import dot, l2_normalize, title_case
+from litmine.operators.titles import HIGH, best_in_blocks, best_of, near_pairs
 
 PARENT, CHILD, KB_CHILD = (2500, 300), (250, 50), (900, 120)
 MIN_CHUNK = 50
@@ -420,21 +421,27 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def match_title_to_works(titles: DataFrame, works: DataFrame, least: float = 0.6) -> DataFrame:
-    """(doc_id, work_id, score): by equal DOI, else the most similar title that shares a rare word.
+    """(doc_id, work_id, score): by equal DOI, else the most similar title of ``least`` or more, of all works.
 
-    Candidates share one of a title's three longest words; the lengths must allow the
-    ratio before it is computed.
+    titles: doc_id, title, doi; works: work_id, title, doi.  Case doesn't count; of equal
+    scores the smallest work_id is taken; blank and null titles match nothing.  Distinct
+    titles are compared: first by prefixes of rare grams, which find every pair of ``HIGH`` or
+    more, then what found none with all works in blocks (see ``titles``).
     """
-    by_doi = titles.join(works.select(F.col("doi").alias("w_doi"), "work_id"), F.col("doi") == F.col("w_doi")).select("doc_id", "work_id", F.lit(1.0).alias("score"))
-    words = lambda c: F.slice(F.reverse(F.array_sort(F.transform(F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), 1, 3)
-    rest = titles.join(by_doi.select("doc_id"), "doc_id", "left_anti")
-    left = rest.select("doc_id", "title", F.explode(words(F.col("title"))).alias("k")).select("doc_id", "title", "k.w")
-    right = works.select("work_id", F.col("title").alias("w_title"), F.explode(words(F.col("title"))).alias("k")).select("work_id", "w_title", "k.w")
-    pairs = left.join(right, "w").select("doc_id", "title", "work_id", "w_title").distinct()
-    la, lb = F.length("title"), F.length("w_title")
-    pairs = pairs.filter(2 * F.least(la, lb) >= least * (la + lb)).withColumn("score", similarity(F.lower("title"), F.lower("w_title"))).filter(F.col("score") >= least)
-    best = pairs.groupBy("doc_id").agg(F.max_by("work_id", F.struct("score", -F.col("work_id"))).alias("work_id"), F.max("score").alias("score"))
-    return by_doi.unionByName(best)
+    known = works.filter("doi IS NOT NULL").groupBy(F.col("doi").alias("w_doi")).agg(F.min("work_id").alias("work_id"))
+    by_doi = titles.join(known, F.col("doi") == F.col("w_doi")).select("doc_id", "work_id", F.lit(1.0).alias("score"))
+    low = F.lower("title").alias("text")
+    rest = titles.join(by_doi.select("doc_id").distinct(), "doc_id", "left_anti").filter(F.trim("title") != "").select("doc_id", low)
+    records = works.filter(F.trim("title") != "").groupBy(low).agg(F.min("work_id").alias("work_id"))
+    texts = rest.select("text").distinct()
+    pairs = near_pairs(texts, records.select("text"), max(HIGH, least))
+    near = best_of(pairs.join(records.withColumnRenamed("text", "record"), "record"), "text")
+    near = near.unionByName(texts.join(records, "text").select("text", "work_id", F.lit(1.0).alias("score")))
+    near = best_of(near, "text")
+    if least < HIGH:
+        far = best_in_blocks(texts.join(near.select("text"), "text", "left_anti"), records, least)
+        near = near.unionByName(far)
+    return by_doi.unionByName(rest.join(near, "text").select("doc_id", "work_id", "score"))
 
 
 # --- JATS --------------------------------------------------------------------------

@@ -156,9 +156,13 @@ def _(spark, d):
 
 @query("c22_match_title_to_works")
 def _(spark, d):
-    x = docs(spark, d)
-    titles = x.select("doc_id", F.col("title"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("10.1/"), "doc_id")).alias("doi"))
-    works = x.select(F.col("doc_id").alias("work_id"), F.concat(F.lit("10.1/"), "doc_id").alias("doi"), F.concat(F.substring("title", 1, 36), F.lit("xxxx")).alias("title"))
+    """Titles of pages as they might be quoted, a third each cut, misspelt and both, to the pages; even ones by a DOI."""
+    pages = table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    k = F.col("page_id") % 3
+    cut = F.when(k != 1, F.expr("substring(title, 4)")).otherwise(F.col("title"))
+    quoted = F.when(k != 0, F.regexp_replace(cut, "[aou](.{6})", "$1e")).otherwise(cut)
+    titles = pages.select(F.col("page_id").alias("doc_id"), quoted.alias("title"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("10.1/"), "page_id")).alias("doi"))
+    works = pages.select(F.col("page_id").alias("work_id"), F.concat(F.lit("10.1/"), "page_id").alias("doi"), "title")
     return C.match_title_to_works(titles, works)
 
 
