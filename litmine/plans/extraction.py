@@ -333,6 +333,21 @@ def _(spark, d):
     return analytics.export_compare(m).select("Entity Type", F.lower("Entity Name").alias("name"), "Count")
 
 
+@query(
+    "t01_stream_ingest",
+    """WITH v AS (SELECT 'f' || CAST(floor(doc_id / 3) AS BIGINT) AS filename, arg_max(doc_id, doc_id) AS doc_id FROM documents GROUP BY 1)
+SELECT filename, substr(sha256(coalesce(text, '')), 1, 24) AS paper_id, CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN 'indexed' ELSE 'error' END AS status, doc_id AS version FROM v JOIN documents USING (doc_id)""",
+)
+def _(spark, d):
+    """Documents as versions of a third as many files, arriving as a stream: what each file is in the end."""
+    stream = spark.readStream.schema(table(spark, d, "documents").schema).option("maxFilesPerTrigger", 8).parquet(f"{d}/documents.parquet*")
+    text = F.coalesce("text", F.lit(""))
+    files = stream.select(F.concat(F.lit("f"), F.floor(F.col("doc_id") / 3).cast("string")).alias("filename"), ingest.corpus.content_id(text).alias("paper_id"), F.timestamp_seconds("doc_id").alias("modified"), text.alias("text"))
+    store = ingest.CorpusStore(spark, _folder(spark))
+    ingest.stream_ingest(files, store).awaitTermination()
+    return store.catalog().select("filename", "paper_id", "status", F.unix_seconds("modified").alias("version"))
+
+
 @query("t02_stream_extract")
 def _(spark, d):
     """Entities of documents arriving as a stream, read back from the stream's table."""
@@ -347,14 +362,29 @@ def _(spark, d):
     return _drained(spark, ingest.stream_counts(facts), "complete")
 
 
-def _drained(spark, stream, mode: str):
-    """All rows of a stream, run until it has read what is there."""
+@query("t03_upsert_counts", "SELECT CAST(doc_id % 10 AS VARCHAR) AS doi, lang AS label, source AS canonical_text, count(*) AS frequency FROM documents GROUP BY 1, 2, 3")
+def _(spark, d):
+    """The same counts from a stored table that batches are merged into."""
+    stream = spark.readStream.schema(table(spark, d, "documents").schema).option("maxFilesPerTrigger", 8).parquet(f"{d}/documents.parquet*")
+    facts = stream.select((F.col("doc_id") % 10).cast("string").alias("doi"), F.col("lang").alias("label"), F.col("source").alias("canonical_text"))
+    store = ingest.CountStore(spark, _folder(spark))
+    ingest.upsert_counts(facts, store).awaitTermination()
+    return store.table().drop("metadata")
+
+
+def _folder(spark) -> str:
+    """A new folder that the driver and all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-litmine-")
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{base}/stream-{uuid.uuid4().hex}"
+
+
+def _drained(spark, stream, mode: str):
+    """All rows of a stream, run until it has read what is there."""
+    out = _folder(spark)
     if mode == "append":
         stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").trigger(availableNow=True).start().awaitTermination()
     else:

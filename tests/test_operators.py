@@ -135,19 +135,6 @@ def test_readers(spark, tmp_path):
     assert readers.read_predictions(spark, str(tmp_path / "p.json")).first().end == 1
 
 
-def test_stream_ingest(spark, tmp_path):
-    from litmine.streaming import ingest
-
-    folder = tmp_path / "in"
-    folder.mkdir()
-    (folder / "a.txt").write_text("hello")
-    seen = []
-    ingest.stream_ingest(ingest.read_files(spark, str(folder)), lambda rows, n: seen.extend(r.filename for r in rows.collect()), str(tmp_path / "state")).awaitTermination()
-    (folder / "b.txt").write_text("more")
-    ingest.stream_ingest(ingest.read_files(spark, str(folder)), lambda rows, n: seen.extend(r.filename for r in rows.collect()), str(tmp_path / "state")).awaitTermination()
-    assert seen == ["a.txt", "b.txt"]
-
-
 def test_dense_search_of_many_questions(spark):
     """More questions than one block, and than the 5,000 that were once the most."""
     import numpy as np
