@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litmine.functions.scalars import mask_markers
+from litmine.functions.stemming import stem
 from litmine.operators.chunking import strip_to_body
 
 RETRIEVE, RERANK, PARENTS, OVERLAP = 60, 40, 10, 0.60
@@ -124,14 +125,27 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+Stemmer = Callable[[Column], Column]
+
+
 def tokens(text: Column) -> Column:
     return F.transform(words(text), light_stem)
 
 
-def _terms(chunks: DataFrame) -> DataFrame:
+def terms_of(rows: DataFrame, text: str, stemmer: Stemmer, *keep: str) -> DataFrame:
+    """(keep…, dl, term, tf): the stemmed words of a text, how often each is there, and how many words there are.
+
+    Words of a text are counted before they are stemmed, so that each is stemmed once a text.
+    """
+    each = rows.select(*keep, words(F.col(text)).alias("w"))
+    each = each.select(*keep, F.size("w").alias("dl"), F.explode("w").alias("word")).groupBy(*keep, "dl", "word").agg(F.count("*").alias("n"))
+    return each.select(*keep, "dl", stemmer(F.col("word")).alias("term"), "n").groupBy(*keep, "dl", "term").agg(F.sum("n").alias("tf"))
+
+
+def _terms(chunks: DataFrame, stemmer: Stemmer) -> DataFrame:
     """(chunk_id, dl, term): a row per word, stemmed once it is alone."""
     each = chunks.select("chunk_id", words(F.col("text")).alias("w")).select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("word"))
-    return each.select("chunk_id", "dl", light_stem(F.col("word")).alias("term"))
+    return each.select("chunk_id", "dl", stemmer(F.col("word")).alias("term"))
 
 
 def _stats(chunks: DataFrame) -> DataFrame:
@@ -139,31 +153,46 @@ def _stats(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.size(words(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def bm25_index(chunks: DataFrame, stemmer: Stemmer = stem) -> tuple[DataFrame, DataFrame, DataFrame]:
     """postings(chunk_id, term, tf, dl), terms(term, df) and stats(n, avgdl) of chunks (chunk_id, text)."""
-    postings = _terms(chunks).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+    postings = terms_of(chunks, "text", stemmer, "chunk_id")
     return postings, postings.groupBy("term").agg(F.count("*").alias("df")), _stats(chunks)
 
 
-def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = RETRIEVE, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_scores(tf: DataFrame, asked: DataFrame, df: DataFrame, stats: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """(question_id, chunk_id, score, rank) of asked (question_id, term) and the chunks' tf (chunk_id, dl, term, tf), df (term, df) and stats, one row (n, avgdl)."""
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("question_id", "term", idf.alias("idf"), "avgdl")  # stats are one row
+    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = tf.join(few_or_not(weights, asked), "term").groupBy("question_id", "chunk_id").agg(F.sum(F.col("idf") * gain).alias("score"))
+    w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def few_or_not(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``rows``, no more than ``asked`` has, with a broadcast hint if its terms' bytes add up to few."""
+    few = (asked.agg(F.sum(F.octet_length("term") + 40)).first()[0] or 0) <= BROADCAST_BYTES
+    return F.broadcast(rows) if few else rows
+
+
+def asked_terms(questions: DataFrame, stemmer: Stemmer) -> DataFrame:
+    """(question_id, term): the distinct stems of questions (question_id, question)."""
+    each = questions.select("question_id", F.explode(F.array_distinct(words(F.col("question")))).alias("word"))
+    return each.select("question_id", stemmer(F.col("word")).alias("term")).distinct()
+
+
+def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = RETRIEVE, k1: float = K1, b: float = B, stemmer: Stemmer = stem) -> DataFrame:
     """(question_id, chunk_id, score, rank): the k best chunks of each question (question_id, question).
 
+    For chunks that no index holds; see ``search_index.Bm25Index`` for those that stay.
     Chunks are dealt out by their id once.  While the questions' terms are few enough to
     broadcast (their bytes are added up first), counts and scores then stay where a chunk
     is, and each task hands on its k best of each question.  Beyond that, terms are shuffled.
     """
-    asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    few = (asked.agg(F.sum(F.octet_length("term") + 40)).first()[0] or 0) <= BROADCAST_BYTES
-    sent = F.broadcast if few else (lambda rows: rows)
-    there = _terms(chunks.select("chunk_id", "text").repartition("chunk_id")).join(sent(asked.select("term").distinct()), "term", "left_semi")
+    asked = asked_terms(questions, stemmer)
+    there = _terms(chunks.select("chunk_id", "text").repartition("chunk_id"), stemmer).join(few_or_not(asked.select("term").distinct(), asked), "term", "left_semi")
     tf = there.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(df, "term").crossJoin(F.broadcast(_stats(chunks))).select("question_id", "term", idf.alias("idf"), "avgdl")  # stats are one row
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(sent(weights), "term").groupBy("question_id", "chunk_id").agg(F.sum(F.col("idf") * gain).alias("score"))
-    w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return bm25_scores(tf, asked, tf.groupBy("term").agg(F.count("*").alias("df")), _stats(chunks), k, k1, b)
 
 
 def rrf_fuse(dense: DataFrame, sparse: DataFrame | None, k: int = RRF_K, top: int = RETRIEVE) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from litmine.functions import scalars as S
 from litmine.operators import citations as A
 from litmine.operators import retrieval as R
-from litmine.plans.registry import query, table
+from litmine.operators import search_index as SI
+from litmine.plans.registry import query, shared_folder, table
 
 _TOKENS = "list_transform(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) > 4 THEN regexp_replace(w, '(?:ing|ed|es|s)$', '') ELSE w END)"
 
@@ -57,17 +58,49 @@ def _(spark, d):
 
 @query("r04_bm25_index", BM25 + "SELECT term, df FROM df")
 def _(spark, d):
-    return R.bm25_index(chunks(spark, d))[1]
+    return R.bm25_index(chunks(spark, d), R.light_stem)[1]
 
 
 @query("r05_bm25_topk", BM25 + "SELECT question_id, chunk_id, round(score, 6) AS score FROM k WHERE rank <= 60")
 def _(spark, d):
-    return R.bm25_topk(questions(spark, d), chunks(spark, d)).select("question_id", "chunk_id", F.round("score", 6).alias("score"))
+    return R.bm25_topk(questions(spark, d), chunks(spark, d), stemmer=R.light_stem).select("question_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def stored(spark, d, stemmer):
+    """An index of all documents in three steps: as they are, those of two sources again as other texts, then as they are again but for one source."""
+    index = SI.Bm25Index(spark, shared_folder(spark), stemmer, buckets=8, id_type="long")
+    rows = chunks(spark, d).withColumn("source", F.coalesce("source", F.lit("")))
+    index.add(rows, 0)
+    some = rows.filter("source IN ('src1', 'src2')")
+    index.add(some.withColumn("text", F.concat(F.lit("other words "), "text")), 1)
+    index.add(some, 2)
+    index.remove(rows.filter("source = 'src3'").select("source").distinct(), 3)
+    return index
+
+
+STORED = BM25.replace("FROM documents", "FROM documents WHERE source IS NULL OR source <> 'src3'")
+
+
+@query("r04_stored_index", STORED + "SELECT term, df FROM df")
+def _(spark, d):
+    return stored(spark, d, R.light_stem).terms()
+
+
+@query("r05_stored_topk", STORED + "SELECT question_id, chunk_id, round(score, 6) AS score FROM k WHERE rank <= 60")
+def _(spark, d):
+    """BM25 from the stored postings; the stems are the simple ones that SQL can say."""
+    found = stored(spark, d, R.light_stem).topk(questions(spark, d))
+    return found.select("question_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("r05_stemmed_topk")
+def _(spark, d):
+    return R.bm25_topk(questions(spark, d), chunks(spark, d))
 
 
 @query("r06_rrf_fuse", BM25 + ", o AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY chunk_id) AS rank FROM k WHERE rank <= 60), f AS (SELECT question_id, chunk_id, sum(1 / (60 + rank)) AS score FROM (SELECT question_id, chunk_id, rank FROM k WHERE rank <= 60 UNION ALL SELECT * FROM o) GROUP BY ALL) SELECT question_id, chunk_id, round(score, 9) AS score FROM f QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, chunk_id) <= 60")
 def _(spark, d):
-    s = R.bm25_topk(questions(spark, d), chunks(spark, d)).select("question_id", "chunk_id", "rank")
+    s = R.bm25_topk(questions(spark, d), chunks(spark, d), stemmer=R.light_stem).select("question_id", "chunk_id", "rank")
     o = s.selectExpr("question_id", "chunk_id", "row_number() OVER (PARTITION BY question_id ORDER BY chunk_id) AS rank")
     return R.rrf_fuse(s, o).select("question_id", "chunk_id", F.round("score", 9).alias("score"))
 
@@ -79,7 +112,7 @@ def _(spark, d):
 
 @query("r08_display_score", BM25 + "SELECT question_id, chunk_id, CAST(round_even(score / max(score) OVER (PARTITION BY question_id) * 100, 0) AS INT) AS shown FROM k WHERE rank <= 60")
 def _(spark, d):
-    s = R.bm25_topk(questions(spark, d), chunks(spark, d))
+    s = R.bm25_topk(questions(spark, d), chunks(spark, d), stemmer=R.light_stem)
     return s.select("question_id", "chunk_id", R.display_score(F.col("score")).alias("shown"))
 
 
@@ -87,7 +120,7 @@ RERANK = BM25 + f", c AS (SELECT question_id, chunk_id, rank, len(list_intersect
 
 
 def reranked(spark, d):
-    s = R.bm25_topk(questions(spark, d), chunks(spark, d)).drop("score")
+    s = R.bm25_topk(questions(spark, d), chunks(spark, d), stemmer=R.light_stem).drop("score")
     return R.rerank(s.join(questions(spark, d), "question_id").join(chunks(spark, d).select("chunk_id", "text"), "chunk_id"))
 
 
@@ -103,13 +136,13 @@ def _(spark, d):
 
 @query("r11_resolve_parents", BM25 + ", p AS (SELECT *, chunk_id % 100 AS parent, row_number() OVER (PARTITION BY question_id, chunk_id % 100 ORDER BY rank) AS n FROM k WHERE rank <= 60) SELECT question_id, chunk_id FROM p WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY rank) <= 30")
 def _(spark, d):
-    hits = R.bm25_topk(questions(spark, d), chunks(spark, d)).withColumn("parent_id", (F.col("chunk_id") % 100).cast("string")).withColumn("text", F.lit("x"))
+    hits = R.bm25_topk(questions(spark, d), chunks(spark, d), stemmer=R.light_stem).withColumn("parent_id", (F.col("chunk_id") % 100).cast("string")).withColumn("text", F.lit("x"))
     parents = table(spark, d, "documents").filter("doc_id < 100").select(F.col("doc_id").cast("string").alias("parent_id"), F.col("text").alias("body"))
     return R.resolve_parents(hits, parents).select("question_id", "chunk_id")
 
 
 def blocks(spark, d):
-    s = R.bm25_topk(questions(spark, d), chunks(spark, d), 20)
+    s = R.bm25_topk(questions(spark, d), chunks(spark, d), k=20, stemmer=R.light_stem)
     return s.join(chunks(spark, d).select("chunk_id", "text"), "chunk_id").select("question_id", "chunk_id", "rank", "text")
 
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from litmine.functions.scalars import normalize_text
 from litmine.operators import analytics, evaluation, ner
-from litmine.plans.registry import query, table
+from litmine.plans.registry import query, shared_folder, table
 from litmine.sources import readers
 from litmine.streaming import ingest
 
@@ -343,7 +340,7 @@ def _(spark, d):
     stream = spark.readStream.schema(table(spark, d, "documents").schema).option("maxFilesPerTrigger", 8).parquet(f"{d}/documents.parquet*")
     text = F.coalesce("text", F.lit(""))
     files = stream.select(F.concat(F.lit("f"), F.floor(F.col("doc_id") / 3).cast("string")).alias("filename"), ingest.corpus.content_id(text).alias("paper_id"), F.timestamp_seconds("doc_id").alias("modified"), text.alias("text"))
-    store = ingest.CorpusStore(spark, _folder(spark))
+    store = ingest.CorpusStore(spark, shared_folder(spark))
     ingest.stream_ingest(files, store).awaitTermination()
     return store.catalog().select("filename", "paper_id", "status", F.unix_seconds("modified").alias("version"))
 
@@ -367,24 +364,14 @@ def _(spark, d):
     """The same counts from a stored table that batches are merged into."""
     stream = spark.readStream.schema(table(spark, d, "documents").schema).option("maxFilesPerTrigger", 8).parquet(f"{d}/documents.parquet*")
     facts = stream.select((F.col("doc_id") % 10).cast("string").alias("doi"), F.col("lang").alias("label"), F.col("source").alias("canonical_text"))
-    store = ingest.CountStore(spark, _folder(spark))
+    store = ingest.CountStore(spark, shared_folder(spark))
     ingest.upsert_counts(facts, store).awaitTermination()
     return store.table().drop("metadata")
 
 
-def _folder(spark) -> str:
-    """A new folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-litmine-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def _drained(spark, stream, mode: str):
     """All rows of a stream, run until it has read what is there."""
-    out = _folder(spark)
+    out = shared_folder(spark)
     if mode == "append":
         stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").trigger(availableNow=True).start().awaitTermination()
     else:
