@@ -6,7 +6,7 @@ with probability r - floor(r).  Those draws are not independent: the cube method
 directions that leave the sums of tokens and of documents as they are, until all but
 two coordinates are 0 or 1.  Directions need three open documents only, so a block of
 documents is settled in one pass; blocks run in parallel, and what each leaves open
-(two documents) meets others of its source in the next round, until one block is left.
+(two documents) meets others of its source in the next round, until the source has one block.
 There the flight leaves LANDING documents of all sizes alone; with those that it leaves
 open they are the small landing problem, whose best rounding is found by trying all.
 
@@ -87,14 +87,12 @@ def settled(p: np.ndarray, size: np.ndarray, seed: int, last: bool) -> np.ndarra
     return out
 
 
-def _settle(last: bool):
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        # largest first, so that what is left open is small
-        rows = rows.sort_values(["size", "mixed", "unit"], ascending=[False, True, True], ignore_index=True)
-        rows["p"] = settled(rows["p"].to_numpy(), rows["size"].to_numpy(), int(rows["mixed"].iloc[0]) & 0x7FFFFFFF, last)
-        return rows
-
-    return settle
+def _settle(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block of a source; the last one of its source, whatever other sources have left, if it is the only one."""
+    # largest first, so that what is left open is small
+    rows = rows.sort_values(["size", "mixed", "unit"], ascending=[False, True, True], ignore_index=True)
+    rows["p"] = settled(rows["p"].to_numpy(), rows["size"].to_numpy(), int(rows["mixed"].iloc[0]) & 0x7FFFFFFF, rows["blocks"].iloc[0] == 1)
+    return rows
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -140,21 +138,18 @@ def mix(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     mixed = F.xxhash64(F.coalesce("unit", F.lit(-1)), "size", F.lit(7))
     drawn = rows.join(small(per), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     drawn = drawn.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate)).withColumn("mixed", mixed)
-    blocks = F.greatest(F.ceil(F.col("n_source") / block), F.lit(1))
-    drawn = drawn.withColumn("block", F.pmod("mixed", blocks)).drop("n_source")
+    drawn = drawn.withColumn("blocks", F.ceil(F.col("n_source") / block)).withColumn("block", F.pmod("mixed", "blocks")).drop("n_source")
     schema = drawn.schema
-    most = per.agg(F.max("n_source")).first()[0] or 0
-    now = -(-most // block)  # blocks of the largest source
-    current = scratch.save(drawn.groupBy("source", "block").applyInPandas(_settle(now <= 1), schema), "round-0")
+    now = -(-(per.agg(F.max("n_source")).first()[0] or 0) // block)  # blocks of the largest source
+    current = scratch.save(drawn.groupBy("source", "block").applyInPandas(_settle, schema), "round-0")
     done, turn = [], 0
     open_ = "p > 0 AND p < 1"
     while now > 1:
-        turn += 1
-        left = max(1, 2 * now // block)
+        turn, now = turn + 1, max(1, 2 * now // block)
         done.append(current.filter(f"NOT ({open_})"))
-        again = current.filter(open_).withColumn("block", F.pmod("mixed", F.lit(left)))
-        current = scratch.save(again.groupBy("source", "block").applyInPandas(_settle(left <= 1), schema), f"round-{turn}")
-        now = left
+        left = F.greatest(F.lit(1), F.floor(2 * F.col("blocks") / block)).cast("long")
+        again = current.filter(open_).withColumn("blocks", left).withColumn("block", F.pmod("mixed", "blocks"))
+        current = scratch.save(again.groupBy("source", "block").applyInPandas(_settle, schema), f"round-{turn}")
     for d in done:
         current = current.unionByName(d)
     return current.withColumn("times", (F.col("whole") + F.round("p")).cast("long")).select("unit", "source", "size", "n_rows", "source_size", "target", "times")

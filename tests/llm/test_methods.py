@@ -223,3 +223,15 @@ def test_url_model_held_out(spark):
     rows = [("https://best-casino.example.net/en/1", 1), ("http://cheap-pills-now.example.com/x", 1), ("https://www.gardens.example.net/en/31", 0), ("https://history.example.edu/notes/4", 0)]
     got = {r.url: r.verdict for r in url_filters.filter_urls(spark.createDataFrame(rows, "url string, label int"), model, rules=()).collect()}
     assert all((got[u] == "block") == bool(y) for u, y in rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_small_source_beside_one_of_many_blocks(spark, seed):
+    """Each source lands by itself: 15 long documents come as near beside 5,000 others as beside none."""
+    rng = random.Random(seed)
+    rows = [(i, "a", rng.randint(2000, 20_000)) for i in range(15)] + [(100 + i, "b", rng.randint(1, 400)) for i in range(5_000)]
+    got = mixing.mix(spark.createDataFrame(rows, "unit long, source string, size long")).toPandas()
+    for source, part in got.groupby("source"):
+        taken = (part["size"] * part["times"]).sum()
+        assert abs(taken / part["target"].iloc[0] - 1) < 0.001, source
+    assert (got["times"] <= 2).all()
