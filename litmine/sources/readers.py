@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litmine.functions.scalars import blank_to_null, coerce_year, first_nonblank, join_authors, normalize_doi, reconstruct_abstract
@@ -17,27 +17,44 @@ def _clean(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    return _clean(spark.read.csv(path, header=True, inferSchema=False, multiLine=True, sep=sep, escape='"', encoding=encoding))
+def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", ordered: bool = False) -> DataFrame:
+    """Rows as strings; with ``ord``, their number in file order, if ``ordered``."""
+    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, sep=sep, escape='"', encoding=encoding)
+    return _clean(in_file_order(rows) if ordered else rows)
+
+
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """``rows``, just read from files, plus ``ord``, their number from 0 by file name and place in the file.
+
+    Tasks get files, and parts of them, in order of size: ids that count through tasks
+    follow that, and only within a part do they follow the file.  Rows of each part are
+    counted and the counts added up, a row for each part of a file.
+    """
+    placed = rows.select("*", F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")).alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    parts = placed.groupBy("_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return placed.join(parts, "_part").withColumn("ord", F.col("_before") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_first", "_before")
 
 
 def read_ner_csv(spark: SparkSession, path: str) -> DataFrame:
     """Curation rows with a DOI, in file order as ``ord``."""
-    rows = read_csv(spark, path).withColumn("ord", F.monotonically_increasing_id())
+    rows = read_csv(spark, path, ordered=True)
     return rows.filter(blank_to_null(F.col("DOI")).isNotNull())
 
 
 def read_curated_rows(spark: SparkSession, path: str) -> DataFrame:
-    rows = (spark.read.parquet(path) if path.endswith(".parquet") else read_csv(spark, path)).withColumn("ord", F.monotonically_increasing_id())
+    """Curated rows with a DOI, in file order as ``ord``."""
+    rows = in_file_order(spark.read.parquet(path)) if path.endswith(".parquet") else read_csv(spark, path, ordered=True)
     return rows.filter(blank_to_null(F.col("`DOI number`")).isNotNull())
 
 
 def read_term_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(ord, term, synonyms) of a term list; the second column counts if it is called alias or synonym."""
-    rows = read_csv(spark, path)
-    first, second = rows.columns[0], rows.columns[1] if len(rows.columns) > 1 else None
+    rows = read_csv(spark, path, ordered=True)
+    first, second = rows.columns[0], rows.columns[1] if len(rows.columns) > 2 else None
     named = second is not None and any(w in second.lower() for w in ("alias", "synonym"))
-    out = rows.select(F.monotonically_increasing_id().alias("ord"), F.lower(F.trim(f"`{first}`")).alias("term"), (F.col(f"`{second}`") if named else F.lit(None).cast("string")).alias("synonyms"))
+    out = rows.select("ord", F.lower(F.trim(f"`{first}`")).alias("term"), (F.col(f"`{second}`") if named else F.lit(None).cast("string")).alias("synonyms"))
     return out.filter(blank_to_null(F.col("term")).isNotNull() & ~F.col("term").startswith("#"))
 
 
@@ -158,8 +175,8 @@ def read_jats_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pubchem_bulk(spark: SparkSession, path: str, value: str, partitions: int = 64) -> DataFrame:
     """(cid, value, ord) of a tab-separated file; a compressed one is one split, so rows are dealt out after reading."""
-    rows = spark.read.csv(path, sep="\t", schema=f"cid string, {value} string", quote="").filter(F.col(value).isNotNull())
-    return rows.withColumn("ord", F.monotonically_increasing_id()).repartition(partitions)
+    rows = in_file_order(spark.read.csv(path, sep="\t", schema=f"cid string, {value} string", quote=""))
+    return rows.filter(F.col(value).isNotNull()).repartition(partitions)
 
 
 def document_pages(text: Column) -> Column:
