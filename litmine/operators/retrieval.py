@@ -62,53 +62,114 @@ def truncate_dim(v: Column, d: int) -> Column:
     return F.slice(v, 1, d)
 
 
+#: Chunks around which the others are gathered into blocks: those of lowest hash, so many at most.
+PIVOTS = 64
+_BLOCK = "ids array<long>, unit binary, centre binary, radius double"
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=-1, keepdims=True), 1e-30)
+
+
 def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """(ids, unit): rows (key, embedding) in blocks of at most ``size``, with their unit vectors as bytes."""
+    """(ids, unit, centre, radius): rows (key, embedding) in blocks of at most ``size``, with their unit vectors as bytes,
+    the direction of their mean and the largest angle to it."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, unit = [], []
 
         def block() -> pd.DataFrame:
-            out = pd.DataFrame({"ids": [ids[:size]], "unit": [np.array(unit[:size]).tobytes()]})
+            mine = np.array(unit[:size])
+            centre = _unit(mine.sum(axis=0))
+            radius = float(np.arccos(np.clip(mine @ centre, -1, 1)).max())
+            out = pd.DataFrame({"ids": [ids[:size]], "unit": [mine.tobytes()], "centre": [centre.tobytes()], "radius": [radius]})
             del ids[:size], unit[:size]
             return out
 
         for part in batches:
             for i, x in zip(part[key], part["embedding"]):
-                v = np.asarray(x, float)
                 ids.append(int(i))
-                unit.append(v / max(np.linalg.norm(v), 1e-30))
+                unit.append(_unit(np.asarray(x, float)))
                 if len(ids) == size:
                     yield block()
         if ids:
             yield block()
 
-    return rows.filter("embedding IS NOT NULL").select(key, "embedding").mapInPandas(pack, "ids array<long>, unit binary")
+    return rows.filter("embedding IS NOT NULL").select(key, "embedding").mapInPandas(pack, _BLOCK)
+
+
+def gathered(chunks: DataFrame, key: str) -> DataFrame:
+    """``chunks`` (key, embedding) dealt out so that neighbours in space are neighbours in a partition.
+
+    By the nearest of a few pivots, then by id: partitions are cut by range, so that a
+    pivot with many chunks takes as many of them as it needs.
+    """
+    there = chunks.filter("embedding IS NOT NULL").select(key, "embedding")
+    sample = there.orderBy(F.xxhash64(key), key).limit(PIVOTS).collect()
+    if len(sample) < 2:
+        return there
+    pivots = _unit(np.array([r.embedding for r in sample], float))
+
+    def nearest(vectors: pd.Series) -> pd.Series:
+        return pd.Series(np.argmax(np.stack(vectors.to_numpy()).astype(float) @ pivots.T, axis=1))
+
+    near = there.withColumn("pivot", F.pandas_udf(nearest, "int")("embedding"))
+    return near.repartitionByRange("pivot", key).sortWithinPartitions("pivot", key).select(key, "embedding")
+
+
+class _Best:
+    """The k best chunks so far of each question of a block."""
+
+    def __init__(self, ids: np.ndarray, unit: bytes, k: int):
+        self.ids, self.k = np.asarray(ids), k
+        self.unit = np.frombuffer(unit).reshape(len(self.ids), -1)
+        self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(self.ids)
+        self.least = np.full(len(self.ids), -np.inf)
+
+    def meet(self, chunk: np.ndarray, unit: bytes, centre: bytes, radius: float) -> None:
+        """Questions whose k best no chunk of the block can enter are left out: an angle to the centre less the radius bounds the others."""
+        angle = np.arccos(np.clip(self.unit @ np.frombuffer(centre), -1, 1))
+        live = np.flatnonzero(np.cos(np.maximum(angle - radius, 0)) + 1e-9 >= self.least)
+        if not len(live):
+            return
+        score = self.unit[live] @ np.frombuffer(unit).reshape(len(chunk), -1).T
+        for q, row in zip(live, score):
+            new = np.flatnonzero(row + 1e-11 >= self.least[q])
+            if len(new):
+                had, ids = self.found[q]
+                had, ids = np.concatenate([had, row[new]]), np.concatenate([ids, chunk[new]])
+                top = np.lexsort((ids, -had.round(12)))[: self.k]
+                self.found[q] = had[top], ids[top]
+                if len(top) == self.k:
+                    self.least[q] = had[top[-1]]
+
+    def rows(self) -> pd.DataFrame:
+        n = [len(ids) for _, ids in self.found]
+        return pd.DataFrame({"question_id": np.repeat(self.ids, n), "chunk_id": np.concatenate([i for _, i in self.found]), "score": np.concatenate([s for s, _ in self.found])})
 
 
 def dense_topk(questions: DataFrame, chunks: DataFrame, k: int = RETRIEVE) -> DataFrame:
     """(question_id, chunk_id, score, rank): the k nearest chunks of each question by cosine, exactly.
 
     ``questions``: (question_id long, embedding), as many as there are; ``chunks``:
-    (chunk_id long, embedding).  Each block of questions meets each block of chunks in a
-    task, which hands on the k best of the pair of blocks; nothing is read to the driver.
+    (chunk_id long, embedding).  A task keeps the k best of each of its questions over all
+    its blocks of chunks, passes over blocks that none of them needs, and hands those on at
+    its end: at most k rows of a question leave a task, and nothing is read to the driver.
     """
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict[int, _Best] = {}  # the task's own questions
         for pairs in batches:
-            for asked, q, chunk, v in zip(pairs["q_ids"], pairs["q_unit"], pairs["ids"], pairs["unit"]):
-                chunk = np.asarray(chunk)
-                score = np.frombuffer(q).reshape(len(asked), -1) @ np.frombuffer(v).reshape(len(chunk), -1).T
-                tops = [np.lexsort((chunk, -row.round(12)))[:k] for row in score]
-                yield pd.DataFrame({
-                    "question_id": np.repeat(np.asarray(asked), [len(t) for t in tops]),
-                    "chunk_id": chunk[np.concatenate(tops)],
-                    "score": np.concatenate([row[t] for row, t in zip(score, tops)]),
-                })
+            for asked, q, chunk, v, centre, radius in zip(pairs["q_ids"], pairs["q_unit"], pairs["ids"], pairs["unit"], pairs["centre"], pairs["radius"]):
+                if int(asked[0]) not in state:
+                    state[int(asked[0])] = _Best(asked, q, k)
+                state[int(asked[0])].meet(np.asarray(chunk), v, centre, radius)
+        for mine in state.values():
+            yield mine.rows()
 
     # dealt out, so that the blocks are made once and not for each pair of partitions
     asked = _blocks(questions, "question_id", QUESTION_BLOCK).select(F.col("ids").alias("q_ids"), F.col("unit").alias("q_unit")).repartition(F.col("q_ids")[0])
-    pairs = _blocks(chunks, "chunk_id", CHUNK_BLOCK).repartition(F.col("ids")[0]).crossJoin(asked)
+    pairs = _blocks(gathered(chunks, "chunk_id"), "chunk_id", CHUNK_BLOCK).repartition(F.col("ids")[0]).crossJoin(asked)
     found = pairs.mapInPandas(best, "question_id long, chunk_id long, score double")
     w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 12)), "chunk_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
