@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from litmine.functions.markup import Highlighter
 from litmine.functions.scalars import GREEK, flatten_entity
 
 #: Terms of a dictionary that may be broadcast; a larger one is refused, not cut.
@@ -451,23 +452,28 @@ def group_with_counts(entities: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def highlight_entities(sections: DataFrame, entities: DataFrame) -> DataFrame:
-    """``sections`` (doc_id, ord, html) with entities (doc_id, text, label) wrapped in spans, longest first, outside of tags."""
-    lists = entities.groupBy("doc_id").agg(F.collect_set(F.struct("text", "label")).alias("e"))
+    """``sections`` (doc_id, ord, html) with the entities (doc_id, text, label, perhaps meta) of their document marked.
+
+    Names are found whole, whatever their case, longest first, over presenting tags too;
+    see ``markup.Highlighter``.  ``meta``, MAP<string, string>, gives species their data
+    attributes.  Sections without html, and documents without entities, stay as they are.
+    """
+    meta = F.col("meta") if "meta" in entities.columns else F.lit(None).cast("map<string,string>")
+    # a map can't be told apart in a set, so it goes along as its sorted entries
+    item = F.struct("text", "label", F.array_sort(F.map_entries(meta)).alias("meta"))
+    lists = entities.filter("text <> ''").groupBy("doc_id").agg(F.collect_set(item).alias("e"))  # a document's own entities
+    kind = sections.schema["doc_id"].dataType.simpleString()
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for doc, n, html, found in rows.itertuples(index=False, name=None):
-                label = {x["text"].lower(): x["label"] for x in (found if found is not None else [])}
-                if label and html:
-                    words = "|".join(re.escape(w) for w in sorted(label, key=lambda w: (-len(w), w)))
-                    pattern = re.compile(rf"\b(?:{words})\b", re.IGNORECASE)
-                    wrap = lambda m: f'<span class="ent-{re.sub(r"[^a-z]+", "-", label[m.group().lower()].lower())}">{m.group()}</span>'  # noqa: E731, B023
-                    html = "".join(p if p.startswith("<") else pattern.sub(wrap, p) for p in re.split(r"(<[^>]*>)", html))
+                if found is not None and len(found) and html:
+                    html = Highlighter([(x["text"], x["label"] or "", {m["key"]: m["value"] for m in x["meta"]} if x["meta"] is not None else {}) for x in found]).mark(html)
                 out.append((doc, n, html))
             yield pd.DataFrame(out, columns=["doc_id", "ord", "html"])
 
-    return sections.join(lists, "doc_id", "left").select("doc_id", "ord", "html", "e").mapInPandas(mark, "doc_id long, ord int, html string")
+    return sections.join(lists, "doc_id", "left").select("doc_id", "ord", "html", "e").mapInPandas(mark, f"doc_id {kind}, ord int, html string")
 
 
 def load_precomputed(cached: DataFrame, stored: DataFrame, key: str = "doc_id") -> DataFrame:

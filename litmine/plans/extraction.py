@@ -160,8 +160,10 @@ def _(spark, d):
 
 @query("n20_highlight_entities")
 def _(spark, d):
+    """Whole pages with the words of the dictionary marked, species with their data."""
     pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(0).alias("ord"), "html")
-    e = pages.select("doc_id", F.explode(F.array(*[F.struct(F.lit(b).alias("text"), F.lit(a).alias("label")) for a, b, _ in _NATIVE])).alias("e")).select("doc_id", "e.*")
+    meta = F.create_map(F.lit("common_name"), F.col("doc_id").cast("string"))
+    e = pages.select("doc_id", F.explode(F.array(*[F.struct(F.lit(b).alias("text"), F.lit(a).alias("label")) for a, b, _ in _NATIVE])).alias("e")).select("doc_id", "e.*", meta.alias("meta"))
     return ner.highlight_entities(pages, e)
 
 
