@@ -128,10 +128,12 @@ def join_authors(names: Column) -> Column:
 
 def reconstruct_abstract(index: Column) -> Column:
     """Text of a MAP<word, positions>: the first word wins a position, gaps stay as empty words."""
-    pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    last = F.array_max(F.transform(pairs, lambda x: x["p"]))
-    words = F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.get(F.filter(pairs, lambda x: x["p"] == i), F.lit(0))["w"], F.lit("")))
-    return F.when(F.size(pairs) > 0, F.trim(F.array_join(words, " "))).otherwise(F.lit(""))
+    pairs = F.flatten(F.transform(F.map_entries(index), lambda e, k: F.transform(e["value"], lambda p: F.struct(p.alias("p"), k.alias("k"), e["key"].alias("w")))))
+    # in order, each beside the one before it: words are set apart by as many spaces as places
+    placed = F.array_sort(pairs)
+    before = F.slice(F.concat(F.array(F.lit(-1).cast("long")), F.transform(placed, lambda x: x["p"].cast("long"))), F.lit(1), F.size(placed))
+    words = F.zip_with(placed, before, lambda x, b: F.when(x["p"] == b, "").otherwise(F.concat(F.repeat(F.lit(" "), (x["p"] - b).cast("int")), x["w"])))
+    return F.when(F.size(pairs) > 0, F.trim(F.array_join(words, ""))).otherwise(F.lit(""))
 
 
 def format_publication_date(raw: Column, month: Column, year: Column, pub_year: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,25 +27,31 @@ def match_spans(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """
     g = gold.select(*SPAN).withColumn("side", F.lit("g"))
     both = g.unionByName(predicted.select(*SPAN).withColumn("side", F.lit("p")))
+    place = F.struct(F.col("start").cast("long").alias("start"), (-F.col("end")).cast("long").alias("minus_end"))
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, place)))  # noqa: E731  spans of one document
+    lists = both.groupBy("doc_id", "label").agg(of("g").alias("g"), of("p").alias("p"))
+    pair = F.pandas_udf(_pairs, "struct<strict: long, partial: long>")
+    found = lists.withColumn("n", pair("g.start", "g.minus_end", "p.start", "p.minus_end"))
+    return found.select("doc_id", "label", "n.strict", "n.partial", F.size("g").cast("long").alias("n_gold"), F.size("p").cast("long").alias("n_predicted"))
+
+
+def _pairs(gold_starts: pd.Series, gold_ends: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    """(strict, partial) of lists of spans in order, ends negated."""
 
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "end"], ascending=[True, False])
-        left = {s: list(rows.loc[rows["side"] == s, ["start", "end"]].itertuples(index=False, name=None)) for s in "gp"}
-        sizes, strict = (len(left["g"]), len(left["p"])), 0
-        for x in list(left["g"]):
-            if x in left["p"]:
-                strict += 1
-                left["g"].remove(x)
-                left["p"].remove(x)
+    def one(gold: list[tuple[int, int]], found: list[tuple[int, int]]) -> tuple[int, int]:
+        equal = Counter(gold) & Counter(found)
+        gold, found = (sorted((Counter(xs) - equal).elements(), key=lambda x: (x[0], -x[1])) for xs in (gold, found))
         partial = 0
-        for a, b in left["g"]:
-            hit = next((y for y in left["p"] if y[0] < b and a < y[1]), None)
-            if hit:
+        for a, b in gold:
+            found = [y for y in found if y[1] > a]  # what ends before this one ends before all later ones
+            hit = next((k for k, y in enumerate(found) if y[0] < b), None)
+            if hit is not None:
                 partial += 1
-                left["p"].remove(hit)
-        return pd.DataFrame([(rows["doc_id"].iloc[0], rows["label"].iloc[0], strict, partial, *sizes)], columns=["doc_id", "label", "strict", "partial", "n_gold", "n_predicted"])
+                del found[hit]
+        return equal.total(), partial
 
-    return both.groupBy("doc_id", "label").applyInPandas(count, "doc_id long, label string, strict long, partial long, n_gold long, n_predicted long")
+    spans = lambda s, e: [(int(a), -int(b)) for a, b in zip(s, e)]
+    return pd.DataFrame([one(spans(a, b), spans(c, d)) for a, b, c, d in zip(gold_starts, gold_ends, starts, ends)], columns=["strict", "partial"])
 
 
 def _rate(a: Column, b: Column) -> Column:

@@ -182,12 +182,23 @@ def _(spark, d):
     return e.select("doc_id", F.size("embedding").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 4).alias("norm"))
 
 
-@query("r17_build_messages", "SELECT conv_id AS question_id, least(10, count(*)) + 2 AS n FROM conversations GROUP BY 1")
-def _(spark, d):
-    c = table(spark, d, "conversations").withColumnRenamed("conv_id", "question_id")
-    q = c.select("question_id").distinct().withColumn("question", F.lit("why?"))
-    m = R.build_messages(q, q.select("question_id", F.lit("ctx").alias("context")), c, "You answer.")
-    return m.select("question_id", F.size("messages").cast("long").alias("n"))
+@query(
+    "r17_build_messages",
+    r"""WITH h AS (SELECT *, CASE WHEN turn % 2 = 0 THEN 'assistant' ELSE 'user' END AS who, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations),
+t AS (SELECT conv_id, who || ':' || CASE WHEN who = 'assistant' THEN regexp_replace(text || ' [c3]', '\[\s*[Cc]?\s*([0-9]+)\s*\]', '[†]', 'g') ELSE text || ' [c3]' END AS m, turn FROM h WHERE n <= 10),
+p AS (SELECT conv_id, string_agg(m, '|' ORDER BY turn) AS m FROM t GROUP BY 1)
+SELECT conv_id AS question_id, CASE WHEN c > 1 THEN md5('system:You answer.|' || m || '|user:Context:' || chr(10) || 'ctx' || conv_id || chr(10) || chr(10) || 'Question: why?') END AS messages, CASE WHEN c = 1 THEN 'No relevant passages were found for this question.' END AS answer
+FROM p JOIN (SELECT conv_id, count(*) AS c FROM conversations GROUP BY 1) USING (conv_id)""",
+)
+def _(spark, d):
+    """Conversations as histories, their even turns the assistant's; those of one turn have no context."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("question_id"), "turn", F.when(F.col("turn") % 2 == 0, "assistant").otherwise("user").alias("role"), F.concat("text", F.lit(" [c3]")).alias("text"))
+    turns = c.groupBy("question_id").agg(F.count("*").alias("n"))
+    q = turns.select("question_id", F.lit("why?").alias("question"))
+    context = turns.filter("n > 1").select("question_id", F.concat(F.lit("ctx"), "question_id").alias("context"))
+    m = R.build_messages(q, context, c, "You answer.")
+    said = F.array_join(F.transform("messages", lambda x: F.concat_ws(":", x["role"], x["content"])), "|")
+    return m.select("question_id", F.md5(said).alias("messages"), "answer")
 
 
 @query("r18_truncate_tokens", "SELECT doc_id, md5(array_to_string(string_split(text, ' ')[1:50], ' ')) AS words, md5(text[1:200]) AS chars FROM documents")

@@ -47,12 +47,12 @@ def _(spark, d):
     return raw_identifiers(spark, d).select("page_id", S.normalize_doi(raw).alias("doi"), S.normalize_pmid(raw).alias("pmid"), S.normalize_pmcid(raw).alias("pmcid"))
 
 
-@query("s23_reconstruct_abstract", "SELECT doc_id, array_to_string(string_split(text, ' ')[1:40], ' ') AS abstract FROM documents WHERE NOT contains(text, chr(10)) AND NOT contains(text, '  ')")
+@query("s23_reconstruct_abstract", "SELECT doc_id, md5(trim(text)) AS abstract FROM documents WHERE trim(text) <> ''")
 def _(spark, d):
-    docs = table(spark, d, "documents").filter(~F.contains("text", F.lit("\n")) & ~F.contains("text", F.lit("  ")))
-    words = docs.select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 40)).alias("p", "w")).filter("w <> ''")
+    """Whole texts as inverted indexes, word to places, and back."""
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w")).filter("w <> ''")
     index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
-    return index.select("doc_id", S.reconstruct_abstract(F.col("index")).alias("abstract"))
+    return index.select("doc_id", F.md5(S.reconstruct_abstract(F.col("index"))).alias("abstract"))
 
 
 @query("s25_join_authors", "SELECT conv_id, coalesce(nullif(array_to_string(list(trim(role) ORDER BY turn)[1:10], ', '), ''), 'Unknown authors') AS authors FROM conversations GROUP BY conv_id")
@@ -135,9 +135,9 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", m.alias("m")).select("event_id", F.size("m.aliases").alias("n_aliases"), F.try_element_at("m.rest", F.lit("k")).alias("k"))
 
 
-@query("s38_normalize_text", r"SELECT doc_id, md5(regexp_replace(lower(trim(text)), '\s+', ' ', 'g')) AS h FROM documents WHERE lang = 'en'")
+@query("s38_normalize_text", r"SELECT doc_id, md5(regexp_replace(lower(trim(text)), '\s+', ' ', 'g')) AS h FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.md5(S.normalize_text(F.col("text"))).alias("h"))
+    return table(spark, d, "documents").select("doc_id", F.md5(S.normalize_text(F.col("text"))).alias("h"))
 
 
 @query("s39_s42_name_normalisers", "SELECT p_partkey, '6-alpha-' || p_name || ' beta' AS greek, p_name || '-a-b' AS separators, p_name || ' a b ' AS punct, 'Ocimum L . ' || p_name AS abbr FROM part")
@@ -210,13 +210,13 @@ def _(spark, d):
     return table(spark, d, "pages").selectExpr("page_id", "lit_normalize_pmid(url) AS x", "lit_recency_score(CAST(NULL AS INT), 2024) AS r", "lit_page_for_offset('<!-- Page 2 --> a <!-- Page 3 --> b', 34) AS page")
 
 
-@query("s34_clean_xml", r"SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(regexp_replace(text, '[<>&]', ' ', 'g'), '\s+'), lambda w: w <> ''), ' ')) AS h FROM documents WHERE lang = 'en'")
+@query("s34_clean_xml", r"SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(regexp_replace(text, '[<>&]', ' ', 'g'), '\s+'), lambda w: w <> ''), ' ')) AS h FROM documents")
 def _(spark, d):
     from litmine.operators.chunking import clean_xml
 
     body = F.regexp_replace("text", "[<>&]", " ")
     xml = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<a><front>x</front><body><p>"), body, F.lit("</p></body></a>"))).otherwise(F.concat(F.lit("<p>"), body))
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.md5(clean_xml(xml)).alias("h"))
+    return table(spark, d, "documents").select("doc_id", F.md5(clean_xml(xml)).alias("h"))
 
 
 @query("s35_flatten_metadata_values", "SELECT vec_id, CAST(label AS VARCHAR) AS label, '' AS missing, len(embedding) AS n FROM embeddings")

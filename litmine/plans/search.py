@@ -18,7 +18,7 @@ def works(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 3 == 1, (k % 300).cast("string")).alias("pmid"),
         F.when(k % 5 == 0, F.concat(F.lit("PMC"), k.cast("string"))).alias("pmcid"),
         F.substring("text", 1, 80).alias("title"),
-        F.substring("text", 81, 400).alias("abstract"),
+        F.expr("substring(text, 81)").alias("abstract"),
         (1990 + k % 35).cast("int").alias("year"),
         (k * 7 % 113).alias("citations"),
         (k % 2 == 0).alias("is_open_access"),
@@ -31,7 +31,7 @@ def works(spark: SparkSession, d: str) -> DataFrame:
 
 CTE = """WITH works AS (
   SELECT doc_id AS id, doc_id AS ord, CASE WHEN doc_id % 3 = 0 THEN '10.1/' || (doc_id % 200) END AS doi, CASE WHEN doc_id % 3 = 1 THEN CAST(doc_id % 300 AS VARCHAR) END AS pmid,
-    CASE WHEN doc_id % 5 = 0 THEN 'PMC' || doc_id END AS pmcid, text[1:80] AS title, text[81:480] AS abstract, CAST(1990 + doc_id % 35 AS INT) AS year, doc_id * 7 % 113 AS citations,
+    CASE WHEN doc_id % 5 = 0 THEN 'PMC' || doc_id END AS pmcid, text[1:80] AS title, text[81:] AS abstract, CAST(1990 + doc_id % 35 AS INT) AS year, doc_id * 7 % 113 AS citations,
     doc_id % 2 = 0 AS is_open_access, doc_id % 7 = 0 AS has_full_text, doc_id % 4 = 0 AS has_pdf,
     CASE doc_id % 3 WHEN 0 THEN 'research-article' WHEN 1 THEN 'review' ELSE '' END AS article_type, source AS domain FROM documents
 )

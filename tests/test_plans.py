@@ -96,3 +96,30 @@ def test_first_difference(spark):
 def test_sentences_are_as_before():
     text = "Basil (Ocimum B. L.) grows. It smells, e.g. of cloves! See Fig. 2. Done?\n- item. one\n## Head. two\nlast"
     assert [s for s, _, _ in citations.sentence_spans(text)] == ["Basil (Ocimum B. L.) grows.", "It smells, e.g. of cloves!", "See Fig. 2.", "Done?", "- item. one", "## Head. two", "last"]
+
+
+def test_span_pairs_against_plain(spark):
+    from litmine.operators import evaluation
+
+    rng = random.Random(9)
+    span = lambda: (rng.randrange(3), rng.choice("AB"), s := rng.randrange(60), s + rng.randint(1, 12))
+    gold, pred = [span() for _ in range(80)], [span() for _ in range(90)]
+    pred += gold[::4] + gold[:2]
+    want = {}
+    for d, label in {x[:2] for x in gold + pred}:
+        g, p = (sorted([x[2:] for x in xs if x[:2] == (d, label)], key=lambda x: (x[0], -x[1])) for xs in (gold, pred))
+        sizes, strict, partial = (len(g), len(p)), 0, 0
+        for x in list(g):
+            if x in p:
+                strict += 1
+                g.remove(x)
+                p.remove(x)
+        for a, b in g:
+            hit = next((y for y in p if y[0] < b and a < y[1]), None)
+            if hit:
+                partial += 1
+                p.remove(hit)
+        want[d, label] = (strict, partial, *sizes)
+    schema = "doc_id long, label string, start int, end int"
+    got = evaluation.match_spans(spark.createDataFrame(gold, schema), spark.createDataFrame(pred, schema)).collect()
+    assert {(r.doc_id, r.label): tuple(r)[2:] for r in got} == want
