@@ -344,15 +344,20 @@ def diversify(blocks: DataFrame, most: int = PARENTS, overlap: float = OVERLAP)
 def context_budget(blocks: DataFrame, window: int = 8192, reserve: int = 2000, chars: int = 4, least: int = 1000) -> DataFrame:
     """``blocks`` plus context_status: full while the budget of characters lasts, the first always, else omitted_budget."""
     budget = max(least, (window - reserve) * chars)
-    lists = blocks.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.length("text").alias("n")))).alias("b"))
+    rest = [c for c in blocks.columns if c not in ("question_id", "rank")]
+    lists = blocks.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", *rest))).alias("b"))  # a question's blocks are few
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("keep"))
 
     def step(s: Column, x: Column) -> Column:
-        fits = (F.size(s["keep"]) == 0) | (s["used"] + x["n"] <= budget)
-        return F.when(fits, F.struct((s["used"] + x["n"]).alias("used"), F.array_append(s["keep"], x["rank"]).alias("keep"))).otherwise(s)
+        used = s["used"] + F.coalesce(x["n"], F.lit(0))
+        fits = (F.size(s["keep"]) == 0) | (used <= budget)
+        return F.when(fits, F.struct(used.alias("used"), F.array_append(s["keep"], x["rank"]).alias("keep"))).otherwise(s)
 
-    kept = lists.select("question_id", F.aggregate("b", start, step)["keep"].alias("_keep"))
-    return blocks.join(kept, "question_id").withColumn("context_status", F.when(F.array_contains("_keep", F.col("rank")), "full").otherwise("omitted_budget")).drop("_keep")
+    sizes = F.transform("b", lambda x: F.struct(x["rank"].alias("rank"), F.length(x["text"]).alias("n")))
+    kept = lists.withColumn("_keep", F.aggregate(sizes, start, step)["keep"])
+    each = kept.select("question_id", "_keep", F.explode("b").alias("x")).select("question_id", "_keep", "x.*")
+    status = F.when(F.array_contains("_keep", F.col("rank")), "full").otherwise("omitted_budget")
+    return each.select(*blocks.columns, status.alias("context_status"))
 
 
 def positional_ids(blocks: DataFrame) -> DataFrame:
@@ -395,17 +400,26 @@ def truncate_tokens(text: Column, n: int, per_token: int | None = None) -> Colum
     return F.array_join(F.slice(F.split(text, " "), 1, n), " ")
 
 
-def hybrid_search(questions: DataFrame, chunks: DataFrame, parents: DataFrame, scorer: Callable[[Column, Column], Column] = lexical_scorer, sources: list[str] | None = None, embedder: Embedder | None = None) -> DataFrame:
+def hybrid_search(questions: DataFrame, chunks: DataFrame, parents: DataFrame, scorer: Callable[[Column, Column], Column] = lexical_scorer, sources: list[str] | None = None, embedder: Embedder | None = None, shared: str | None = None) -> DataFrame:
     """Questions (question_id, question, embedding) to ranked context blocks with their status.
 
     ``chunks``: (chunk_id, parent_id, source, text, embedding).  With an ``embedder``,
-    questions and chunks need no embedding.
+    questions and chunks need no embedding.  ``shared``: a new folder that all executors
+    share; vectors, the fused ranking and the passages found are then written there, each
+    made once, and what follows reads them.
     """
+
+    def saved(rows: DataFrame, name: str) -> DataFrame:
+        if shared is None:
+            return rows
+        rows.write.parquet(f"{shared}/{name}")
+        return rows.sparkSession.read.schema(rows.schema).parquet(f"{shared}/{name}")
+
     if embedder:
-        questions = embed(questions.drop("embedding"), embedder, "question")
-        chunks = embed(chunks.drop("embedding"), embedder)
+        questions = saved(embed(questions.drop("embedding"), embedder, "question"), "questions")
+        chunks = saved(embed(chunks.drop("embedding"), embedder), "chunks")
     there = source_filter(chunks, sources)
-    fused = rrf_fuse(dense_topk(questions, there), bm25_topk(questions, there))
+    fused = rrf_fuse(saved(dense_topk(questions, there), "dense"), saved(bm25_topk(questions, there), "words"))
     hits = fused.join(there.select("chunk_id", "parent_id", "source", "text"), "chunk_id").join(questions.select("question_id", "question"), "question_id")
-    best = resolve_parents(rerank_threshold(rerank(hits, scorer)), parents)
+    best = resolve_parents(rerank_threshold(saved(rerank(hits, scorer), "reranked")), parents)
     return positional_ids(context_budget(diversify(best.select("question_id", "question", "chunk_id", "parent_id", "source", "text", "score", "rank"))))

@@ -213,7 +213,7 @@ def _(spark, d):
     c = chunks(spark, d).join(e, "chunk_id").withColumn("parent_id", F.lit(None).cast("string"))
     q = questions(spark, d).join(e.withColumnRenamed("chunk_id", "question_id"), "question_id")
     parents = spark.createDataFrame([], "parent_id string, body string")
-    return R.hybrid_search(q, c, parents).select("question_id", "chunk_id", "cid", "context_status")
+    return R.hybrid_search(q, c, parents, shared=shared_folder(spark)).select("question_id", "chunk_id", "cid", "context_status")
 
 
 # --- citations -------------------------------------------------------------------------
