@@ -193,19 +193,25 @@ def tokens(text: Column) -> Column:
     return F.transform(words(text), light_stem)
 
 
+def _exploded(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep…, dl, word): a row per word.  The words are counted before they become rows, so that
+    none of these carries the whole list, which a stemmer in Python would have to queue with each."""
+    each = rows.select(*keep, words(F.col(text)).alias("w")).select(*keep, F.size("w").alias("dl"), "w")
+    return each.select(*keep, "dl", F.explode_outer("w").alias("word")).filter("word IS NOT NULL")
+
+
 def terms_of(rows: DataFrame, text: str, stemmer: Stemmer, *keep: str) -> DataFrame:
     """(keep…, dl, term, tf): the stemmed words of a text, how often each is there, and how many words there are.
 
     Words of a text are counted before they are stemmed, so that each is stemmed once a text.
     """
-    each = rows.select(*keep, words(F.col(text)).alias("w"))
-    each = each.select(*keep, F.size("w").alias("dl"), F.explode("w").alias("word")).groupBy(*keep, "dl", "word").agg(F.count("*").alias("n"))
+    each = _exploded(rows, text, *keep).groupBy(*keep, "dl", "word").agg(F.count("*").alias("n"))
     return each.select(*keep, "dl", stemmer(F.col("word")).alias("term"), "n").groupBy(*keep, "dl", "term").agg(F.sum("n").alias("tf"))
 
 
 def _terms(chunks: DataFrame, stemmer: Stemmer) -> DataFrame:
     """(chunk_id, dl, term): a row per word, stemmed once it is alone."""
-    each = chunks.select("chunk_id", words(F.col("text")).alias("w")).select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("word"))
+    each = _exploded(chunks, "text", "chunk_id")
     return each.select("chunk_id", "dl", stemmer(F.col("word")).alias("term"))
 
 
