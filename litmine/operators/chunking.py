@@ -335,20 +335,43 @@ def dedupe_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.filter(plain != "").withColumn("_h", F.md5(plain)).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_h", "_n")
 
 
-def semantic_groups(sentences: DataFrame, amount: float = 1.5) -> DataFrame:
-    """``sentences`` (doc_id, ord, sentence, embedding) plus ``part``: a new one where the distance to the
-    sentence before is above the document's mean by ``amount`` standard deviations."""
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    unit = sentences.withColumn("_u", l2_normalize(F.col("embedding")))
-    far = unit.withColumn("distance", 1 - dot(F.lag("_u").over(w), F.col("_u")))
-    of = Window.partitionBy("doc_id")
-    limit = F.avg("distance").over(of) + amount * F.coalesce(F.stddev_pop("distance").over(of), F.lit(0.0))
-    return far.withColumn("_new", F.coalesce((F.col("distance") > limit).cast("int"), F.lit(0))).withColumn("part", F.sum("_new").over(w)).drop("_u", "_new")
-
-
-def semantic_split(sentences: DataFrame, size: int = CHILD[0], overlap: int = CHILD[1]) -> DataFrame:
+def semantic_groups(sentences: DataFrame, shared: str, amount: float = 1.5) -> DataFrame:
+    """``sentences`` (doc_id, ord, sentence, embedding) plus distance to the sentence before and ``part``: a new
+    one where it is above the document's mean by ``amount`` standard deviations.
+
+    Sentences are cut into ranges of (doc_id, ord), so that a document with very many
+    takes several tasks; a range gets the vector before it and the parts begun before it,
+    one row each.  A sentence without a vector, and the one after it, has no distance and
+    begins no part.  Two tables go to ``shared``, a folder that all executors share.
+    """
+    spark, ranges, steps = sentences.sparkSession, f"{shared}/ranges", f"{shared}/distances"
+    cut = sentences.withColumn("_u", l2_normalize(F.col("embedding"))).repartitionByRange("doc_id", "ord")
+    cut.withColumn("_range", F.spark_partition_id()).write.mode("overwrite").parquet(ranges)
+    rows = spark.read.parquet(ranges)
+    here, along = Window.partitionBy("doc_id", "_range").orderBy("ord"), Window.partitionBy("doc_id").orderBy("_range")
+    ends = rows.groupBy("doc_id", "_range").agg(F.max_by(F.struct("_u"), "ord").alias("_end"))
+    before = ends.withColumn("_before", F.lag("_end").over(along)["_u"]).filter("_before IS NOT NULL")
+    rows = _with_range(rows, before, "_before").withColumn("_last", F.when(F.row_number().over(here) == 1, F.col("_before")).otherwise(F.lag("_u").over(here)))
+    rows.withColumn("distance", 1 - dot(F.col("_last"), F.col("_u"))).drop("_u", "_before", "_last").write.mode("overwrite").parquet(steps)
+    rows = spark.read.parquet(steps)
+    of = rows.groupBy("doc_id").agg((F.avg("distance") + amount * F.coalesce(F.stddev_pop("distance"), F.lit(0.0))).alias("_limit"))
+    limits = of.alias("of").join(rows.select("doc_id", "_range").distinct().alias("r"), F.expr("of.doc_id <=> r.doc_id")).select("r.doc_id", "_range", "_limit")
+    rows = _with_range(rows, limits, "_limit", few=False).withColumn("_new", F.coalesce((F.col("distance") > F.col("_limit")).cast("int"), F.lit(0)))
+    begun = rows.groupBy("doc_id", "_range").agg(F.sum("_new").alias("_n"))
+    earlier = begun.withColumn("_earlier", F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1))).filter("_earlier > 0")
+    return _with_range(rows, earlier, "_earlier").withColumn("part", F.sum("_new").over(here) + F.coalesce("_earlier", F.lit(0))).drop("_range", "_limit", "_new", "_earlier")
+
+
+def _with_range(rows: DataFrame, of: DataFrame, column: str, few: bool = True) -> DataFrame:
+    """``rows`` with a column of ``of``, by document and range; ``few``: no more rows than there are ranges."""
+    there = of.select(F.col("doc_id").alias("_doc"), F.col("_range").alias("_r"), column)
+    there = F.broadcast(there) if few else there
+    return rows.join(there, F.expr("_range = _r AND doc_id <=> _doc"), "left").drop("_doc", "_r")
+
+
+def semantic_split(sentences: DataFrame, shared: str, size: int = CHILD[0], overlap: int = CHILD[1]) -> DataFrame:
     """Chunks (doc_id, part, k, chunk) of semantic parts; short ones go, long ones are cut again."""
-    parts = semantic_groups(sentences).groupBy("doc_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
+    parts = semantic_groups(sentences, shared).groupBy("doc_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
     parts = parts.filter(F.length("text") >= MIN_CHUNK)
     short = parts.filter(F.length("text") <= 2 * size).select("doc_id", "part", F.lit(0).alias("k"), F.col("text").alias("chunk"))
     long_ = parts.filter(F.length("text") > 2 * size).select("doc_id", "part", F.posexplode(split_column(size, overlap)("text")).alias("k", "chunk"))

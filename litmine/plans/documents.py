@@ -8,7 +8,7 @@ from litmine.operators import chunking as C
 from litmine.operators import corpus
 from litmine.operators import retrieval as R
 from litmine.operators.citations import sentences
-from litmine.plans.registry import query, table
+from litmine.plans.registry import query, shared_folder, table
 
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
 
@@ -104,7 +104,7 @@ r AS (SELECT *, CASE WHEN distance > avg(distance) OVER w + 1.5 * coalesce(stdde
 SELECT vec_id, label, CAST(sum(cut) OVER (PARTITION BY label ORDER BY vec_id) AS BIGINT) AS part FROM r""")
 def _(spark, d):
     e = table(spark, d, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("ord"), F.lit("").alias("sentence"), "embedding")
-    return C.semantic_groups(e).select(F.col("ord").alias("vec_id"), F.col("doc_id").alias("label"), "part")
+    return C.semantic_groups(e, shared_folder(spark)).select(F.col("ord").alias("vec_id"), F.col("doc_id").alias("label"), "part")
 
 
 @query("c15_attach_doc_metadata", LINES + r" SELECT l.doc_id, ord, count(*) OVER (PARTITION BY l.doc_id) AS total_chunks, length(chunk) AS char_count, len(list_filter(regexp_split_to_array(chunk, '\s+'), lambda w: w <> '')) AS word_count, source, lang FROM l JOIN documents d ON l.doc_id = d.doc_id")
@@ -288,7 +288,7 @@ def _(spark, d):
 @query("c14_semantic_split")
 def _(spark, d):
     x = sentences(docs(spark, d), "text", "doc_id").select("doc_id", "ord", "sentence")
-    return C.semantic_split(R.embed(x, R.hashing_embedder, "sentence"))
+    return C.semantic_split(R.embed(x, R.hashing_embedder, "sentence"), shared_folder(spark))
 
 
 def corpus_docs(spark, d):

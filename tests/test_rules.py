@@ -104,9 +104,9 @@ def test_kb_chunk_corpus(spark):
     assert kids[name("child", 0)] == (name("parent", 0), "A\nB\nFirst  chunk here") and set(kids) == {name("child", k) for k in range(3)}
 
 
-def test_semantic_split_and_embedders(spark):
+def test_semantic_split_and_embedders(spark, tmp_path):
     rows = spark.createDataFrame([(1, k, f"{'red apples grow' if k < 6 else 'steel bridges span'} sentence of its own kind here") for k in range(12)], "doc_id long, ord int, sentence string")
-    out = chunking.semantic_split(retrieval.embed(rows, retrieval.hashing_embedder, "sentence")).orderBy("part").collect()
+    out = chunking.semantic_split(retrieval.embed(rows, retrieval.hashing_embedder, "sentence"), str(tmp_path)).orderBy("part").collect()
     assert len({r.part for r in out}) == 2 and all(("red" in r.chunk) != ("steel" in r.chunk) for r in out)
     none = retrieval.embed(spark.createDataFrame([(1, None), (2, " ")], "i int, text string"), retrieval.hashing_embedder)
     assert all(r.embedding is None for r in none.collect())
