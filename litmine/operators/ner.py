@@ -1,12 +1,15 @@
 """Dictionary entity recognition, normalisation and counting.
 
-Matching runs in one of two ways: small dictionaries become n-grams joined to the text's
-n-grams (native; words only), large ones a token trie that each Python worker builds once
-from the broadcast patterns and keeps.
+Matching runs in one of three ways: small dictionaries become n-grams joined to the text's
+n-grams (native; words only), larger ones a token trie that each Python worker builds once
+from the broadcast patterns and keeps, and those of any size are stored first
+(``store_dictionary``) and mapped into the workers' memory.  Matchers take a DataFrame or
+the path of a stored dictionary.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections import Counter
@@ -18,9 +21,10 @@ from pyspark.sql import functions as F
 
 from litmine.functions.markup import Highlighter
 from litmine.functions.scalars import GREEK, flatten_entity
+from litmine.operators import terms
 
-#: Terms of a dictionary that may be broadcast; a larger one is refused, not cut.
-MAX_TERMS = 5_000_000
+#: Terms of a dictionary that may be broadcast; a larger one is refused, not cut, and is to be stored.
+MAX_TERMS = 300_000
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 #: Labels in the order in which matchers run.
 MATCH_ORDER = ("PLANT PART", "ANALYTICAL TECHNIQUE", "EXTRACTION METHOD", "DEVELOPMENT STAGE", "SEASON", "SPECIES", "CHEMICAL", "BIOACTIVITY")
@@ -205,7 +209,7 @@ def _shared(spark: SparkSession, dictionary: DataFrame):
     """The patterns as a broadcast and their digest; reference data, of MAX_TERMS terms at most."""
     rows = sorted(tuple(r) for r in _patterns(dictionary).select("label", "pattern", "canonical").limit(MAX_TERMS + 1).collect())
     if len(rows) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms; match the dictionary in parts")
+        raise ValueError(f"more than {MAX_TERMS} terms: store the dictionary (store_dictionary) and hand in its path")
     return spark.sparkContext.broadcast(rows), hashlib.sha256(repr(rows).encode()).hexdigest()
 
 
@@ -229,6 +233,51 @@ def _tries(digest: str, patterns) -> tuple:
     return _BUILT[digest]
 
 
+#: Tables of a stored dictionary: those of ``_tries``, then chemicals and techniques in their plain form.
+STORED = 5
+
+
+def _pieces(text: str) -> list[str]:
+    return [m.group() for m in _PIECE.finditer(text.lower())]
+
+
+def _forms(label: str, pattern: str) -> list[tuple[int, list[str]]]:
+    """Tables of a stored dictionary that a pattern is in, and as what."""
+    if label == "CHEMICAL":
+        return [(2, _pieces(chemical_form(pattern)[0])), (3, [_bare(pattern)]), (4, _pieces(pattern))]
+    if label == "ANALYTICAL TECHNIQUE":
+        return [(1, _pieces(pattern.translate(_SEPARATORS))), (4, _pieces(pattern))]
+    return [(0, _pieces(pattern))]
+
+
+def store_dictionary(dictionary: DataFrame, path: str) -> str:
+    """Writes a dictionary's patterns, however many, to ``path``, a folder that executors can read; returns it for the matchers.
+
+    It is built once; see ``terms``.  Patterns that are null or have no pieces match nothing.
+    """
+    terms.store_terms(_patterns(dictionary), path, _forms)
+    return path
+
+
+class StoredTrie:
+    """A stored table with the interface of ``Trie``."""
+
+    def __init__(self, table: terms.Terms):
+        self.table = table
+
+    def find(self, text: str) -> Iterator[tuple[str, str, int, int]]:
+        return self.table.find([(m.group().lower(), m.start(), m.end()) for m in _PIECE.finditer(text)])
+
+
+def _stored(files: list[str]) -> tuple:
+    """As ``_tries``, of a stored dictionary's files."""
+    key = repr(files)
+    if key not in _BUILT:
+        tables = terms.opened(files, STORED)
+        _BUILT[key] = (*map(StoredTrie, tables[:3]), tables[3], StoredTrie(tables[4]))
+    return _BUILT[key]
+
+
 def _simple_spans(trie: Trie, text: str) -> set[Span]:
     return {(a, b, label, canonical) for label, canonical, a, b in trie.find(text)}
 
@@ -251,12 +300,16 @@ def _chemical_spans(trie: Trie, names: set[str], text: str) -> set[Span]:
     return {x for x in found if not _chemical_noise(text[x[0] : x[1]]) and _bare(text[x[0] : x[1]]) in names}
 
 
-def _matched(spark: SparkSession, docs: DataFrame, dictionary: DataFrame, spans: Callable[[tuple, str], set[Span]], keep: tuple[str, ...] = ()) -> DataFrame:
+def _matched(spark: SparkSession, docs: DataFrame, dictionary: DataFrame | str, spans: Callable[[tuple, str], set[Span]], keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, label, text, canonical, start, end) of what ``spans`` finds with a worker's tries in each text, and ``keep`` of its row."""
-    patterns, digest = _shared(spark, dictionary)
+    if isinstance(dictionary, str):
+        load = functools.partial(_stored, terms.ship(spark, dictionary))
+    else:
+        patterns, digest = _shared(spark, dictionary)
+        load = functools.partial(_tries, digest, patterns)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tries = _tries(digest, patterns)
+        tries = load()
         for rows in batches:
             mine = zip(rows["text"].fillna(""), *(rows[c] for c in ("doc_id", *keep)))
             out = [(doc, label, text[a:b], canonical, a, b, *rest) for text, doc, *rest in mine for a, b, label, canonical in spans(tries, text)]
@@ -266,20 +319,22 @@ def _matched(spark: SparkSession, docs: DataFrame, dictionary: DataFrame, spans:
     return docs.select("doc_id", "text", *keep).mapInPandas(find, _SPANS + kinds)
 
 
-def match_trie(spark: SparkSession, docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+def match_trie(spark: SparkSession, docs: DataFrame, dictionary: DataFrame | str) -> DataFrame:
     """(doc_id, label, text, canonical, start, end) of every phrase, whatever its label, places in characters."""
+    if isinstance(dictionary, str):
+        return _matched(spark, docs, dictionary, lambda tries, text: _simple_spans(tries[0], text) | _simple_spans(tries[4], text))
     plain = dictionary.withColumn("canonical", F.to_json(F.struct("label", "canonical"))).withColumn("label", F.lit("any"))
     found = _matched(spark, docs, plain, lambda tries, text: _simple_spans(tries[0], text))
     named = F.from_json("canonical", "label string, canonical string")
     return found.withColumn("label", named["label"]).withColumn("canonical", named["canonical"])
 
 
-def match_chemicals(spark: SparkSession, docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+def match_chemicals(spark: SparkSession, docs: DataFrame, dictionary: DataFrame | str) -> DataFrame:
     """Matches of the chemicals of a dictionary; see ``_chemical_spans``."""
     return _matched(spark, docs, dictionary, lambda tries, text: _chemical_spans(tries[2], tries[3], text))
 
 
-def match_techniques(spark: SparkSession, docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+def match_techniques(spark: SparkSession, docs: DataFrame, dictionary: DataFrame | str) -> DataFrame:
     """Matches of the techniques of a dictionary; see ``_technique_spans``."""
     return _matched(spark, docs, dictionary, lambda tries, text: _technique_spans(tries[1], text))
 
@@ -312,7 +367,7 @@ def _clear_of_kept(starts: pd.Series, minus_ends: pd.Series) -> pd.Series:
 
 def _all_spans(tries: tuple, text: str) -> list[Span]:
     """All matchers' spans, then as ``resolve_overlaps``; of equal places the matcher that runs first wins."""
-    simple, techniques, chemicals, names = tries
+    simple, techniques, chemicals, names = tries[:4]
     found = _simple_spans(simple, text) | _technique_spans(techniques, text) | _chemical_spans(chemicals, names, text)
     rank = {label: k for k, label in enumerate(MATCH_ORDER)}
     kept, upto = [], -1
@@ -323,7 +378,7 @@ def _all_spans(tries: tuple, text: str) -> list[Span]:
     return kept
 
 
-def match_all(spark: SparkSession, docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+def match_all(spark: SparkSession, docs: DataFrame, dictionary: DataFrame | str) -> DataFrame:
     """Spans (doc_id, label, text, canonical, start, end) of all matchers, one per place, in one pass over the texts."""
     return _matched(spark, docs, dictionary, _all_spans)
 

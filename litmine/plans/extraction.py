@@ -81,6 +81,23 @@ def _(spark, d):
     return ner.match_trie(spark, docs(spark, d), dictionary(spark))
 
 
+@query(
+    "n06_stored_terms",
+    r"""WITH b AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS w FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS w FROM documents),
+t AS (SELECT DISTINCT n, w[i:i + n - 1] AS g FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b, (VALUES (2), (3)) v(n))),
+g AS (SELECT doc_id, n, w[i:i + n - 1] AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (VALUES (2), (3)) v(n)))
+SELECT doc_id, count(*) AS n_spans, count(DISTINCT g) AS n_terms FROM g JOIN t USING (n, g) GROUP BY doc_id""",
+)
+def _(spark, d):
+    """All runs of two and three pieces of the benchmark are the dictionary."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(f"({ner.TOKEN})"))
+    runs = lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+    b = table(spark, d, "benchmark").select(w.alias("w"))
+    terms = b.select(F.explode(runs(2)).alias("p")).union(b.select(F.explode(runs(3)))).distinct()
+    path = ner.store_dictionary(terms.select(F.lit("SPECIES").alias("label"), F.col("p").alias("pattern"), F.col("p").alias("canonical")), shared_folder(spark))
+    return ner.match_trie(spark, docs(spark, d), path).groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.count_distinct("canonical").alias("n_terms"))
+
+
 @query("n07_match_chemicals")
 def _(spark, d):
     return ner.match_chemicals(spark, docs(spark, d), dictionary(spark))
