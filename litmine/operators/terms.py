@@ -51,22 +51,20 @@ def store_terms(dictionary: DataFrame, path: str, forms: Forms) -> None:
     Repeated rows and shared beginnings go before the shuffle to buckets; rows without a
     pattern and patterns without pieces hold no term.
     """
-    terms = dictionary.select("label", "pattern", "canonical").filter("pattern IS NOT NULL")
+    terms = dictionary.select("label", "pattern", "canonical").filter("pattern IS NOT NULL").repartition("label", "pattern", "canonical")
     bits = np.uint64(64 - max(1, math.ceil(math.log2(max(terms.count(), 1) / BUCKET + 1))))
 
     def beginnings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            which, states, ends = [], [], []
-            for label, pattern, canonical in rows.itertuples(index=False, name=None):
-                for table, pieces in forms(label, pattern):
-                    state = np.zeros(1, np.uint64)
-                    for k, h in enumerate(_hashes(pieces)):
-                        state = _step(state, h)
-                        which.append(table)
-                        states.append(state[0])
-                        ends.append(json.dumps([pieces, label, canonical]) if k == len(pieces) - 1 else None)
-            h = np.array(states, np.uint64)
-            yield pd.DataFrame({"which": which, "bucket": (h >> bits).astype(np.int64), "hash": h.view(np.int64), "term": pd.Series(ends, dtype=object)})
+            stored = [(table, pieces, json.dumps([pieces, label, canonical])) for label, pattern, canonical in rows.itertuples(index=False, name=None) for table, pieces in forms(label, pattern) if pieces]
+            tables, sizes = np.array([x[0] for x in stored], int), np.array([len(x[1]) for x in stored], int)
+            whole, flat, start = np.array([x[2] for x in stored], object), _hashes([p for x in stored for p in x[1]]), np.cumsum(sizes) - sizes
+            states, long = np.zeros(len(stored), np.uint64), np.arange(len(stored))
+            for k in range(max(sizes, default=0)):
+                long = long[sizes[long] > k]
+                states[long] = h = _step(states[long], flat[start[long] + k])
+                ends = np.where(sizes[long] == k + 1, whole[long], None)
+                yield pd.DataFrame({"which": tables[long], "bucket": (h >> bits).astype(np.int64), "hash": h.view(np.int64), "term": ends})
 
     terms.mapInPandas(beginnings, _BEGINNINGS).distinct().groupBy("which", "bucket").applyInPandas(_packed, _BUCKETS).write.mode("overwrite").parquet(path)
 
