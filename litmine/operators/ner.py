@@ -266,6 +266,8 @@ class StoredTrie:
         self.table = table
 
     def find(self, text: str) -> Iterator[tuple[str, str, int, int]]:
+        if not len(self.table.keys):
+            return iter(())
         return self.table.find([(m.group().lower(), m.start(), m.end()) for m in _PIECE.finditer(text)])
 
 
