@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -21,6 +22,8 @@ K1, B, RRF_K = 1.2, 0.75, 60
 QUESTION_BLOCK, CHUNK_BLOCK = 512, 4_096
 #: Bytes of question terms up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of text, and pairs of a question and a chunk, that a task of a word search takes, about.
+TEXT_BYTES, PAIRS = 4 << 20, 1 << 20
 NO_CONTEXT = "No relevant passages were found for this question."
 
 
@@ -200,19 +203,34 @@ def _exploded(rows: DataFrame, text: str, *keep: str) -> DataFrame:
     return each.select(*keep, "dl", F.explode_outer("w").alias("word")).filter("word IS NOT NULL")
 
 
+def parts_for(rows: DataFrame, size: float, most: int) -> int:
+    """Partitions that take ``most`` each of ``size``, one for each core at least: tasks keep their size as tables grow."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(size / most))
+
+
+def dealt(rows: DataFrame, text: str, *keys: str) -> DataFrame:
+    """``rows`` dealt out by ``keys``, in partitions of about TEXT_BYTES of text."""
+    size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return rows.repartition(parts_for(rows, size, TEXT_BYTES), *keys)
+
+
 def terms_of(rows: DataFrame, text: str, stemmer: Stemmer, *keep: str) -> DataFrame:
     """(keep…, dl, term, tf): the stemmed words of a text, how often each is there, and how many words there are.
 
-    Words of a text are counted before they are stemmed, so that each is stemmed once a text.
+    Texts are dealt out by ``keep`` once; their words are counted before they are stemmed,
+    so that each is stemmed once a text, and counted where the text is.
     """
-    each = _exploded(rows, text, *keep).groupBy(*keep, "dl", "word").agg(F.count("*").alias("n"))
+    each = _exploded(dealt(rows.select(*keep, text), text, *keep), text, *keep).groupBy(*keep, "dl", "word").agg(F.count("*").alias("n"))
     return each.select(*keep, "dl", stemmer(F.col("word")).alias("term"), "n").groupBy(*keep, "dl", "term").agg(F.sum("n").alias("tf"))
 
 
-def _terms(chunks: DataFrame, stemmer: Stemmer) -> DataFrame:
-    """(chunk_id, dl, term): a row per word, stemmed once it is alone."""
-    each = _exploded(chunks, "text", "chunk_id")
-    return each.select("chunk_id", "dl", stemmer(F.col("word")).alias("term"))
+def _asked_words(chunks: DataFrame, asked: DataFrame, stemmer: Stemmer) -> DataFrame:
+    """(word, term) of the chunks' words whose stem is asked (distinct term); each is stemmed once.
+
+    An inner join: a semi join would be moved below the distinct words, and the stemmer with it.
+    """
+    each = chunks.select(F.explode_outer(words(F.col("text"))).alias("word")).filter("word IS NOT NULL").distinct()
+    return each.select("word", stemmer(F.col("word")).alias("term")).join(asked, "term").select("word", "term")
 
 
 def _stats(chunks: DataFrame) -> DataFrame:
@@ -227,18 +245,25 @@ def bm25_index(chunks: DataFrame, stemmer: Stemmer = stem) -> tuple[DataFrame, D
 
 
 def bm25_scores(tf: DataFrame, asked: DataFrame, df: DataFrame, stats: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """(question_id, chunk_id, score, rank) of asked (question_id, term) and the chunks' tf (chunk_id, dl, term, tf), df (term, df) and stats, one row (n, avgdl)."""
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("question_id", "term", idf.alias("idf"), "avgdl")  # stats are one row
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(few_or_not(weights, asked), "term").groupBy("question_id", "chunk_id").agg(F.sum(F.col("idf") * gain).alias("score"))
+    """(question_id, chunk_id, score, rank) of asked (question_id, term) and the chunks' tf (chunk_id, dl, term, tf), df (term, df) and stats, one row (n, avgdl).
+
+    Counts are dealt out by chunk, in partitions of PAIRS questions times chunks at most, about;
+    scores are added up there, and a partition hands on its k best of each question.
+    """
+    n, avgdl = stats.first()
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = asked.join(df, "term").select("question_id", "term", idf.alias("idf"))
+    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl).cast("double")))
+    pairs = asked.agg(F.count_distinct("question_id")).first()[0] * n
+    there = tf.repartition(parts_for(tf, pairs, PAIRS), "chunk_id")
+    scored = there.join(few_or_not(weights, asked), "term").groupBy("question_id", "chunk_id").agg(F.sum(F.col("idf") * gain).alias("score"))
     w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def few_or_not(rows: DataFrame, asked: DataFrame) -> DataFrame:
+def few_or_not(rows: DataFrame, asked: DataFrame, column: str = "term") -> DataFrame:
     """``rows``, no more than ``asked`` has, with a broadcast hint if its terms' bytes add up to few."""
-    few = (asked.agg(F.sum(F.octet_length("term") + 40)).first()[0] or 0) <= BROADCAST_BYTES
+    few = (asked.agg(F.sum(F.octet_length(column) + 40)).first()[0] or 0) <= BROADCAST_BYTES
     return F.broadcast(rows) if few else rows
 
 
@@ -248,18 +273,29 @@ def asked_terms(questions: DataFrame, stemmer: Stemmer) -> DataFrame:
     return each.select("question_id", stemmer(F.col("word")).alias("term")).distinct()
 
 
-def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = RETRIEVE, k1: float = K1, b: float = B, stemmer: Stemmer = stem) -> DataFrame:
+def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = RETRIEVE, k1: float = K1, b: float = B, stemmer: Stemmer = stem, shared: str | None = None) -> DataFrame:
     """(question_id, chunk_id, score, rank): the k best chunks of each question (question_id, question).
 
     For chunks that no index holds; see ``search_index.Bm25Index`` for those that stay.
-    Chunks are dealt out by their id once.  While the questions' terms are few enough to
-    broadcast (their bytes are added up first), counts and scores then stay where a chunk
-    is, and each task hands on its k best of each question.  Beyond that, terms are shuffled.
+    The chunks' distinct words are stemmed first; texts are then dealt out by chunk once,
+    and their words with an asked stem counted where they are, while these words are
+    few enough to broadcast (their bytes are added up); beyond that, words are shuffled.
+    ``shared``: a new folder that all executors share; the words and the counts are then
+    written there, each made once.
     """
+
+    def saved(rows: DataFrame, name: str) -> DataFrame:
+        if shared is None:
+            return rows
+        rows.write.parquet(f"{shared}/{name}")
+        return rows.sparkSession.read.schema(rows.schema).parquet(f"{shared}/{name}")
+
+    there = chunks.select("chunk_id", "text")
     asked = asked_terms(questions, stemmer)
-    there = _terms(chunks.select("chunk_id", "text").repartition("chunk_id"), stemmer).join(few_or_not(asked.select("term").distinct(), asked), "term", "left_semi")
-    tf = there.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    return bm25_scores(tf, asked, tf.groupBy("term").agg(F.count("*").alias("df")), _stats(chunks), k, k1, b)
+    known = saved(_asked_words(there, few_or_not(asked.select("term").distinct(), asked), stemmer), "asked-words")
+    counted = _exploded(dealt(there, "text", "chunk_id"), "text", "chunk_id").join(few_or_not(known, known, "word"), "word")
+    tf = saved(counted.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")), "counts")
+    return bm25_scores(tf, asked, tf.groupBy("term").agg(F.count("*").alias("df")), _stats(there), k, k1, b)
 
 
 def rrf_fuse(dense: DataFrame, sparse: DataFrame | None, k: int = RRF_K, top: int = RETRIEVE) -> DataFrame:
@@ -425,7 +461,7 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, parents: DataFrame, s
         questions = saved(embed(questions.drop("embedding"), embedder, "question"), "questions")
         chunks = saved(embed(chunks.drop("embedding"), embedder), "chunks")
     there = source_filter(chunks, sources)
-    fused = rrf_fuse(saved(dense_topk(questions, there), "dense"), saved(bm25_topk(questions, there), "words"))
+    fused = rrf_fuse(saved(dense_topk(questions, there), "dense"), saved(bm25_topk(questions, there, shared=shared and f"{shared}/bm25"), "words"))
     hits = fused.join(there.select("chunk_id", "parent_id", "source", "text"), "chunk_id").join(questions.select("question_id", "question"), "question_id")
     best = resolve_parents(rerank_threshold(saved(rerank(hits, scorer), "reranked")), parents)
     return positional_ids(context_budget(diversify(best.select("question_id", "question", "chunk_id", "parent_id", "source", "text", "score", "rank"))))

@@ -63,7 +63,7 @@ def _(spark, d):
 
 @query("r05_bm25_topk", BM25 + "SELECT question_id, chunk_id, round(score, 6) AS score FROM k WHERE rank <= 60")
 def _(spark, d):
-    return R.bm25_topk(questions(spark, d), chunks(spark, d), stemmer=R.light_stem).select("question_id", "chunk_id", F.round("score", 6).alias("score"))
+    return R.bm25_topk(questions(spark, d), chunks(spark, d), stemmer=R.light_stem, shared=shared_folder(spark)).select("question_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def stored(spark, d, stemmer):
@@ -95,12 +95,12 @@ def _(spark, d):
 
 @query("r05_stemmed_topk")
 def _(spark, d):
-    return R.bm25_topk(questions(spark, d), chunks(spark, d))
+    return R.bm25_topk(questions(spark, d), chunks(spark, d), shared=shared_folder(spark))
 
 
 @query("r06_rrf_fuse", BM25 + ", o AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY chunk_id) AS rank FROM k WHERE rank <= 60), f AS (SELECT question_id, chunk_id, sum(1 / (60 + rank)) AS score FROM (SELECT question_id, chunk_id, rank FROM k WHERE rank <= 60 UNION ALL SELECT * FROM o) GROUP BY ALL) SELECT question_id, chunk_id, round(score, 9) AS score FROM f QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, chunk_id) <= 60")
 def _(spark, d):
-    s = R.bm25_topk(questions(spark, d), chunks(spark, d), stemmer=R.light_stem).select("question_id", "chunk_id", "rank")
+    s = R.bm25_topk(questions(spark, d), chunks(spark, d), stemmer=R.light_stem, shared=shared_folder(spark)).select("question_id", "chunk_id", "rank")
     o = s.selectExpr("question_id", "chunk_id", "row_number() OVER (PARTITION BY question_id ORDER BY chunk_id) AS rank")
     return R.rrf_fuse(s, o).select("question_id", "chunk_id", F.round("score", 9).alias("score"))
 
@@ -112,7 +112,7 @@ def _(spark, d):
 
 @query("r08_display_score", BM25 + "SELECT question_id, chunk_id, CAST(round_even(score / max(score) OVER (PARTITION BY question_id) * 100, 0) AS INT) AS shown FROM k WHERE rank <= 60")
 def _(spark, d):
-    s = R.bm25_topk(questions(spark, d), chunks(spark, d), stemmer=R.light_stem)
+    s = R.bm25_topk(questions(spark, d), chunks(spark, d), stemmer=R.light_stem, shared=shared_folder(spark))
     return s.select("question_id", "chunk_id", R.display_score(F.col("score")).alias("shown"))
 
 
@@ -120,7 +120,7 @@ RERANK = BM25 + f", c AS (SELECT question_id, chunk_id, rank, len(list_intersect
 
 
 def reranked(spark, d):
-    s = R.bm25_topk(questions(spark, d), chunks(spark, d), stemmer=R.light_stem).drop("score")
+    s = R.bm25_topk(questions(spark, d), chunks(spark, d), stemmer=R.light_stem, shared=shared_folder(spark)).drop("score")
     return R.rerank(s.join(questions(spark, d), "question_id").join(chunks(spark, d).select("chunk_id", "text"), "chunk_id"))
 
 
@@ -136,13 +136,13 @@ def _(spark, d):
 
 @query("r11_resolve_parents", BM25 + ", p AS (SELECT *, chunk_id % 100 AS parent, row_number() OVER (PARTITION BY question_id, chunk_id % 100 ORDER BY rank) AS n FROM k WHERE rank <= 60) SELECT question_id, chunk_id FROM p WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY rank) <= 30")
 def _(spark, d):
-    hits = R.bm25_topk(questions(spark, d), chunks(spark, d), stemmer=R.light_stem).withColumn("parent_id", (F.col("chunk_id") % 100).cast("string")).withColumn("text", F.lit("x"))
+    hits = R.bm25_topk(questions(spark, d), chunks(spark, d), stemmer=R.light_stem, shared=shared_folder(spark)).withColumn("parent_id", (F.col("chunk_id") % 100).cast("string")).withColumn("text", F.lit("x"))
     parents = table(spark, d, "documents").filter("doc_id < 100").select(F.col("doc_id").cast("string").alias("parent_id"), F.col("text").alias("body"))
     return R.resolve_parents(hits, parents).select("question_id", "chunk_id")
 
 
 def blocks(spark, d):
-    s = R.bm25_topk(questions(spark, d), chunks(spark, d), k=20, stemmer=R.light_stem)
+    s = R.bm25_topk(questions(spark, d), chunks(spark, d), k=20, stemmer=R.light_stem, shared=shared_folder(spark))
     return s.join(chunks(spark, d).select("chunk_id", "text"), "chunk_id").select("question_id", "chunk_id", "rank", "text")
 
 
