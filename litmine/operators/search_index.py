@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litmine.functions.stemming import stem
-from litmine.operators.retrieval import B, K1, RETRIEVE, Stemmer, asked_terms, bm25_scores, few_or_not, terms_of, words
+from litmine.operators.retrieval import B, K1, RETRIEVE, Stemmer, asked_terms, bm25_scores, few_or_not, parts_for, terms_of, words
 from litmine.sources.log import Log
 
 #: Folders that postings are dealt to by term: a search reads those of its terms.
 BUCKETS = 64
+#: Words of the texts that a task writes the postings of, about.
+WORDS = 2 << 20
 
 
 class Bm25Index:
@@ -50,8 +54,12 @@ class Bm25Index:
         less_words = old_lengths.groupBy("source").agg((-F.count("*")).alias("n"), (-F.sum("dl")).alias("words"))
         there = postings is not None
         if there:
-            self._postings.write(postings.withColumn("bucket", self.bucket("term")).repartition("bucket").sortWithinPartitions("bucket", "term"), step, "bucket")
             self._lengths.write(lengths, step)
+            # a bucket takes several tasks, by chunk: each step has as many as its words need
+            n_words = self._lengths.one(step).agg(F.sum("dl")).first()[0] or 0
+            parts = parts_for(postings, n_words, WORDS)
+            slice_ = F.pmod(F.xxhash64("chunk_id"), F.lit(math.ceil(4 * parts / self.buckets)))  # several to a task, so that tasks are alike
+            self._postings.write(postings.withColumn("bucket", self.bucket("term")).repartition(parts, "bucket", slice_).sortWithinPartitions("bucket", "term"), step, "bucket")
             mine = self._postings.one(step)
             less = less.unionByName(mine.groupBy("term").agg(F.count("*").alias("change")))
             less_words = less_words.unionByName(self._lengths.one(step).groupBy("source").agg(F.count("*").alias("n"), F.sum("dl").alias("words")))

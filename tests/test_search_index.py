@@ -5,7 +5,7 @@ import random
 import pytest
 
 from litmine.functions.stemming import english_stem
-from litmine.operators import retrieval
+from litmine.operators import retrieval, search_index
 from litmine.operators.search_index import Bm25Index
 
 #: The sample vocabulary that is published with the stemmer: word and stem.
@@ -78,3 +78,27 @@ def test_empty_index(spark, tmp_path):
     assert index.topk(questions).count() == 0
     index.add(spark.createDataFrame([], "chunk_id string, source string, text string"), 0)
     assert index.topk(questions).count() == 0 and index.stats().first().n == 0
+
+
+def test_tasks_keep_their_size(spark, tmp_path, monkeypatch):
+    """More texts or questions are more partitions; a bucket of the index is written by several tasks; results stay."""
+    rows = spark.createDataFrame([(k, "s", f"extracting leaf oils {'thyme ' * (k % 5)}") for k in range(40)], "chunk_id long, source string, text string")
+    questions = spark.createDataFrame([(1, "Extracted oils of leaves"), (2, "thyme")], "question_id long, question string")
+    ranked = lambda df: sorted((r.question_id, r.chunk_id, round(r.score, 9), r["rank"]) for r in df.collect())
+    want = ranked(retrieval.bm25_topk(questions, rows, 7))
+    monkeypatch.setattr(retrieval, "TEXT_BYTES", 64)
+    monkeypatch.setattr(retrieval, "PAIRS", 4)
+    monkeypatch.setattr(search_index, "WORDS", 8)
+    assert retrieval.dealt(rows, "text", "chunk_id").rdd.getNumPartitions() > 15
+    assert ranked(retrieval.bm25_topk(questions, rows, 7, shared=str(tmp_path / "shared"))) == want
+    index = Bm25Index(spark, str(tmp_path / "index"), buckets=1, id_type="long")
+    index.add(rows, 0)
+    assert ranked(index.topk(questions, 7)) == want
+    assert len(list((tmp_path / "index/postings/step=0/bucket=0").glob("*.parquet"))) > 5
+
+
+def test_each_word_is_stemmed_once(spark):
+    """The stemmer stands above the distinct words, not below them."""
+    rows = spark.createDataFrame([(1, "oils oils leaf")], "chunk_id long, text string")
+    plan = retrieval._asked_words(rows, spark.createDataFrame([("oil",)], "term string"), retrieval.stem)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Aggregate [word")
