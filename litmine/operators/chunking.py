@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import uuid
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -192,19 +194,44 @@ def parent_child_chunks(docs: DataFrame, parent: tuple[int, int] = PARENT, child
     return parents.select("doc_id", "p.parent_id", "p.section", "n", "p.body", "p.start", "p.end", "p.page"), children.select("doc_id", "c.parent_id", "c.chunk_id", "ord", "c.section", "c.chunk", "c.body")
 
 
-def locate_fuzzy(text: str, chunk: str, cursor: int) -> int:
+_WORDS = re.compile(r"\S+")
+
+
+class Flat:
+    """A text with its runs of space as single ones, made once, and where each of its characters stood."""
+
+    def __init__(self, text: str):
+        spans = [m.span() for m in _WORDS.finditer(text)]
+        self.text = " ".join(text[a:b] for a, b in spans)
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+        self.flat = list(itertools.accumulate((b - a + 1 for a, b in spans), initial=0))
+
+    def _at(self, place: int) -> int:
+        """First place in the flat text of what stands at ``place`` or after it, but for space."""
+        k = bisect_right(self.ends, place)
+        return self.flat[k] + max(0, place - self.starts[k]) if k < len(self.starts) else len(self.text)
+
+    def find(self, words: list[str], cursor: int) -> int:
+        """Start of the words, with any space between them, in the text from the cursor on; else -1."""
+        at = self.text.find(" ".join(words), self._at(cursor))
+        k = bisect_right(self.flat, at) - 1
+        return self.starts[k] + at - self.flat[k] if at >= 0 else -1
+
+
+def locate_fuzzy(text: str | Flat, chunk: str, cursor: int) -> int:
     """Start of a chunk in a text, with spaces collapsed, from the cursor on, then from 0; else -1.
 
     Looked for are the chunk, its first 200, 100, 80 and 50 characters if it is longer,
     and what it has before its first stop.
     """
+    flat = text if isinstance(text, Flat) else Flat(text)
     stop = chunk.find(".")
     anchors = [chunk, *(chunk[:n] for n in (200, 100, 80, 50) if len(chunk) > n), *([chunk[:stop]] if stop > 20 else [])]
     for anchor in anchors:
-        if pattern := r"\s+".join(map(re.escape, anchor.split())):
+        if words := anchor.split():
             for start in (cursor, 0):
-                if m := re.compile(pattern).search(text, start):
-                    return m.start()
+                if (at := flat.find(words, start)) >= 0:
+                    return at
     return -1
 
 
@@ -216,9 +243,9 @@ def locate_offsets_fuzzy(chunks: DataFrame, docs: DataFrame) -> DataFrame:
         for rows in batches:
             out = []
             for doc, text, found in rows.itertuples(index=False, name=None):
-                cursor = 0
+                cursor, flat = 0, Flat(text or "")
                 for item in found:
-                    at = locate_fuzzy(text or "", item["chunk"] or "", cursor)
+                    at = locate_fuzzy(flat, item["chunk"] or "", cursor)
                     end = at + len(item["chunk"] or "") if at >= 0 else -1
                     cursor = end if at >= 0 else cursor
                     out.append((doc, item["ord"], at, end))
