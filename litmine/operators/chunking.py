@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litmine.functions.scalars import dot, l2_normalize, title_case
+from litmine.operators.slices import map_in_slices
 from litmine.operators.titles import HIGH, best_in_blocks, best_of, near_pairs
 
 PARENT, CHILD, KB_CHILD = (2500, 300), (250, 50), (900, 120)
@@ -252,7 +253,7 @@ def locate_offsets_fuzzy(chunks: DataFrame, docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "ord", "start", "end"])
 
     lists = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "chunk"))).alias("found"))  # chunks of one document
-    return docs.select("doc_id", "text").join(lists, "doc_id").mapInPandas(place, f"doc_id {kind}, ord int, start int, end int")
+    return map_in_slices(docs.select("doc_id", "text").join(lists, "doc_id"), place, f"doc_id {kind}, ord int, start int, end int")
 
 
 # --- whole documents -----------------------------------------------------------------
@@ -312,7 +313,7 @@ def chunk_corpus(docs: DataFrame, parent: tuple[int, int] = PARENT, child: tuple
             yield part[keep].assign(parents=parents, chunks=chunks, error=errors)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
-    return rows.mapInPandas(cut, f"{kept}, parents array<{_PARENT}>, chunks array<{_CHUNK}>, error string")
+    return map_in_slices(rows, cut, f"{kept}, parents array<{_PARENT}>, chunks array<{_CHUNK}>, error string")
 
 
 def parents_of(cut: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from litmine.functions.markup import Highlighter
 from litmine.functions.scalars import GREEK, flatten_entity
 from litmine.operators import terms
+from litmine.operators.slices import map_in_slices
 
 #: Terms of a dictionary that may be broadcast; a larger one is refused, not cut, and is to be stored.
 MAX_TERMS = 300_000
@@ -318,7 +319,7 @@ def _matched(spark: SparkSession, docs: DataFrame, dictionary: DataFrame | str,
             yield pd.DataFrame(out, columns=["doc_id", "label", "text", "canonical", "start", "end", *keep])
 
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select("doc_id", "text", *keep).mapInPandas(find, _SPANS + kinds)
+    return map_in_slices(docs.select("doc_id", "text", *keep), find, _SPANS + kinds)
 
 
 def match_trie(spark: SparkSession, docs: DataFrame, dictionary: DataFrame | str) -> DataFrame:
@@ -444,7 +445,7 @@ def _each_term(terms: DataFrame, docs: DataFrame, places: Callable[[str, list[st
             yield pd.DataFrame(out, columns=["doc_id", "term", *rest, "n"])
 
     kinds = "".join(f", `{c}` {terms.schema[c].dataType.simpleString()}" for c in rest)
-    return docs.select("doc_id", "text").join(lists, "doc_id", "right").mapInPandas(count, f"doc_id {kind}, term string{kinds}, n int")
+    return map_in_slices(docs.select("doc_id", "text").join(lists, "doc_id", "right"), count, f"doc_id {kind}, term string{kinds}, n int")
 
 
 def _word_counts(text: str, terms: list[str]) -> list[tuple[str, int]]:
@@ -530,7 +531,7 @@ def highlight_entities(sections: DataFrame, entities: DataFrame) -> DataFrame:
                 out.append((doc, n, html))
             yield pd.DataFrame(out, columns=["doc_id", "ord", "html"])
 
-    return sections.join(lists, "doc_id", "left").select("doc_id", "ord", "html", "e").mapInPandas(mark, f"doc_id {kind}, ord int, html string")
+    return map_in_slices(sections.join(lists, "doc_id", "left").select("doc_id", "ord", "html", "e"), mark, f"doc_id {kind}, ord int, html string")
 
 
 def load_precomputed(cached: DataFrame, stored: DataFrame, key: str = "doc_id") -> DataFrame:
