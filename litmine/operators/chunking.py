@@ -370,10 +370,12 @@ def semantic_groups(sentences: DataFrame, shared: str, amount: float = 1.5) -> D
     Sentences are cut into ranges of (doc_id, ord), so that a document with very many
     takes several tasks; a range gets the vector before it and the parts begun before it,
     one row each.  A sentence without a vector, and the one after it, has no distance and
-    begins no part.  Two tables go to ``shared``, a folder that all executors share.
+    begins no part.  Three tables go to ``shared``, a folder that all executors share: first the
+    sentences, which are read twice, to find the ranges and to cut them.
     """
     spark, ranges, steps = sentences.sparkSession, f"{shared}/ranges", f"{shared}/distances"
-    cut = sentences.withColumn("_u", l2_normalize(F.col("embedding"))).repartitionByRange("doc_id", "ord")
+    sentences.write.mode("overwrite").parquet(f"{shared}/sentences")
+    cut = spark.read.parquet(f"{shared}/sentences").withColumn("_u", l2_normalize(F.col("embedding"))).repartitionByRange("doc_id", "ord")
     cut.withColumn("_range", F.spark_partition_id()).write.mode("overwrite").parquet(ranges)
     rows = spark.read.parquet(ranges)
     here, along = Window.partitionBy("doc_id", "_range").orderBy("ord"), Window.partitionBy("doc_id").orderBy("_range")
@@ -400,7 +402,8 @@ def _with_range(rows: DataFrame, of: DataFrame, column: str, few: bool = True) -
 def semantic_split(sentences: DataFrame, shared: str, size: int = CHILD[0], overlap: int = CHILD[1]) -> DataFrame:
     """Chunks (doc_id, part, k, chunk) of semantic parts; short ones go, long ones are cut again."""
     parts = semantic_groups(sentences, shared).groupBy("doc_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
-    parts = parts.filter(F.length("text") >= MIN_CHUNK)
+    parts.filter(F.length("text") >= MIN_CHUNK).write.mode("overwrite").parquet(f"{shared}/parts")
+    parts = sentences.sparkSession.read.parquet(f"{shared}/parts")  # made once for both kinds
     short = parts.filter(F.length("text") <= 2 * size).select("doc_id", "part", F.lit(0).alias("k"), F.col("text").alias("chunk"))
     long_ = parts.filter(F.length("text") > 2 * size).select("doc_id", "part", F.posexplode(split_column(size, overlap)("text")).alias("k", "chunk"))
     return short.unionByName(long_)

@@ -53,11 +53,11 @@ def hashing_embedder(texts: list[str], dimensions: int = 64) -> "np.ndarray":
     """Signed counts of words hashed into ``dimensions``, of unit length: an embedder without a model."""
     import zlib
 
-    out = np.zeros((len(texts), dimensions))
-    for row, text in zip(out, texts):
-        for word in re.findall(r"\w+", text.lower()):
-            h = zlib.crc32(word.encode())
-            row[h % dimensions] += 1 if h >> 31 else -1
+    words = [re.findall(r"\w+", text.lower()) for text in texts]
+    hashes = {w: zlib.crc32(w.encode()) for w in set().union(*words)}  # each word of a batch once
+    h = np.array([hashes[w] for ws in words for w in ws], np.int64)
+    at = np.repeat(np.arange(len(texts)), [len(ws) for ws in words]) * dimensions + h % dimensions
+    out = np.bincount(at, np.where(h >> 31, 1.0, -1.0), len(texts) * dimensions).reshape(len(texts), dimensions)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-30)
 
 

@@ -1,12 +1,13 @@
 """Semantic parts of documents that take several tasks."""
 
 import random
+import uuid
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from litmine.operators import chunking
+from litmine.operators import chunking, retrieval
 
 
 def plain(rows):
@@ -47,3 +48,17 @@ def test_one_document_over_many_tasks(spark, tmp_path, tasks):
 def test_no_sentences(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id int, ord int, sentence string, embedding array<double>")
     assert chunking.semantic_groups(df, str(tmp_path)).collect() == []
+
+
+def test_each_sentence_is_embedded_once(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def embedder(texts):
+        for t in texts:
+            (seen / f"{t}-{uuid.uuid4().hex}").touch()
+        return retrieval.hashing_embedder(texts)
+
+    rows = spark.createDataFrame([(k % 3, k, f"w{k}") for k in range(30)], "doc_id long, ord int, sentence string")
+    chunking.semantic_split(retrieval.embed(rows, embedder, "sentence"), str(tmp_path / "shared")).collect()
+    assert len(list(seen.iterdir())) == 30
