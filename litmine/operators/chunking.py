@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from litmine.functions.scalars import dot, l2_normalize, title_case
 from litmine.operators.slices import map_in_slices
-from litmine.operators.titles import HIGH, best_in_blocks, best_of, near_pairs
+from litmine.operators.titles import HIGH, best_in_blocks, best_of, first_guesses, frequencies, grams, near_pairs
 
 PARENT, CHILD, KB_CHILD = (2500, 300), (250, 50), (900, 120)
 MIN_CHUNK = 50
@@ -474,28 +474,41 @@ def similarity(a: Column, b: Column) -> Column:
     return F.pandas_udf(_ratio, "double")(a, b)
 
 
-def match_title_to_works(titles: DataFrame, works: DataFrame, least: float = 0.6) -> DataFrame:
+def match_title_to_works(titles: DataFrame, works: DataFrame, least: float = 0.6, shared: str | None = None) -> DataFrame:
     """(doc_id, work_id, score): by equal DOI, else the most similar title of ``least`` or more, of all works.
 
     titles: doc_id, title, doi; works: work_id, title, doi.  Case doesn't count; of equal
     scores the smallest work_id is taken; blank and null titles match nothing.  Distinct
     titles are compared: first by prefixes of rare grams, which find every pair of ``HIGH`` or
     more, then what found none with all works in blocks (see ``titles``).
+    ``shared``: a new folder that all executors share; what several steps read is then
+    written there, each made once.
     """
-    known = works.filter("doi IS NOT NULL").groupBy(F.col("doi").alias("w_doi")).agg(F.min("work_id").alias("work_id"))
-    by_doi = titles.join(known, F.col("doi") == F.col("w_doi")).select("doc_id", "work_id", F.lit(1.0).alias("score"))
+
+    def saved(rows: DataFrame, name: str) -> DataFrame:
+        if shared is None:
+            return rows
+        rows.write.parquet(f"{shared}/{name}")
+        return rows.sparkSession.read.schema(rows.schema).parquet(f"{shared}/{name}")
+
     low = F.lower("title").alias("text")
-    rest = titles.join(by_doi.select("doc_id").distinct(), "doc_id", "left_anti").filter(F.trim("title") != "").select("doc_id", low)
-    records = works.filter(F.trim("title") != "").groupBy(low).agg(F.min("work_id").alias("work_id"))
-    texts = rest.select("text").distinct()
-    pairs = near_pairs(texts, records.select("text"), max(HIGH, least))
-    near = best_of(pairs.join(records.withColumnRenamed("text", "record"), "record"), "text")
-    near = near.unionByName(texts.join(records, "text").select("text", "work_id", F.lit(1.0).alias("score")))
-    near = best_of(near, "text")
+    known = works.filter("doi IS NOT NULL").groupBy(F.col("doi").alias("w_doi")).agg(F.min("work_id").alias("work_id"))
+    all_titles = titles.select("doc_id", low, "doi").join(known.hint("merge"), F.col("doi") == F.col("w_doi"), "left").select("doc_id", "text", "work_id")
+    all_titles = saved(all_titles, "titles")
+    by_doi = all_titles.filter("work_id IS NOT NULL").select("doc_id", "work_id", F.lit(1.0).alias("score"))
+    rest = all_titles.join(by_doi.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").filter(F.trim("text") != "").select("doc_id", "text")
+    records = saved(works.filter(F.trim("title") != "").groupBy(low).agg(F.min("work_id").alias("work_id")).withColumn("grams", grams(F.col("text"))), "records")
+    texts = saved(rest.select("text").distinct().withColumn("grams", grams(F.col("text"))), "texts")
+    often = saved(frequencies(records), "grams")
+    ids = records.select("text", "work_id")
+    pairs = near_pairs(texts, records, often, max(HIGH, least), saved)
+    near = best_of(pairs.join(ids.withColumnRenamed("text", "record").hint("merge"), "record"), "text")
+    near = near.unionByName(texts.select("text").join(ids.hint("merge"), "text").select("text", "work_id", F.lit(1.0).alias("score")))
+    near = saved(best_of(near, "text"), "near")
     if least < HIGH:
-        far = best_in_blocks(texts.join(near.select("text"), "text", "left_anti"), records, least)
-        near = near.unionByName(far)
-    return by_doi.unionByName(rest.join(near, "text").select("doc_id", "work_id", "score"))
+        left = texts.join(near.select("text").hint("merge"), "text", "left_anti")
+        near = near.unionByName(best_in_blocks(saved(first_guesses(left, records, often), "left"), ids, least))
+    return by_doi.unionByName(rest.join(near.hint("merge"), "text").select("doc_id", "work_id", "score"))
 
 
 # --- JATS --------------------------------------------------------------------------

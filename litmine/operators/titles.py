@@ -9,13 +9,16 @@ position and count filters then finds every pair.  (Below it grams that must be
 few, and their prefixes would hold the common ones too.)
 Titles whose best record is below HIGH meet all records in blocks; the longest common
 subsequence, found for a block at once, bounds M, and records are compared from the highest bound
-down until no bound reaches the best.
+down until no bound reaches the best.  A title brings the similarity of a record that shares its
+rarest grams along, so blocks without a better one compare next to nothing.
+
+Joins are shuffled, whatever their size: tables that grow with the input don't pass through the driver.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -23,12 +26,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litmine.operators.slices import map_in_slices
+
 #: Similarity from which prefixes of grams of Q characters find all pairs; shorter texts than 1 / (1 - HIGH) are then equal.
 HIGH, Q = 0.95, 4
 #: Titles and records of a block of the second step, about.
-TITLES, RECORDS = 64, 4096
+TITLES, RECORDS = 256, 4096
 #: Records of one gram's list; longer lists are split.
 LIST = 20_000
+#: Rarest grams by which a first record is looked for, and records of one's list at most; a title without such a gram starts from nothing.
+FIRST, FIRST_LIST = 6, 64
+#: Writes a table under a name and reads it back, or hands it on as it is.
+Saved = Callable[[DataFrame, str], DataFrame]
 
 
 def ratio(a: str, b: str) -> float:
@@ -71,7 +80,7 @@ def _prefixes(rows: DataFrame, often: DataFrame, r: float) -> DataFrame:
     ``at`` is a gram's place among the ``size`` of the text, rarest first; the shortest
     partner of n characters has n r / (2 - r).
     """
-    each = rows.select("text", F.explode("grams").alias("gram")).join(often, "gram")
+    each = rows.select("text", F.explode("grams").alias("gram")).join(often.hint("merge"), "gram")
     ordered = each.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("o"))  # a title's own trigrams
     n, size = F.length("text"), F.size("o")
     least = _shared_at_least(n * (1 + r / (2 - r)), r)
@@ -79,16 +88,27 @@ def _prefixes(rows: DataFrame, often: DataFrame, r: float) -> DataFrame:
     return ordered.select("text", n.alias("n"), size.alias("size"), F.posexplode(prefix).alias("at", "gram"))
 
 
-def near_pairs(titles: DataFrame, records: DataFrame, r: float = HIGH) -> DataFrame:
-    """(text, record, score) of the r-similar pairs of distinct texts; ``r`` is HIGH or more.  Equal short texts may be missing."""
-    a, b = (x.select("text", grams(F.col("text")).alias("grams")) for x in (titles, records))
-    often = b.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
-    left, right = _prefixes(a, often, r), _prefixes(b, often, r)
+def _as_is(rows: DataFrame, name: str) -> DataFrame:
+    return rows
+
+
+def frequencies(records: DataFrame) -> DataFrame:
+    """(gram, often): records (grams) that have a gram."""
+    return records.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
+
+
+def near_pairs(titles: DataFrame, records: DataFrame, often: DataFrame, r: float = HIGH, saved: Saved = _as_is) -> DataFrame:
+    """(text, record, score) of the r-similar pairs of distinct texts (text, grams); ``r`` is HIGH or more.  Equal short texts may be missing.
+
+    ``often``: the records' ``frequencies``.
+    """
+    left, right = saved(_prefixes(titles, often, r), "prefixes-of-titles"), saved(_prefixes(records, often, r), "prefixes-of-records")
     parts = right.groupBy("gram").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts"))
+    parts = saved(parts, "parts").hint("merge")
     left = left.join(parts, "gram").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     right = right.join(parts, "gram").withColumn("part", F.pmod(F.xxhash64("text"), "parts").cast("int"))
     right = right.select("gram", "part", F.col("text").alias("record"), F.col("n").alias("m"), F.col("size").alias("theirs"), F.col("at").alias("there"))
-    met = left.join(right, ["gram", "part"])
+    met = left.join(right.hint("merge"), ["gram", "part"])
     # what stands at and after the shared gram in both orders must be enough
     room = F.least(F.col("size") - F.col("at"), F.col("theirs") - F.col("there"))
     fits = (2 * F.least("n", "m") >= r * (F.col("n") + F.col("m"))) & (room >= _shared_at_least(F.col("n") + F.col("m"), r))
@@ -128,46 +148,84 @@ def lcs_bounds(title: str, codes: np.ndarray, of: dict[str, int]) -> np.ndarray:
     return total
 
 
-def _best_of_block(titles: list[str], records: list[str], ids: list, least: float) -> Iterator[tuple[str, int, float]]:
-    """(title, id, similarity) of each title's most similar record of a block, the smallest id of equals; none under ``least``."""
-    of = {c: k for k, c in enumerate(sorted(set("".join(records))))}
-    lengths = np.array([len(x) for x in records])
-    codes = np.full((len(records), int(lengths.max(initial=0))), len(of), np.int32)
-    for row, text in zip(codes, records):
-        row[: len(text)] = [of[c] for c in text]
-    for title in titles:
-        bound = 2 * lcs_bounds(title, codes, of) / (lengths + len(title))
+def first_guesses(titles: DataFrame, records: DataFrame, often: DataFrame) -> DataFrame:
+    """(text, floor) of titles (text, grams): the similarity of the record (text, grams) that shares most of a title's rarest grams; null without one.
+
+    A place to start from only: the best record is as similar at least.
+    """
+    rare = often.filter(F.col("often") <= FIRST_LIST)
+    each = titles.select("text", F.explode("grams").alias("gram")).join(rare.hint("merge"), "gram")
+    ordered = each.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("o"))  # a title's own grams
+    mine = ordered.select("text", F.explode(F.slice(F.transform("o", lambda x: x["gram"]), 1, FIRST)).alias("gram"))
+    theirs = records.select(F.col("text").alias("record"), F.explode("grams").alias("gram")).join(rare.select("gram").hint("merge"), "gram")
+    shared = mine.join(theirs.hint("merge"), "gram").groupBy("text", "record").agg(F.count("*").alias("k"))
+    one = shared.groupBy("text").agg(F.max_by("record", F.struct("k", "record")).alias("record"))
+
+    def score(texts: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([ratio(x, y) for x, y in zip(texts, others)], dtype=float)
+
+    floors = one.select("text", F.pandas_udf(score, "double")("text", "record").alias("floor"))
+    return titles.select("text").join(floors.hint("merge"), "text", "left")
+
+
+class _Block:
+    """Records of a block as rows of characters."""
+
+    def __init__(self, records: list[str], ids: list):
+        self.records, self.ids = records, ids
+        self.of = {c: k for k, c in enumerate(sorted(set("".join(records))))}
+        self.lengths = np.array([len(x) for x in records])
+        self.codes = np.full((len(records), int(self.lengths.max(initial=0))), len(self.of), np.int32)
+        for row, text in zip(self.codes, records):
+            row[: len(text)] = [self.of[c] for c in text]
+
+    def best(self, title: str, least: float) -> tuple[int, float] | None:
+        """(id, similarity) of the most similar record, the smallest id of equals; None under ``least``."""
+        fits = np.flatnonzero(2 * np.minimum(self.lengths, len(title)) / (self.lengths + len(title)) >= least)
+        codes = self.codes[fits, : int(self.lengths[fits].max(initial=0))]
+        bound = 2 * lcs_bounds(title, codes, self.of) / (self.lengths[fits] + len(title))
         best, at = least, None
         for k in np.argsort(-bound, kind="stable"):
             if bound[k] < best:
                 break
-            score = ratio(title, records[k])
-            if score > best or score == best and (at is None or ids[k] < at):
-                best, at = score, ids[k]
-        if at is not None:
-            yield title, at, best
+            score = ratio(title, self.records[fits[k]])
+            if score > best or score == best and (at is None or self.ids[fits[k]] < at):
+                best, at = score, self.ids[fits[k]]
+        return None if at is None else (at, best)
 
 
 def best_in_blocks(titles: DataFrame, records: DataFrame, least: float) -> DataFrame:
-    """(text, work_id, score): each title's most similar record (text, work_id) of ``least`` or more, from all records.
+    """(text, work_id, score): the most similar record (text, work_id) of ``least`` or more of each title (text, floor), from all records.
 
-    A block of titles meets each block of records; a row for each title and block is all that leaves it.
+    ``floor``: a similarity that some record is known to have, or null.  A block of titles
+    meets each block of records; a row for each title and block is all that leaves it.
     """
     n, m = titles.count(), records.count()
-    n_blocks, m_blocks = max(1, -(-n // TITLES)), max(1, -(-m // RECORDS))
-    block = lambda k: F.pmod(F.xxhash64("text"), F.lit(k))
-    left = titles.groupBy(block(n_blocks).alias("t")).agg(F.collect_list("text").alias("titles"))  # about TITLES
-    left = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(m_blocks - 1))))
-    right = records.groupBy(block(m_blocks).cast("int").alias("b")).agg(F.collect_list(F.struct("text", "work_id")).alias("records"))  # about RECORDS
+    cores = titles.sparkSession.sparkContext.defaultParallelism
+    n_blocks, m_blocks = max(1, -(-n // TITLES), min(-(-n // 16), 4 * cores)), max(1, -(-m // RECORDS))
+    # with few blocks of records there are copies of them, so that all cores have some
+    copies = max(1, min(n_blocks, -(-4 * cores // m_blocks)))
+    parts = m_blocks * copies
+    block = lambda k: F.pmod(F.xxhash64("text"), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = titles.groupBy(block(n_blocks).alias("t")).agg(F.collect_list(F.struct("text", F.greatest(F.coalesce("floor", F.lit(least)), F.lit(least)).alias("floor"))).alias("titles"))  # about TITLES
+    left = left.select(F.pmod("t", F.lit(copies)).alias("c"), "titles", each(m_blocks).alias("b")).repartition(parts, "b", "c")
+    right = records.groupBy(block(m_blocks).alias("b")).agg(F.collect_list(F.struct("text", "work_id")).alias("records"))  # about RECORDS
+    right = right.select("b", each(copies).alias("c"), "records").repartition(parts, "b", "c")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, now = None, None
         for rows in batches:
-            out = [x for t, r in zip(rows["titles"], rows["records"]) for x in _best_of_block(list(t), [x["text"] for x in r], [x["work_id"] for x in r], least)]
+            out = []
+            for b, mine, theirs in zip(rows["b"], rows["titles"], rows["records"]):
+                if b != at:
+                    at, now = b, _Block([x["text"] for x in theirs], [x["work_id"] for x in theirs])
+                out += [(x["text"], *found) for x in mine if (found := now.best(x["text"], x["floor"]))]
             yield pd.DataFrame(out, columns=["text", "work_id", "score"])
 
     kind = records.schema["work_id"].dataType.simpleString()
-    found = left.join(right, "b").select("titles", "records").mapInPandas(compare, f"text string, work_id {kind}, score double")
-    return best_of(found, "text")
+    met = left.join(right.hint("merge"), ["b", "c"]).select("b", "titles", "records")
+    return best_of(map_in_slices(met, compare, f"text string, work_id {kind}, score double"), "text")
 
 
 def best_of(found: DataFrame, key: str) -> DataFrame:

@@ -163,7 +163,7 @@ def _(spark, d):
     quoted = F.when(k != 0, F.regexp_replace(cut, "[aou](.{6})", "$1e")).otherwise(cut)
     titles = pages.select(F.col("page_id").alias("doc_id"), quoted.alias("title"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("10.1/"), "page_id")).alias("doi"))
     works = pages.select(F.col("page_id").alias("work_id"), F.concat(F.lit("10.1/"), "page_id").alias("doi"), "title")
-    return C.match_title_to_works(titles, works)
+    return C.match_title_to_works(titles, works, shared=shared_folder(spark))
 
 
 @query("c03_extract_toc", r"SELECT page_id, len(regexp_extract_all(html, '(?is)<h1[^>]*>')) AS n FROM pages WHERE contains(html, '<h1')")

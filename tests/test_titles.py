@@ -65,6 +65,34 @@ def test_doi_comes_first(spark):
     assert {tuple(r) for r in match_title_to_works(t, w).collect()} == {(1, 8, 1.0), (2, 7, 1.0), (3, 7, 1.0)}
 
 
+def test_no_table_passes_through_the_driver(spark, monkeypatch):
+    """Whatever the sizes, nothing of the titles or works is broadcast, in any of the jobs."""
+    monkeypatch.setattr(T, "RECORDS", 16)
+    plans = []
+    monkeypatch.setattr(T, "best_of", lambda found, key, f=T.best_of: (plans.append(found), f(found, key))[1])
+    t = spark.createDataFrame([(k, " ".join(WORDS[k : k + 5]) + "xxxx", None) for k in range(12)], "doc_id long, title string, doi string")
+    w = spark.createDataFrame([(k, " ".join(WORDS[k : k + 5]), None) for k in range(12)], "work_id long, title string, doi string")
+    done = match_title_to_works(t, w)
+    assert done.count() == 12
+    for rows in (done, *plans):
+        rows.collect()
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_below_the_floor_are_not_compared(monkeypatch):
+    compared = []
+    monkeypatch.setattr(T, "ratio", lambda a, b, f=T.ratio: (compared.append(b), f(a, b))[1])
+    rng = random.Random(2)
+    records = [" ".join(rng.sample(WORDS, 6)) for _ in range(200)]
+    block = T._Block(records, list(range(200)))
+    title = misspelt(rng, records[77], 3)
+    known = SequenceMatcher(None, title, records[77]).ratio()
+    assert block.best(title, known) == block.best(title, 0.0) == (77, known)
+    compared.clear()
+    assert block.best(title, known) == (77, known) and len(compared) < 5
+    assert block.best(title, 0.99) is None
+
+
 @pytest.mark.parametrize("length", [5, 64, 65, 200])
 def test_bounds_hold(length):
     rng = random.Random(length)
