@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litmine.functions.scalars import MARKER, is_chrome_sentence, is_non_factual, normalize_text, parse_markers, strip_markers
-from litmine.operators.chunking import similarity
 from litmine.operators.retrieval import lexical_scorer
 
 FLOOR, MARGIN = 0.0, 1.0
@@ -51,59 +52,109 @@ def words_of(c: Column) -> Column:
     return F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
 
 
-def verbatim_match(claims: DataFrame, sources: DataFrame, least: float = 0.90) -> DataFrame:
+def _with_pairs(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``pairs``: neighbouring words of a normalised text, as strings."""
+    w = rows.withColumn("w", F.filter(F.split(text, " "), lambda x: x != "")).withColumn("n", F.greatest(F.size("w") - 1, F.lit(0)))
+    return w.withColumn("pairs", F.zip_with(F.slice("w", F.lit(1), F.col("n")), F.slice("w", F.lit(2), F.col("n")), lambda a, b: F.concat(a, F.lit(" "), b))).drop("w", "n")
+
+
+def _inside(short: DataFrame, long: DataFrame, x: str, y: str) -> DataFrame:
+    """(question_id, x, y): texts of six words or more that are a piece of another of their question.
+
+    Words of a piece but its first and last are words of the other as they are, so its longest
+    pair of neighbours among them is one of the other's: they are joined by that, then compared.
+    Exploded words are many times their file, so no join here is left to be broadcast by its size.
+    """
+    inner = F.transform(F.slice("pairs", F.lit(2), F.size("pairs") - 2), lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))
+    asked = _with_pairs(short.select("question_id", x), x).select("question_id", x, F.array_max(inner)["p"].alias("key"))
+    there = _with_pairs(long.select("question_id", y), y).select("question_id", y, F.explode(F.array_distinct("pairs")).alias("key"))
+    return asked.join(there.hint("merge"), ["question_id", "key"]).filter(F.contains(y, F.col(x))).select("question_id", "x", "y")
+
+
+def _ratio_if(least: float) -> Callable[[pd.Series, pd.Series], pd.Series]:
+    """Similarities; 0 where the characters in common already are too few for ``least``."""
+
+    def one(a: str, b: str) -> float:
+        m = SequenceMatcher(None, a, b)
+        return m.ratio() if m.quick_ratio() >= least else 0.0
+
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
+
+    return ratios
+
+
+def verbatim_match(claims: DataFrame, sources: DataFrame, least: float = 0.90, shared: str | None = None) -> DataFrame:
     """(question_id, ord, chunk_id, ratio): claims of six words or more that a source sentence has, holds or nearly equals.
 
     Source sentences have six words or more as well.  Of equally good chunks the first by
-    the number in its id, then by id, counts.
+    the number in its id, then by id, counts.  Distinct texts of a question are compared, and
+    by similarity only claims that no sentence has or holds.  ``shared``: a new folder that
+    all executors share; what several steps read is then written there, each made once.
     """
+    saved = functools.partial(_saved, shared)
     c = claims.filter(words_of(F.col("sentence")) >= 6).select("question_id", "ord", normalize_text(F.col("sentence")).alias("x"))
     said = sources.select("question_id", "chunk_id", F.explode(F.split("chunk_text", r"(?<=[.!?])\s+")).alias("sentence"))
     s = said.filter(words_of(F.col("sentence")) >= 6).select("question_id", "chunk_id", normalize_text(F.col("sentence")).alias("y"))
-    pairs = c.join(s, "question_id")
-    inside = F.contains("y", F.col("x")) | F.contains("x", F.col("y"))
-    near = pairs.filter(inside).select("question_id", "ord", "chunk_id", F.lit(1.0).alias("ratio"))
+    number = F.coalesce(F.regexp_extract("chunk_id", "([0-9]+)", 1).try_cast("long"), F.lit(0)).alias("number")
+    s = saved(s.groupBy("question_id", "y").agg(F.min(F.struct(number, "chunk_id")).alias("first")), "said")
+    texts = c.select("question_id", "x").distinct()
+    held = _inside(texts, s, "x", "y").unionByName(_inside(s, texts, "y", "x"))
+    near = held.join(s.hint("merge"), ["question_id", "y"]).groupBy("question_id", "x").agg(F.min("first").alias("first"))
+    near = saved(near.select("question_id", "x", "first", F.lit(1.0).alias("ratio")), "held")
+    pairs = texts.join(near.select("question_id", "x").hint("merge"), ["question_id", "x"], "left_anti").join(s.hint("merge"), "question_id")
     la, lb = F.length("x"), F.length("y")
-    rest = pairs.filter(~inside & (2 * F.least(la, lb) >= least * (la + lb))).withColumn("ratio", similarity(F.col("x"), F.col("y"))).filter(F.col("ratio") >= least)
+    rest = pairs.filter(2 * F.least(la, lb) >= least * (la + lb)).withColumn("ratio", F.pandas_udf(_ratio_if(least), "double")("x", "y")).filter(F.col("ratio") >= least)
     both = near.unionByName(rest.select(near.columns))
-    number = F.coalesce(F.regexp_extract("chunk_id", "([0-9]+)", 1).try_cast("long"), F.lit(0)).alias("number")
-    return both.groupBy("question_id", "ord").agg(F.min_by("chunk_id", F.struct(-F.col("ratio"), number, "chunk_id")).alias("chunk_id"), F.max("ratio").alias("ratio"))
+    best = both.groupBy("question_id", "x").agg(F.min_by("first", F.struct(-F.col("ratio"), "first"))["chunk_id"].alias("chunk_id"), F.max("ratio").alias("ratio"))
+    return c.join(best.hint("merge"), ["question_id", "x"]).select("question_id", "ord", "chunk_id", "ratio")
+
 
+def _saved(shared: str | None, rows: DataFrame, name: str) -> DataFrame:
+    if shared is None:
+        return rows
+    rows.write.parquet(f"{shared}/{name}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{shared}/{name}")
 
-def attribute_sentences(answers: DataFrame, sources: DataFrame, scorer: Callable[[Column, Column], Column] = lexical_scorer, floor: float = FLOOR, margin: float = MARGIN) -> DataFrame:
+
+def attribute_sentences(answers: DataFrame, sources: DataFrame, scorer: Callable[[Column, Column], Column] = lexical_scorer, floor: float = FLOOR, margin: float = MARGIN, shared: str | None = None) -> DataFrame:
     """(question_id, ord, sentence, end, chunk_id, score): the source of each claim of an answer.
 
     Headings, claims under eight words and refusals have none.  A verbatim match counts
-    1; else the best chunk counts if its score reaches ``floor`` or beats the mean by
-    ``margin``.  A chunk that was used gives way to the best unused one, unless it is
-    better by ``margin``.
+    1, and such a claim meets no other chunk; else the best chunk counts if its score reaches
+    ``floor`` or beats the mean by ``margin``.  A chunk that was used gives way to the best
+    unused one, unless it is better by ``margin``.  ``shared``: as for ``verbatim_match``.
     """
     s = sentences(answers.withColumn("answer", strip_markers(F.col("answer"))), "answer", "question_id")
-    claims = s.filter((words_of(F.col("sentence")) >= 8) & ~F.col("sentence").startswith("#") & ~is_non_factual(F.col("sentence")))
-    exact = verbatim_match(claims, sources).select("question_id", "ord", F.col("chunk_id").alias("exact_id"))
-    pairs = claims.join(sources.select("question_id", "chunk_id", "chunk_text"), "question_id")
-    pairs = pairs.withColumn("score", scorer(F.col("sentence"), F.col("chunk_text"))).join(exact, ["question_id", "ord"], "left")
+    claims = _saved(shared, s.filter((words_of(F.col("sentence")) >= 8) & ~F.col("sentence").startswith("#") & ~is_non_factual(F.col("sentence"))), "claims")
+    exact = verbatim_match(claims, sources, shared=shared).select("question_id", "ord", F.col("chunk_id").alias("exact_id"))
+    claims = _saved(shared, claims.join(exact.hint("merge"), ["question_id", "ord"], "left").select("question_id", "ord", "sentence", "end", "exact_id"), "exact")
+    pairs = claims.filter("exact_id IS NULL").join(sources.select("question_id", "chunk_id", "chunk_text").hint("merge"), "question_id")
+    pairs = pairs.withColumn("score", scorer(F.col("sentence"), F.col("chunk_text")).cast("double"))
+    sure = claims.filter("exact_id IS NOT NULL").withColumns({"chunk_id": F.col("exact_id"), "score": F.lit(1.0)})
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
+        rows = rows.sort_values(["ord", "score", "chunk_id"], ascending=[True, False, True])
+        ords, scores = rows["ord"].to_numpy(), rows["score"].to_numpy()
+        chunks, exact, said, ends = (rows[c].tolist() for c in ("chunk_id", "exact_id", "sentence", "end"))
+        starts = np.flatnonzero(np.concatenate([[True], ords[1:] != ords[:-1]])).tolist()
+        question, used = rows["question_id"].iloc[0], set()
         out = []
-        for n, group in rows.groupby("ord", sort=True):
-            group = group.sort_values(["score", "chunk_id"], ascending=[False, True])
-            top, mean = group.iloc[0], group["score"].mean()
-            if isinstance(top["exact_id"], str):
-                chunk, score = top["exact_id"], 1.0
-            elif top["score"] >= floor or top["score"] - mean >= margin:
-                chunk, score = top["chunk_id"], top["score"]
-                fresh = group[~group["chunk_id"].isin(used)]
-                if chunk in used and len(fresh) and score - fresh.iloc[0]["score"] < margin:
-                    chunk, score = fresh.iloc[0]["chunk_id"], fresh.iloc[0]["score"]
-            else:
-                continue
+        for a, b in zip(starts, [*starts[1:], len(rows)]):
+            chunk, score = chunks[a], scores[a]
+            if not isinstance(exact[a], str):
+                if not (score >= floor or score - rows["score"].iloc[a:b].mean() >= margin):
+                    continue
+                if chunk in used:
+                    fresh = next((k for k in range(a, b) if chunks[k] not in used), None)
+                    if fresh is not None and score - scores[fresh] < margin:
+                        chunk, score = chunks[fresh], scores[fresh]
             used.add(chunk)
-            out.append((top["question_id"], n, top["sentence"], top["end"], chunk, float(score)))
+            out.append((question, ords[a], said[a], ends[a], chunk, score))
         return pd.DataFrame(out, columns=["question_id", "ord", "sentence", "end", "chunk_id", "score"])
 
-    flat = pairs.select("question_id", "ord", "sentence", "end", "chunk_id", "score", "exact_id")
+    columns = ["question_id", "ord", "sentence", "end", "chunk_id", "score", "exact_id"]
+    flat = pairs.select(columns).unionByName(sure.select(columns))
     return flat.groupBy("question_id").applyInPandas(choose, "question_id long, ord int, sentence string, end int, chunk_id string, score double")
 
 

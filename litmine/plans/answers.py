@@ -231,12 +231,12 @@ def sources(spark, d):
 
 @query("a05_verbatim_match")
 def _(spark, d):
-    return A.verbatim_match(A.sentences(answers(spark, d), "answer", "question_id"), sources(spark, d))
+    return A.verbatim_match(A.sentences(answers(spark, d), "answer", "question_id"), sources(spark, d), shared=shared_folder(spark))
 
 
 @query("a08_attribute_sentences")
 def _(spark, d):
-    return A.attribute_sentences(answers(spark, d), sources(spark, d)).select("question_id", "ord", "chunk_id", "score")
+    return A.attribute_sentences(answers(spark, d), sources(spark, d), shared=shared_folder(spark)).select("question_id", "ord", "chunk_id", "score")
 
 
 @query("a09_best_sentence")

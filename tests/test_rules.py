@@ -1,6 +1,8 @@
 """Operators that SQL can't express, against rules written out by hand and plain versions on small tables."""
 
 import random
+import re
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +59,47 @@ def test_verbatim_match_takes_the_first_of_equals(spark):
     assert [(r.ord, r.chunk_id, r.ratio) for r in citations.verbatim_match(claims, sources).collect()] == [(0, "c9", 1.0)]
 
 
+def test_verbatim_match_equals_all_pairs(spark):
+    """Pieces of sentences cut anywhere, also inside words, whole ones, near ones and others, on both sides; some conversations repeat themselves."""
+    rng = random.Random(8)
+    words = "the leaf oil of basil holds much linalool and thymol in rich old samples grown near warm coasts".split()
+    said, asked = [], []
+    for q in range(6):
+        lines = [" ".join(rng.choices(words, k=rng.randint(6, 14))) for _ in range(12)]
+        lines += lines[:3]
+        said += [(q, f"c{k}", "  ".join([f"{x}." for x in lines[k : k + 3]])) for k in range(0, 15, 3)]
+        for n, x in enumerate([*lines, *lines]):
+            a, b = rng.randint(0, 6), len(x) - rng.randint(0, 6)
+            cut = (x, x[a:b], f"in short {x}. and more", x.replace("a", "e", 1), x.upper(), " ".join(rng.choices(words, k=7)), f"\t{x[a:b]}\n")[rng.randrange(7)]
+            asked.append((q, n, cut))
+    claims = spark.createDataFrame(asked, "question_id long, ord int, sentence string")
+    sources = spark.createDataFrame(said, "question_id long, chunk_id string, chunk_text string")
+    plain = lambda x: re.sub(r"\s+", " ", x.strip(" ").lower())
+    want = {}
+    for q, n, x in asked:
+        if len(x.split()) < 6:
+            continue
+        for p, chunk, text in said:
+            for y in re.split(r"(?<=[.!?])\s+", text) if p == q else ():
+                if len(y.split()) >= 6:
+                    a, b = plain(x), plain(y)
+                    r = 1.0 if a in b or b in a else SequenceMatcher(None, a, b).ratio()
+                    if r >= 0.9:
+                        want[q, n] = min(want.get((q, n), (0.0, 0)), (-r, int(chunk[1:])))
+    got = {(r.question_id, r.ord): (-r.ratio, int(r.chunk_id[1:])) for r in citations.verbatim_match(claims, sources).collect()}
+    assert got == want and sum(r == -1.0 for r, _ in got.values()) > 30 and any(r > -1.0 for r, _ in got.values())
+
+
+def test_claims_with_a_verbatim_match_are_not_scored(spark):
+    said = "The leaves of this basil hold very much linalool indeed."
+    other = "These eight words are not in any source."
+    answers = spark.createDataFrame([(1, f"{said} {other}")], "question_id long, answer string")
+    sources = spark.createDataFrame([(1, f"c{k}", f"{said} Short.") for k in range(3)], "question_id long, chunk_id string, chunk_text string")
+    scored = lambda a, b: F.when(a == other, F.lit(0.5)).otherwise(F.raise_error(F.lit("scored")).cast("double"))
+    got = citations.attribute_sentences(answers, sources, scored)
+    assert sorted((r.ord, r.chunk_id, r.score) for r in got.collect()) == [(0, "c0", 1.0), (1, "c1", 0.5)]
+
+
 def test_diversify(spark):
     texts = ["alpha beta gamma delta", "alpha beta gamma epsilon", "Alpha", "alpha!", "", "zeta eta theta"]
     rows = [(1, k, t, k + 1) for k, t in enumerate(texts)]
