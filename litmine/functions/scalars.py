@@ -304,7 +304,8 @@ def relevance_bucket(score: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    # bound by a lambda, the norm is computed once, not for each element
+    return F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))[0]
 
 
 def dot(a: Column, b: Column) -> Column:

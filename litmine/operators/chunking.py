@@ -10,7 +10,10 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -363,35 +366,89 @@ def dedupe_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.filter(plain != "").withColumn("_h", F.md5(plain)).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_h", "_n")
 
 
-def semantic_groups(sentences: DataFrame, shared: str, amount: float = 1.5) -> DataFrame:
+def semantic_groups(sentences: DataFrame, shared: str, amount: float = 1.5, vectors: bool = True) -> DataFrame:
     """``sentences`` (doc_id, ord, sentence, embedding) plus distance to the sentence before and ``part``: a new
     one where it is above the document's mean by ``amount`` standard deviations.
 
     Sentences are cut into ranges of (doc_id, ord), so that a document with very many
-    takes several tasks; a range gets the vector before it and the parts begun before it,
-    one row each.  A sentence without a vector, and the one after it, has no distance and
-    begins no part.  Three tables go to ``shared``, a folder that all executors share: first the
-    sentences, which are read twice, to find the ranges and to cut them.
+    takes several tasks; vectors are shuffled that once, and a range is walked in its order. Its first
+    sentence gets its distance afterwards, from the last vector of the range before, and a range the
+    parts begun before it, one row each.  A sentence without a vector, and the one after it, has no
+    distance and begins no part.  Two tables go to ``shared``, a folder that all executors share: first the
+    sentences, which are read twice, to find the ranges and to cut them.  ``vectors``: the result has the embedding.
     """
-    spark, ranges, steps = sentences.sparkSession, f"{shared}/ranges", f"{shared}/distances"
+    spark, ranges = sentences.sparkSession, f"{shared}/ranges"
     sentences.write.mode("overwrite").parquet(f"{shared}/sentences")
-    cut = spark.read.parquet(f"{shared}/sentences").withColumn("_u", l2_normalize(F.col("embedding"))).repartitionByRange("doc_id", "ord")
-    cut.withColumn("_range", F.spark_partition_id()).write.mode("overwrite").parquet(ranges)
+    cut = spark.read.parquet(f"{shared}/sentences").repartitionByRange("doc_id", "ord").sortWithinPartitions("doc_id", "ord")
+    cut = cut.withColumn("_s", F.arrow_udf(_walked, "struct<distance:double,edge:int>")("doc_id", "embedding"))
+    edge, kept = F.col("_s")["edge"], [c for c in sentences.columns if vectors or c != "embedding"]
+    cut = cut.select(*kept, F.spark_partition_id().alias("_range"), F.col("_s")["distance"].alias("distance"), edge.alias("_edge"), F.when(edge > 0, F.col("embedding")).alias("_end"))
+    cut.write.mode("overwrite").parquet(ranges)
     rows = spark.read.parquet(ranges)
-    here, along = Window.partitionBy("doc_id", "_range").orderBy("ord"), Window.partitionBy("doc_id").orderBy("_range")
-    ends = rows.groupBy("doc_id", "_range").agg(F.max_by(F.struct("_u"), "ord").alias("_end"))
-    before = ends.withColumn("_before", F.lag("_end").over(along)["_u"]).filter("_before IS NOT NULL")
-    rows = _with_range(rows, before, "_before").withColumn("_last", F.when(F.row_number().over(here) == 1, F.col("_before")).otherwise(F.lag("_u").over(here)))
-    rows.withColumn("distance", 1 - dot(F.col("_last"), F.col("_u"))).drop("_u", "_before", "_last").write.mode("overwrite").parquet(steps)
-    rows = spark.read.parquet(steps)
+    along, first = Window.partitionBy("doc_id").orderBy("_range"), F.col("_edge").bitwiseAND(F.lit(FIRST)) > 0
+    ends = rows.filter("_edge > 0").select("doc_id", "_range", "_end", F.explode(F.when(F.col("_edge") == FIRST + LAST, F.array(F.lit(FIRST), F.lit(LAST))).otherwise(F.array("_edge"))).alias("_edge"))
+    ends = ends.withColumn("_end", l2_normalize(F.col("_end"))).withColumn("_before", F.lag("_end").over(Window.partitionBy("doc_id").orderBy("_range", "_edge"))).filter(first)
+    rows = _with_range(rows, ends.withColumn("_far", 1 - dot(F.col("_before"), F.col("_end"))), "_far")
+    rows = rows.withColumn("distance", F.when(first, F.col("_far")).otherwise(F.col("distance"))).drop("_edge", "_end", "_far")
     of = rows.groupBy("doc_id").agg((F.avg("distance") + amount * F.coalesce(F.stddev_pop("distance"), F.lit(0.0))).alias("_limit"))
     limits = of.alias("of").join(rows.select("doc_id", "_range").distinct().alias("r"), F.expr("of.doc_id <=> r.doc_id")).select("r.doc_id", "_range", "_limit")
     rows = _with_range(rows, limits, "_limit", few=False).withColumn("_new", F.coalesce((F.col("distance") > F.col("_limit")).cast("int"), F.lit(0)))
     begun = rows.groupBy("doc_id", "_range").agg(F.sum("_new").alias("_n"))
     earlier = begun.withColumn("_earlier", F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1))).filter("_earlier > 0")
+    here = Window.partitionBy("doc_id", "_range").orderBy("ord")
     return _with_range(rows, earlier, "_earlier").withColumn("part", F.sum("_new").over(here) + F.coalesce("_earlier", F.lit(0))).drop("_range", "_limit", "_new", "_earlier")
 
 
+#: Places of a row in its range, added up if it has both.
+FIRST, LAST = 1, 2
+
+
+def _walked(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """STRUCT<distance, edge> of a task's rows (document, vector) in their order: the distance to the row before if
+    that is of the document, and FIRST and LAST of the task."""
+    held, before = None, None
+    for docs, vectors in parts:
+        if not len(docs):
+            continue
+        edge = np.zeros(len(docs), np.int32)
+        if held is None:
+            edge[0] = FIRST
+        else:
+            yield _steps(*held)
+        mine = (docs, vectors) if before is None else (pa.concat_arrays([before[0], docs]), pa.concat_arrays([before[1], vectors]))
+        far, known = _distances(*mine)
+        held = (far, known, edge) if before is not None else (np.append(0.0, far), np.append(False, known), edge)
+        at = pa.array([len(docs) - 1])
+        before = docs.take(at), vectors.take(at)  # a copy: a slice would keep its batch
+    if held is not None:
+        held[2][-1] += LAST
+        yield _steps(*held)
+
+
+def _steps(far: np.ndarray, known: np.ndarray, edge: np.ndarray) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(far, mask=~known), pa.array(edge)], ["distance", "edge"])
+
+
+def _distances(docs: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each row but the first its distance to the one before, and if it has one: not without two vectors of equal
+    length, without nulls, of one document.  The steps are those of ``l2_normalize`` and ``dot``, sums in the same order."""
+    a, b = docs.slice(0, len(docs) - 1), docs.slice(1)
+    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts, flat, row = np.append(0, np.cumsum(lengths)), vectors.flatten(), np.repeat(np.arange(len(lengths)), lengths)
+    values = flat.to_numpy(zero_copy_only=False).astype(float)
+    there = vectors.is_valid().to_numpy(zero_copy_only=False).copy()
+    there[row[flat.is_null().to_numpy(zero_copy_only=False)]] = False
+    norm = np.sqrt(np.bincount(row, values * values, len(lengths)))
+    values /= np.where(norm > 0, norm, 1.0)[row]
+    known = same & there[:-1] & there[1:] & (lengths[:-1] == lengths[1:])
+    at = np.flatnonzero(known)
+    n = lengths[at]
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    products = values[np.repeat(starts[at], n) + place] * values[np.repeat(starts[at + 1], n) + place]
+    return 1 - np.bincount(np.repeat(at, n), products, len(known)), known
+
+
 def _with_range(rows: DataFrame, of: DataFrame, column: str, few: bool = True) -> DataFrame:
     """``rows`` with a column of ``of``, by document and range; ``few``: no more rows than there are ranges."""
     there = of.select(F.col("doc_id").alias("_doc"), F.col("_range").alias("_r"), column)
@@ -401,7 +458,7 @@ def _with_range(rows: DataFrame, of: DataFrame, column: str, few: bool = True) -
 
 def semantic_split(sentences: DataFrame, shared: str, size: int = CHILD[0], overlap: int = CHILD[1]) -> DataFrame:
     """Chunks (doc_id, part, k, chunk) of semantic parts; short ones go, long ones are cut again."""
-    parts = semantic_groups(sentences, shared).groupBy("doc_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
+    parts = semantic_groups(sentences, shared, vectors=False).groupBy("doc_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
     parts.filter(F.length("text") >= MIN_CHUNK).write.mode("overwrite").parquet(f"{shared}/parts")
     parts = sentences.sparkSession.read.parquet(f"{shared}/parts")  # made once for both kinds
     short = parts.filter(F.length("text") <= 2 * size).select("doc_id", "part", F.lit(0).alias("k"), F.col("text").alias("chunk"))

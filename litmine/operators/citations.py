@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,9 @@ FLOOR, MARGIN = 0.0, 1.0
 ABBREVIATIONS = {"al", "fig", "eq", "sp", "spp", "var", "cf", "eg", "ie", "e.g", "i.e", "vs", "no", "ref", "etc"}
 _GAP = r"[^\S\n]"
 _OPEN = "".join(f"(?<!{edge}{w})" for w in ["[A-ZÀ-ÖØ-Þ]", *(f"(?i:{re.escape(x)})" for x in sorted(ABBREVIATIONS))] for edge in (r"\s", "^"))
-#: A list item or heading, else a run of a line up to a stop that ends a sentence, or up to the line's end.
-_UNIT = re.compile(rf"^{_GAP}*(?:[-*+]|\d+[.)]|#{{1,6}}){_GAP}[^\n]*|[^\n]+?(?:(?=[.!?]){_OPEN}[.!?](?:{_GAP}+|$)|$)", re.MULTILINE)
+_STOP = rf"{_OPEN}[.!?](?:{_GAP}+|$)"
+#: A list item or heading, else a run of a line up to a stop that ends a sentence, or up to the line's end.  Only stops are looked at one by one.
+_UNIT = re.compile(rf"^{_GAP}*(?:[-*+]|\d+[.)]|#{{1,6}}){_GAP}[^\n]*|[^\n][^\n.!?]*+(?:(?!{_STOP})[.!?][^\n.!?]*+)*+(?:{_STOP}|$)", re.MULTILINE)
 
 
 def sentence_spans(text: str) -> list[tuple[str, int, int]]:
@@ -33,14 +35,17 @@ def sentence_spans(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].strip(), *m.span()) for m in _UNIT.finditer(text or "") if m[0].strip()]
 
 
-def _split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _split(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        yield batch.map(lambda t: [{"text": s, "start": a, "end": b} for s, a, b in sentence_spans(t or "")])
+        each = [sentence_spans(t) for t in batch.to_pylist()]
+        found = [[x[k] for spans in each for x in spans] for k in range(3)]
+        units = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.string(), pa.int32(), pa.int32()))], ["text", "start", "end"])
+        yield pa.ListArray.from_arrays(np.append(0, np.cumsum([len(spans) for spans in each])).astype(np.int32), units)
 
 
 def split_sentences(text: Column) -> Column:
     """ARRAY<STRUCT<text, start, end>>."""
-    return F.pandas_udf(_split, "array<struct<text:string,start:int,end:int>>")(text)
+    return F.arrow_udf(_split, "array<struct<text:string,start:int,end:int>>")(text)
 
 
 def sentences(rows: DataFrame, text: str, *keep: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,27 +39,31 @@ def embed(rows: DataFrame, embedder: Embedder, text: str = "text", out: str = "e
     The embedder is any function of a list of texts; it is sent to the workers, which call it.
     """
 
-    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
+    def vectors(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            texts = part.to_pylist()
             found: list = [None] * len(texts)
             at = [i for i, t in enumerate(texts) if t is not None and t.strip()]
             for lo in range(0, len(at), batch):
                 some = at[lo : lo + batch]
-                for i, v in zip(some, embedder([texts.iloc[i] for i in some])):
+                made = embedder([texts[i] for i in some])
+                made = made.astype(np.float32) if isinstance(made, np.ndarray) else made  # all at once
+                for i, v in zip(some, made):
                     found[i] = np.asarray(v, np.float32)
-            yield pd.Series(found, dtype=object)
+            none = np.array([v is None for v in found], bool)
+            ends = np.cumsum([0 if v is None else len(v) for v in found], dtype=np.int32)
+            flat = np.concatenate([np.empty(0, np.float32), *(v for v in found if v is not None)])
+            yield pa.ListArray.from_arrays(np.append(np.int32(0), ends), pa.array(flat, from_pandas=True), mask=pa.array(none))
 
-    return rows.withColumn(out, F.pandas_udf(vectors, "array<float>")(F.col(f"`{text}`")))
+    return rows.withColumn(out, F.arrow_udf(vectors, "array<float>")(F.col(f"`{text}`")))
 
 
 def hashing_embedder(texts: list[str], dimensions: int = 64) -> "np.ndarray":
     """Signed counts of words hashed into ``dimensions``, of unit length: an embedder without a model."""
-    import zlib
-
     words = [re.findall(r"\w+", text.lower()) for text in texts]
-    hashes = {w: zlib.crc32(w.encode()) for w in set().union(*words)}  # each word of a batch once
-    h = np.array([hashes[w] for ws in words for w in ws], np.int64)
-    at = np.repeat(np.arange(len(texts)), [len(ws) for ws in words]) * dimensions + h % dimensions
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    h = np.fromiter(map(zlib.crc32, map(str.encode, itertools.chain.from_iterable(words))), np.int64, n.sum())
+    at = np.repeat(np.arange(len(texts)), n) * dimensions + h % dimensions
     out = np.bincount(at, np.where(h >> 31, 1.0, -1.0), len(texts) * dimensions).reshape(len(texts), dimensions)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-30)
 

@@ -1,12 +1,15 @@
 """Semantic parts of documents that take several tasks."""
 
 import random
+import time
 import uuid
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from litmine.functions import scalars
 from litmine.operators import chunking, retrieval
 
 
@@ -62,3 +65,39 @@ def test_each_sentence_is_embedded_once(spark, tmp_path):
     rows = spark.createDataFrame([(k % 3, k, f"w{k}") for k in range(30)], "doc_id long, ord int, sentence string")
     chunking.semantic_split(retrieval.embed(rows, embedder, "sentence"), str(tmp_path / "shared")).collect()
     assert len(list(seen.iterdir())) == 30
+
+def test_long_vectors(spark, tmp_path):
+    """The norm of a vector is taken once, not for each of its elements (that took minutes here)."""
+    rng = np.random.default_rng(4)
+    rows = [(k % 3, k, rng.normal(size=2000).tolist()) for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id int, ord int, embedding array<float>").withColumn("sentence", F.lit("x"))
+    start = time.monotonic()
+    got = {(r.doc_id, r.ord): r.part for r in chunking.semantic_groups(df, str(tmp_path)).select("doc_id", "ord", "part").collect()}
+    norms = df.select(scalars.l2_normalize(F.col("embedding")).alias("u")).select(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x).alias("n")).collect()
+    assert time.monotonic() - start < 45
+    assert got == plain([(doc, n, np.array(e, np.float32).astype(float)) for doc, n, e in rows])
+    assert all(abs(r.n - 1) < 1e-9 for r in norms)
+
+
+def test_vectors_without_a_distance(spark, tmp_path):
+    """Nulls, nulls inside, other lengths, zeros and empty ones, as steps in native expressions have them."""
+    odd = [[3.0, 4.0], [4.0, 3.0], None, [1.0, 0.0], [1.0, None], [1.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0], [0.0, 1.0], [], [], [float("nan"), 1.0], [1.0, 2.0]]
+    df = spark.createDataFrame([(1, k, "x", v) for k, v in enumerate(odd)], "doc_id int, ord int, sentence string, embedding array<float>")
+    got = chunking.semantic_groups(df, str(tmp_path)).orderBy("ord").collect()
+    u = scalars.l2_normalize(F.col("embedding"))
+    want = df.withColumn("d", 1 - scalars.dot(F.lag(u).over(Window.partitionBy("doc_id").orderBy("ord")), u)).orderBy("ord").collect()
+    assert list(map(str, (r.distance for r in got))) == list(map(str, (r.d for r in want))) and got[1].embedding == [4.0, 3.0]
+
+
+def test_split_writes_vectors_once(spark, tmp_path):
+    rows = spark.createDataFrame([(k % 3, k, f"w{k}") for k in range(30)], "doc_id long, ord int, sentence string")
+    chunking.semantic_split(retrieval.embed(rows, retrieval.hashing_embedder, "sentence"), str(tmp_path)).collect()
+    with_vectors = [d.name for d in tmp_path.iterdir() if d.is_dir() and "embedding" in spark.read.parquet(str(d)).columns]
+    assert with_vectors == ["sentences"]
+
+
+def test_embedders_of_any_kind(spark):
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(["a", None, " ", "bb", "ccc"])], "i int, text string")
+    want = {0: [1.0, 0.5], 1: None, 2: None, 3: [2.0, 0.5], 4: [3.0, 0.5]}
+    for embedder in (lambda texts: [[len(t), 0.5] for t in texts], lambda texts: np.array([[len(t), 0.5] for t in texts])):
+        assert {r.i: r.embedding for r in retrieval.embed(rows, embedder, batch=2).collect()} == want
