@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from litmine.functions.scalars import dot, l2_normalize, title_case
 from litmine.operators.slices import map_in_slices
-from litmine.operators.titles import HIGH, best_in_blocks, best_of, first_guesses, frequencies, grams, near_pairs
+from litmine.operators.titles import best_in_blocks, better_guesses, first_guesses, frequencies, grams
 
 PARENT, CHILD, KB_CHILD = (2500, 300), (250, 50), (900, 120)
 MIN_CHUNK = 50
@@ -536,8 +536,8 @@ def match_title_to_works(titles: DataFrame, works: DataFrame, least: float = 0.6
 
     titles: doc_id, title, doi; works: work_id, title, doi.  Case doesn't count; of equal
     scores the smallest work_id is taken; blank and null titles match nothing.  Distinct
-    titles are compared: first by prefixes of rare grams, which find every pair of ``HIGH`` or
-    more, then what found none with all works in blocks (see ``titles``).
+    titles are compared, but for those that a work has as they are with all works in blocks, from a
+    known similarity on (see ``titles``).
     ``shared``: a new folder that all executors share; what several steps read is then
     written there, each made once.
     """
@@ -558,13 +558,10 @@ def match_title_to_works(titles: DataFrame, works: DataFrame, least: float = 0.6
     texts = saved(rest.select("text").distinct().withColumn("grams", grams(F.col("text"))), "texts")
     often = saved(frequencies(records), "grams")
     ids = records.select("text", "work_id")
-    pairs = near_pairs(texts, records, often, max(HIGH, least), saved)
-    near = best_of(pairs.join(ids.withColumnRenamed("text", "record").hint("merge"), "record"), "text")
-    near = near.unionByName(texts.select("text").join(ids.hint("merge"), "text").select("text", "work_id", F.lit(1.0).alias("score")))
-    near = saved(best_of(near, "text"), "near")
-    if least < HIGH:
-        left = texts.join(near.select("text").hint("merge"), "text", "left_anti")
-        near = near.unionByName(best_in_blocks(saved(first_guesses(left, records, often), "left"), ids, least))
+    near = saved(texts.select("text").join(ids.hint("merge"), "text").select("text", "work_id", F.lit(1.0).alias("score")), "equal")
+    left = texts.join(near.select("text").hint("merge"), "text", "left_anti")
+    guesses = saved(first_guesses(left, records, often), "guesses")
+    near = near.unionByName(best_in_blocks(saved(better_guesses(guesses, ids), "left"), ids, least))
     return by_doi.unionByName(rest.join(near.hint("merge"), "text").select("doc_id", "work_id", "score"))
 
 

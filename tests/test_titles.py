@@ -135,3 +135,47 @@ def test_query_equals_all_pairs(spark):
     want = {k: (-1.0, k) if k % 2 == 0 else best(quoted(k, t), pages.items(), 0.6) for k, t in pages.items() if k % 2 == 0 or quoted(k, t).strip()}
     got = {r.doc_id: (-r.score, r.work_id) for r in QUERIES["c22_match_title_to_works"](spark, sf).collect()}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_records_that_share_too_few_grams_are_not_bounded(monkeypatch):
+    """From a known similarity on, a block's records cost a look at lists, not a bound or a comparison each."""
+    bounded, compared = [], []
+    monkeypatch.setattr(T, "lcs_bounds", lambda t, codes, of, f=T.lcs_bounds: (bounded.append(len(codes)), f(t, codes, of))[1])
+    monkeypatch.setattr(T, "ratio", lambda a, b, f=T.ratio: (compared.append(b), f(a, b))[1])
+    rng = random.Random(6)
+    records = [" ".join("".join(rng.choice("aeiouthrsn") for _ in range(rng.randint(2, 7))) for _ in range(9)) for _ in range(2000)]
+    block = T._Block(records, list(range(2000)))
+    for n in (0, 1, 3, 5):
+        title = misspelt(rng, records[1500], n)
+        known = SequenceMatcher(None, title, records[1500]).ratio()
+        assert known >= T.HIGH and block.best(title, known) == (1500, known)
+    assert sum(bounded) == 0 and len(compared) < 20
+
+
+@pytest.mark.parametrize("least", [0.85, 0.9, 0.95, 1.0])
+def test_blocks_lose_nothing(least):
+    """Repeated grams, short, empty and equal ones, characters beyond the plane: the same as all pairs."""
+    rng = random.Random(int(1000 * least))
+    parts = ["the ", "th", "e", "aaaa", "aa", "é", "😀😀", " ", "ab", "thethe"]
+    records = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(400)}, key=len)
+    block = T._Block(records, list(range(len(records))))
+    titles = [misspelt(rng, rng.choice(records), rng.choice((0, 1, 2, 3))) for _ in range(200)]
+    for title, lists in zip(titles, block.lists(titles)):
+        scored = [(-SequenceMatcher(None, title, r).ratio(), i) for i, r in enumerate(records)]
+        first = min(x for x in scored) if scored else None
+        want = (first[1], -first[0]) if -first[0] >= least else None
+        assert block.best(title, least, lists) == block.best(title, least) == want
+
+
+def test_titles_without_a_rare_gram(spark, monkeypatch):
+    """What starts from no rare gram's record starts from the one that shares most short grams."""
+    monkeypatch.setattr(T, "LIST", 0)
+    monkeypatch.setattr(T, "RECORDS", 16)
+    rng = random.Random(8)
+    works = [(i, " ".join(rng.sample(WORDS, rng.randint(2, 9)))) for i in range(60)]
+    titles = [(1000 + k, misspelt(rng, w, rng.choice((1, 2, 6)))) for k, (_, w) in enumerate(works)]
+    compare(spark, titles, works)
+    t, w = spark.createDataFrame([(x, None) for _, x in titles], "text string, floor double"), spark.createDataFrame(works, "work_id long, text string")
+    got = {r.text: r.floor for r in T.better_guesses(t, w).collect()}
+    near = {x: max(SequenceMatcher(None, x, y).ratio() for _, y in works) for _, x in titles}
+    assert set(got) == set(near) and all((got[x] or 0) <= near[x] for x in near) and sum(got[x] == near[x] for x in near) > 50
